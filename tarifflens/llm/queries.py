@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, packing, simhash_dedup, token_prefixes
+from . import exact_dedup, fingerprints, mixing, packing, simhash_dedup, token_prefixes
 from .common import table
 
 
@@ -15,6 +15,17 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprints.compare_edits(table(spark, sf_dir, "documents"))
+    prints = (fingerprints.as_text(F.col("sketch")).alias("fingerprint"), fingerprints.as_text(F.col("edited_sketch")).alias("edited_fingerprint"))
+    return found.select("doc_id", "n_chars", "edited_sha256", *prints, "near_edited", "near_next")
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mix(table(spark, sf_dir, "documents"), ["doc_id"])
+    return found.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
 def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_dedup.near_components(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
@@ -33,7 +44,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", (F.col("id") == F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op7_simhash_dedup, op8_token_counts, op9_packing, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op4_mixing, op7_simhash_dedup, op8_token_counts, op9_packing, op10_exact_dedup)}
 
 ORACLES = {
     "op10_exact_dedup": """
