@@ -39,12 +39,17 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def checkpointed(frame: DataFrame) -> DataFrame:
-    """frame with its lineage cut, in the shared folder that the session names; a temporary one only where none is named."""
-    spark = frame.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, as the session names it; a temporary one only where none is named."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tarifflens-"))
+    return context.getCheckpointDir()
+
+
+def checkpointed(frame: DataFrame) -> DataFrame:
+    """frame with its lineage cut, in the shared folder."""
+    shared_folder(frame.sparkSession)
     return frame.checkpoint()
 
 
