@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .token_prefixes import Chunks
+from .token_prefixes import vocabulary
 
 CAPACITY, END_ID, GRAIN, BLOCK = 2048, 1, 256, 3000
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -109,7 +109,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, grain: int = GRAI
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        chunks, end = Chunks(path), np.array([END_ID], dtype="<u4").tobytes()
+        words, end = vocabulary(path), np.array([END_ID], dtype="<u4").tobytes()
         packer = _Packer(TaskContext.get().partitionId() << 32, capacity, grain, block)
 
         def made() -> pa.RecordBatch:
@@ -121,7 +121,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, grain: int = GRAI
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    packer.add(doc_id, chunks.ids(text or "") + end)
+                    packer.add(doc_id, words.ids(text or "").astype("<u4").tobytes() + end)
                 if len(packer.out) > 20_000:
                     yield made()
         packer.flush()
