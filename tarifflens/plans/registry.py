@@ -2,5 +2,539 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..functions import price as P
+from ..functions import text as T
+from ..operators import history as H
+from ..operators import layout as L
+from ..operators import rows as R
+from ..sources import files as S
+from ..sources import writers
+from . import domain as D
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None, prelude: str = D.SQL):
+    """Registers a function of (spark, sf_dir) under its name; sql follows the domain's tables."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = prelude + sql
+        return f
+
+    return add
+
+
+CELLS = f"WITH cells AS ({D.CELLS_SQL}) "
+WORDS = f"WITH words AS ({D.WORDS_SQL}) "
+day = lambda c: F.col(c).cast("string").alias(c)
+
+
+def _cell_query(name: str, expression: Callable[[], Column], sql: str, column: str = "c1") -> None:
+    """A scalar function over a column of the cells."""
+    QUERIES[name] = lambda spark, d: D.cells(spark, d).select("row_idx", F.col(column).alias("input"), expression().alias("result"))
+    ORACLES[name] = CELLS + f"SELECT row_idx, {column} AS input, {sql} AS result FROM cells"
+
+
+_CLEAN = "trim(regexp_replace(replace(coalesce({0}, ''), chr(173), ''), '[\\s\\p{{Z}}]+', ' ', 'g'))"
+_SECTION = "regexp_matches(lower({0}), 'раздел|блок|подраздел|глава|часть') OR regexp_matches({0}, '^\\d+(\\.\\d+)*[.)]?\\s')"
+_PRICE_TEXT = "regexp_replace(lower({0}), 'тенге|kzt|тг', '', 'g')"
+_PARSED = f"try_cast(replace(replace(regexp_extract({_PRICE_TEXT}, '\\d[\\d\\s]*(?:[.,]\\d+)?'), ' ', ''), ',', '.') AS double)"
+_cell_query("clean_text", lambda: T.clean(F.concat(F.lit("  "), F.col("c1"), F.lit(" \u00a0x\u00ad y "))), _CLEAN.format("'  ' || c1 || ' ' || chr(160) || 'x' || chr(173) || ' y '"))
+_cell_query("truncate_text", lambda: T.truncate(F.col("c1"), 12), "CASE WHEN length(c1) > 12 THEN rtrim(c1[:11]) || '?' ELSE nullif(c1, '') END")
+_cell_query("is_section", lambda: T.is_section(F.col("c0")), _SECTION.format("c0"), "c0")
+_cell_query("is_code_like", lambda: T.is_code_like(F.col("c0")), "length(replace(c0, ' ', '')) <= 24 AND regexp_matches(c0, '[0-9]') AND regexp_matches(replace(c0, ' ', ''), '^[A-Za-z0-9][A-Za-z0-9.\\-/]*$')", "c0")
+_cell_query("is_price_like", lambda: T.is_price_like(F.col("c2")), f"regexp_matches(replace({_PRICE_TEXT.format('c2')}, ' ', ''), '^\\d+([.,]\\d+)?$')", "c2")
+_cell_query("normalize_code", lambda: T.normalize_code(F.col("c0")), f"replace(replace(translate(c0, '{T.LOOKALIKES[0]}', '{T.LOOKALIKES[1]}'), ' ', ''), '?', 'U')", "c0")
+_cell_query("strip_noise", lambda: T.strip_noise(F.concat("c0", F.lit(" "), "c1", F.lit(" -|"))), "trim(regexp_replace(regexp_replace(trim(regexp_replace(c0 || ' ' || c1 || ' -|', '\\s+', ' ', 'g')), '^[ийИЙ]\\s+\\d+(\\.\\d+)+\\s+', ''), '^\\d+(\\.\\d+)+\\s+', ''), ' ,.;:-|')", "c0")
+_cell_query("looks_uncertain", lambda: T.looks_uncertain(F.col("c0")), "length(c0) < 4 OR regexp_matches(lower(c0), 'стоимость|наименование услуги|раздел|приложение|таблица') OR length(regexp_replace(c0, '[^\\p{L}]', '', 'g')) < 3 OR length(regexp_replace(c0, '[^0-9]', '', 'g')) / greatest(length(c0), 1) > 0.35", "c0")
+_cell_query("parse_price", lambda: P.parse_price(F.col("c2")), f"CASE WHEN {_PARSED.format('c2')} >= 10 AND {_PARSED.format('c2')} < 1e10 THEN {_PARSED.format('c2')} END", "c2")
+_cell_query("detect_currency", lambda: P.detect_currency(F.concat_ws(" ", "c0", "c1", "c2")), "CASE WHEN regexp_matches(lower(c0 || ' ' || c1 || ' ' || c2), 'usd|\\$|доллар') THEN 'USD' WHEN regexp_matches(lower(c0 || ' ' || c1 || ' ' || c2), 'eur|€|евро') THEN 'EUR' WHEN regexp_matches(lower(c0 || ' ' || c1 || ' ' || c2), 'rub|руб') THEN 'RUB' ELSE 'KZT' END", "c2")
+_cell_query("parse_input", lambda: P.parse_input(F.col("c2")), "try_cast(regexp_replace(regexp_replace(c2, '\\s', '', 'g'), ',', '.') AS double)", "c2")
+_cell_query("header_score", lambda: R.header_score(F.array("c0", "c1", "c2")), " + ".join(f"CASE WHEN regexp_matches(lower({c}), '{'|'.join(R.HEADER_HINTS)}') THEN 2 ELSE 0 END + CASE WHEN regexp_matches(lower({c}), 'наимен|услуг|ед\\.|ед |измер|кол-|ндс') THEN 1 ELSE 0 END" for c in ("c0", "c1", "c2")))
+_cell_query("grid_filter", lambda: F.concat_ws(" ", "c0", "c1", "c2").rlike("\\d"), "regexp_matches(c0 || c1 || c2, '\\d')")
+_cell_query("rowset_score", lambda: R.rowset_score(F.array("c0", "c1", "c2")).cast("long"), f"""(SELECT CASE WHEN len(v) = 0 THEN 0 ELSE len(v) + CASE WHEN len(v) BETWEEN 2 AND 6 THEN 3 ELSE 0 END + CASE WHEN len(v) = 1 THEN CASE WHEN {_SECTION.format('v[1]')} THEN 1 ELSE -2 END ELSE 0 END
+      - CASE WHEN length(j) > 180 THEN 2 ELSE 0 END + CASE WHEN len(list_filter(v, lambda x: length(replace(x, ' ', '')) <= 24 AND regexp_matches(x, '[0-9]') AND regexp_matches(replace(x, ' ', ''), '^[A-Za-z0-9][A-Za-z0-9.\\-/]*$'))) > 0 THEN 2 ELSE 0 END
+      + CASE WHEN len(list_filter(v, lambda x: regexp_matches(replace({_PRICE_TEXT.format('x')}, ' ', ''), '^\\d+([.,]\\d+)?$'))) > 0 THEN 1 ELSE 0 END + CASE WHEN {_SECTION.format('j')} THEN 1 ELSE 0 END END
+      FROM (SELECT v, array_to_string(v, ' ') AS j FROM (SELECT list_filter([c0, c1, c2], lambda x: x <> '') AS v)))""")
+
+
+def _grid(spark, d):
+    return D.cells(spark, d).select("doc_id", F.col("row_idx").cast("int").alias("row_idx"), F.array("c0", "c1", "c2").alias("cells"))
+
+
+@query("SELECT doc_id, min(row_idx)::int AS header_idx FROM cells WHERE row_idx < 50 AND c0 = 'Код' GROUP BY 1", CELLS)
+def header_pick(spark, d):
+    return R.pick_headers(_grid(spark, d), ["doc_id"]).where(F.get("header", F.lit(0)) == "Код").select("doc_id", "header_idx")
+
+
+@query()
+def extract_code(spark, d):
+    return _grid(spark, d).select("doc_id", "row_idx", R.extract_code(R.full_cells(F.col("cells"))).alias("code"))
+
+
+@query()
+def price_values(spark, d):
+    return _grid(spark, d).select("doc_id", "row_idx", F.array_join(R.price_values(R.full_cells(F.col("cells")), F.lit(None).cast("array<string>")).cast("array<string>"), ",").alias("prices"))
+
+
+@query()
+def extract_name(spark, d):
+    c = R.full_cells(F.col("cells"))
+    return _grid(spark, d).select("doc_id", "row_idx", R.extract_name(c, R.extract_code(c)).alias("name"))
+
+
+@query()
+def parse_rows(spark, d):
+    return R.parse_rows(_grid(spark, d), ["doc_id"])
+
+
+@query("SELECT doc_id, page, count(*)::bigint AS n_words FROM words WHERE trim(text) <> '' GROUP BY ALL", WORDS)
+def layout_band_rows(spark, d):
+    return L.band_rows(D.words(spark, d)).groupBy("doc_id", "page").agg(F.count("*").alias("n_words"))
+
+
+_SPLIT = """, w AS (SELECT *, greatest(x1 - x0, 1) AS width, x0 - lag(x1) OVER (PARTITION BY doc_id, page, y0 ORDER BY x0, text) AS gap FROM words),
+t AS (SELECT *, greatest(16, 1.8 * quantile_cont(width, 0.5) OVER p, 2.2 * coalesce(quantile_cont(CASE WHEN gap > 0 THEN gap END, 0.5) OVER p, 10)) AS cut FROM w WINDOW p AS (PARTITION BY doc_id, page, y0)),
+s AS (SELECT *, sum(CASE WHEN gap > cut THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page, y0 ORDER BY x0, text) AS cell_idx FROM t) """
+
+
+@query(_SPLIT + "SELECT doc_id, page, y0, cell_idx::bigint AS cell_idx, string_agg(text, ' ' ORDER BY x0, text) AS cell FROM s GROUP BY ALL", WORDS)
+def layout_split_cells(spark, d):
+    return L.split_cells(D.words(spark, d), ["doc_id", "page", "y0"])
+
+
+@query()
+def layout_merge_rows(spark, d):
+    cells = L.split_cells(D.words(spark, d).withColumn("band", F.col("y0").cast("int")), ["doc_id", "page", "band"])
+    rows = cells.groupBy("doc_id", "page", "band").agg(F.transform(F.array_sort(F.collect_list(F.struct("cell_idx", "cell"))), lambda c: c["cell"]).alias("cells"))
+    return L.merge_continuations(rows).select("doc_id", "page", "row_idx", F.array_join("cells", " | ").alias("row_text"))
+
+
+@query()
+def layout_rows(spark, d):
+    return L.rows_from_words(D.words(spark, d)).select("doc_id", "page", "row_idx", F.array_join("cells", " | ").alias("row_text"))
+
+
+_ISLAND = "sum(CASE WHEN {0} - before > {1} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page ORDER BY {0}, {2}) AS island FROM (SELECT *, lag({0}) OVER (PARTITION BY doc_id, page ORDER BY {0}, {2}) AS before FROM words)"
+
+
+@query(f", i AS (SELECT *, {_ISLAND.format('x0', 8, 'event_id')}) SELECT doc_id, page, round_even(avg(x0), 0)::bigint AS position FROM i GROUP BY doc_id, page, island", WORDS)
+def cluster_positions(spark, d):
+    return L.cluster_positions(D.words(spark, d), ["doc_id", "page"], "x0")
+
+
+@query(f", i AS (SELECT *, {_ISLAND.format('y0', 10, 'x0')}) SELECT doc_id, page, island::bigint AS row_idx, string_agg(text, ' | ' ORDER BY x0, y0) AS row_text FROM i GROUP BY doc_id, page, island", WORDS)
+def block_rows(spark, d):
+    return L.block_rows(D.words(spark, d))
+
+
+@query("SELECT doc_id, page, event_id, row_number() OVER (PARTITION BY doc_id, page ORDER BY y0, x0, text) - 1 AS row_idx FROM words", WORDS)
+def line_rows(spark, d):
+    return L.line_rows(D.words(spark, d)).select("doc_id", "page", "event_id", F.col("row_idx").cast("long").alias("row_idx"))
+
+
+@query("SELECT doc_id, page, floor(y0 / 50)::int AS \"row\", floor((x0 + x1) / 2 / 100)::int AS col, string_agg(text, ' ' ORDER BY y0, x0, text) AS cell FROM words WHERE (x0 + x1) / 2 < 600 AND y0 < 250 GROUP BY ALL", WORDS)
+def range_join_cells(spark, d):
+    w = D.words(spark, d)
+    pages = w.select("doc_id", "page").distinct()
+    cuts = lambda n, wide: pages.withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumns({"lo": F.col("n") * wide, "hi": (F.col("n") + 1) * wide})
+    return L.words_in_grid(w, cuts(6, 100), cuts(5, 50))
+
+
+@query("SELECT doc_id, page, event_id, ((row_number() OVER (PARTITION BY doc_id ORDER BY page, event_id) - 1) // 5)::int AS batch FROM words", WORDS)
+def batch_pages(spark, d):
+    n = F.row_number().over(W.partitionBy("doc_id").orderBy("page", "event_id")) - 1
+    return D.words(spark, d).select("doc_id", "page", "event_id", F.floor(n / 5).cast("int").alias("batch"))
+
+
+@query("SELECT row_idx, c1[2:4] || c2[1:2] AS result FROM cells", CELLS)
+def anchor_slice(spark, d):
+    seg = lambda a, b: F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"))
+    c = D.cells(spark, d)
+    return c.select("row_idx", F.concat(L.anchor_text(F.col("c1"), F.array(seg(1, 4), seg(3, 3))), L.anchor_text(F.col("c2"), F.array(seg(0, 2)))).alias("result"))
+
+
+@query("SELECT row_idx, coalesce(nullif(c0, ''), nullif(c1, ''), nullif(c2, ''), '[page ' || row_idx || ']') AS result FROM cells", CELLS)
+def extract_cascade(spark, d):
+    full = [F.nullif(F.col(c), F.lit("")) for c in ("c0", "c1", "c2")]
+    return D.cells(spark, d).select("row_idx", F.coalesce(*full, F.format_string("[page %d]", "row_idx")).alias("result"))
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS bigint) AS k FROM events", "")
+def json_payload(spark, d):
+    events = spark.read.parquet(f"{d}/events.parquet")
+    body = L.json_payload(F.concat(F.lit("```json\n"), F.col("props"), F.lit("\n```")))
+    return events.select("event_id", F.from_json(body, "k bigint")["k"].alias("k"))
+
+
+@query("SELECT row_idx, array_to_string(list_filter([c0, c1, c2], lambda x: x <> ''), ' | ') AS row_text FROM cells", CELLS)
+def ocr_rows(spark, d):
+    return D.cells(spark, d).select("row_idx", F.array_join(L.ocr_cells(F.array("c0", "c1", "c2")), " | ").alias("row_text"))
+
+
+@query("SELECT row_idx, length(c1) > 0 AND length(c1) * 10 > length(c2) * 8 AND (length(c1) * 10 - length(c2) * 8 >= 20 OR length(c2) * 8 < 100) AS takes_table FROM cells", CELLS)
+def pdf_candidate_pick(spark, d):
+    return D.cells(spark, d).select("row_idx", L.pick_candidate(F.length("c1") * 10, F.length("c2") * 8, F.length("c1") > 0).alias("takes_table"))
+
+
+@query("SELECT row_idx, format('{:03d}:{:04d} {}', doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY row_idx), array_to_string(list_filter([c0, c1, c2], lambda x: x <> ''), ' | ')) AS line FROM cells", CELLS)
+def dump_lines(spark, d):
+    n = F.row_number().over(W.partitionBy("doc_id").orderBy("row_idx"))
+    return D.cells(spark, d).select("row_idx", F.format_string("%03d:%04d %s", "doc_id", n, F.array_join(L.ocr_cells(F.array("c0", "c1", "c2")), " | ")).alias("line"))
+
+
+# Documents and their names.
+
+
+@query(" SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'WORD' WHEN 1 THEN 'EXCEL' ELSE 'PDF' END AS label, 'supported' AS route FROM docs")
+def source_label(spark, d):
+    known = T.suffix(F.col("file_name")).isin(".docx", ".xlsx", ".pdf", ".xls")
+    return D.documents(spark, d).select("doc_id", T.source_label(F.col("file_name")).alias("label"), F.when(known, "supported").otherwise("skipped").alias("route"))
+
+
+QUERIES["src_format_route"], ORACLES["src_format_route"] = source_label, ORACLES["source_label"]
+
+
+@query(" SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'n' || archive_id ELSE '__root__' END AS group_key FROM docs")
+def path_group(spark, d):
+    path = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit(".\\n"), "archive_id", F.lit("\\x/"), "file_name")).otherwise(F.col("file_name"))
+    return D.documents(spark, d).select("doc_id", T.group_key(path).alias("group_key"))
+
+
+@query(" SELECT doc_id, 'Клиника ' || partner_id AS numbered, CAST(partner_id AS varchar) AS named FROM docs")
+def partner_name(spark, d):
+    numbered = T.partner_name(F.concat(F.lit("a/Клиника "), F.col("partner_id").cast("string"), F.lit(" 2026.pdf")))
+    return D.documents(spark, d).select("doc_id", numbered.alias("numbered"), T.partner_name(F.col("file_name")).alias("named"))
+
+
+@query(" SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN CAST(make_date(2000 + (doc_id % 20)::int, 1 + (doc_id % 12)::int, 5) AS varchar) ELSE (2000 + doc_id % 20) || '-01-01' END AS found FROM docs")
+def extract_date(spark, d):
+    y, m = F.lit(2000) + F.col("doc_id") % 20, F.lpad((1 + F.col("doc_id") % 12).cast("string"), 2, "0")
+    name = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("price 05."), m, F.lit("."), y)).otherwise(F.concat(F.lit("price "), y, F.lit(" x")))
+    return D.documents(spark, d).select("doc_id", P.extract_date(name).cast("string").alias("found"))
+
+
+@query(" SELECT doc_id, coalesce(effective_date > DATE '2000-01-01', false) AS in_future FROM docs")
+def future_date(spark, d):
+    return D.documents(spark, d).select("doc_id", F.coalesce(F.col("effective_date") > F.lit("2000-01-01").cast("date"), F.lit(False)).alias("in_future"))
+
+
+@query(" SELECT doc_id, parse_status, 'price ' || partner_id || ' ' || (1990 + (doc_id % 1000 - 1) // 12) AS shown, 'document ' || CAST(doc_id AS varchar)[:8] AS short FROM docs")
+def display_name(spark, d):
+    stem = F.regexp_replace(F.col("file_name"), "\\.[^.]*$", "")
+    return D.documents(spark, d).select("doc_id", "parse_status", F.replace(stem, F.lit("_"), F.lit(" ")).alias("shown"), F.concat(F.lit("document "), F.substring(F.col("doc_id").cast("string"), 1, 8)).alias("short"))
+
+
+@query(" SELECT doc_id, CAST(effective_date AS varchar) AS effective_date, file_name, lower(regexp_extract(file_name, '[^.]*$')) AS file_format, parse_status FROM docs")
+def document_rows(spark, d):
+    return D.documents(spark, d).select("doc_id", day("effective_date"), "file_name", F.replace(T.suffix(F.col("file_name")), F.lit("."), F.lit("")).alias("file_format"), "parse_status")
+
+
+# Prices.
+
+_ITEM = ("service_id", "price_resident", "price_nonresident", "price_resident")
+_item = lambda: [F.col(c) for c in _ITEM]
+_PRICES = _item
+_LOW = "price_nonresident < price_resident"
+_REVIEW = f"(NOT is_verified AND (service_id IS NULL OR coalesce({_LOW}, false) OR price_resident <= 0 OR verification_note IS NOT NULL))"
+
+
+@query(" SELECT item_id, floor(price_resident * CASE currency WHEN 'USD' THEN 470::double WHEN 'RUB' THEN 5.2::double ELSE 1 END + 0.0051)::bigint AS kzt FROM items")
+def fx_convert(spark, d):
+    return D.items(spark, d).select("item_id", F.floor(P.to_kzt(F.col("price_resident"), P.fallback_rate(F.col("currency"))) + 0.0001).alias("kzt"))
+
+
+@query(f" SELECT item_id, CASE WHEN {_LOW} THEN '{P.LOWER}' ELSE '' END AS reasons FROM items")
+def price_validation(spark, d):
+    return D.items(spark, d).select("item_id", F.array_join(P.price_reasons(*_item()[1:]), "; ").alias("reasons"))
+
+
+@query(f" SELECT item_id, service_id IS NULL OR coalesce({_LOW}, false) AS review FROM items")
+def needs_review(spark, d):
+    return D.items(spark, d).select("item_id", P.needs_review(*_item()).alias("review"))
+
+
+@query(f" SELECT item_id, service_name_raw, CAST(effective_date AS varchar) AS effective_date FROM items WHERE is_active AND {_REVIEW} ORDER BY effective_date DESC NULLS LAST, service_name_raw, item_id")
+def verification_queue(spark, d):
+    rows = D.items(spark, d).where("is_active").where(P.item_needs_review(F.col("is_verified"), *_item(), F.col("verification_note")))
+    return rows.orderBy(F.col("effective_date").desc_nulls_last(), "service_name_raw", "item_id").select("item_id", "service_name_raw", day("effective_date"))
+
+
+@query(f" SELECT item_id, coalesce({_LOW}, false) AS lower, service_name_raw = '' AS nameless, price_resident <= 0 AS invalid FROM items")
+def validation_flags(spark, d):
+    return D.items(spark, d).select("item_id", F.coalesce(F.col("price_nonresident") < F.col("price_resident"), F.lit(False)).alias("lower"), (F.trim("service_name_raw") == "").alias("nameless"), (F.col("price_resident") <= 0).alias("invalid"))
+
+
+@query(f" SELECT item_id, CASE WHEN service_id IS NULL THEN 'service match required' WHEN {_LOW} THEN '{P.LOWER}' WHEN verification_note IS NOT NULL THEN 'price anomaly' ELSE 'check' END AS reason FROM items")
+def review_reason(spark, d):
+    return D.items(spark, d).select("item_id", P.review_reason(*_item(), F.col("verification_note")).alias("reason"))
+
+
+@query(f" SELECT item_id, concat_ws('; ', CASE WHEN service_id IS NULL THEN 'service match required' ELSE 'exact matched' END, CASE WHEN {_LOW} THEN '{P.LOWER}' END, CASE WHEN currency <> 'KZT' THEN 'currency converted from ' || currency || ' via fallback rate' END, verification_note) AS note FROM items")
+def verification_note(spark, d):
+    matched = F.when(F.col("service_id").isNull(), "service match required").otherwise("exact matched")
+    fx = F.when(F.col("currency") != "KZT", F.concat(F.lit("currency converted from "), "currency", F.lit(" via fallback rate")))
+    return D.items(spark, d).select("item_id", T.join_notes(matched, F.array_join(P.price_reasons(*_item()[1:]), "; "), fx, F.col("verification_note")).alias("note"))
+
+
+@query(" SELECT item_id, replace(replace(format('{:,}', floor(price_resident)::bigint), ',', ' '), '.', ',') AS shown, CASE WHEN price_nonresident IS NULL THEN '—' ELSE 'set' END AS other FROM items")
+def format_price(spark, d):
+    return D.items(spark, d).select("item_id", P.format_money(F.floor("price_resident")).alias("shown"), F.when(P.format_money(F.col("price_nonresident")) == "—", "—").otherwise("set").alias("other"))
+
+
+# Reading.
+
+
+@query(" SELECT service_id, service_name, category FROM services WHERE is_active AND category ILIKE '%a%'")
+def list_services(spark, d):
+    return D.services(spark, d).where(F.col("is_active") & F.col("category").ilike("%a%")).orderBy(F.col("service_name").asc_nulls_last()).select("service_id", "service_name", "category")
+
+
+@query(" SELECT partner_id, name, city FROM partners WHERE city ILIKE '%an%' AND is_active")
+def list_partners(spark, d):
+    return D.partners(spark, d).where(F.col("city").ilike("%an%") & F.col("is_active")).orderBy("name").select("partner_id", "name", "city")
+
+
+@query(" SELECT item_id, CAST(effective_date AS varchar) AS effective_date FROM items WHERE service_id IS NULL AND is_active AND NOT is_verified")
+def unmatched(spark, d):
+    return D.items(spark, d).where("service_id is null and is_active and not is_verified").orderBy(F.col("effective_date").desc_nulls_last(), "item_id").select("item_id", day("effective_date"))
+
+
+@query(" SELECT 'service' AS kind, service_id AS id, service_name AS name FROM services WHERE service_name ILIKE '%re%' UNION ALL SELECT 'partner', partner_id, name FROM partners WHERE name ILIKE '%re%'")
+def search(spark, d):
+    s, p = D.services(spark, d), D.partners(spark, d)
+    s = s.where(F.col("service_name").ilike("%re%")).select(F.lit("service").alias("kind"), F.col("service_id").alias("id"), F.col("service_name").alias("name"))
+    return s.union(p.where(F.col("name").ilike("%re%")).select(F.lit("partner"), "partner_id", "name"))
+
+
+@query(" SELECT service_id, service_name FROM services WHERE service_name ILIKE '%e%'")
+def search_services(spark, d):
+    return D.services(spark, d).where(F.ilike("service_name", F.concat(F.lit("%"), F.lit("e"), F.lit("%")))).select("service_id", "service_name")
+
+
+@query(" SELECT service_id, service_name FROM services ORDER BY service_name LIMIT 20")
+def search_top20(spark, d):
+    return D.services(spark, d).orderBy("service_name").limit(20).select("service_id", "service_name")
+
+
+@query(" SELECT item_id, doc_id FROM items WHERE doc_id IN (SELECT doc_id FROM docs WHERE parse_status = 'needs_review')")
+def items_of_documents(spark, d):
+    return D.items(spark, d).join(D.documents(spark, d).where("parse_status = 'needs_review'"), "doc_id", "left_semi").select("item_id", "doc_id")
+
+
+@query(" SELECT archive_id, CAST(uploaded_at AS date)::varchar AS uploaded_at FROM archives")
+def list_archives(spark, d):
+    return D.archives(spark, d).orderBy(F.col("uploaded_at").desc(), "archive_id").select("archive_id", F.to_date("uploaded_at").cast("string").alias("uploaded_at"))
+
+
+@query(" SELECT docs.doc_id, name AS partner, count(item_id) AS n_items, string_agg(service_name_raw, ', ' ORDER BY service_name_raw, item_id) AS item_names FROM docs JOIN partners USING (partner_id) LEFT JOIN items USING (doc_id) GROUP BY 1, 2")
+def documents_nested(spark, d):
+    item = F.struct("service_name_raw", "item_id")
+    nested = D.items(spark, d).groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    docs = D.documents(spark, d).join(D.partners(spark, d), "partner_id").join(nested, "doc_id", "left")
+    return docs.select("doc_id", F.col("name").alias("partner"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"), F.array_join(F.transform("items", lambda i: i["service_name_raw"]), ", ").alias("item_names"))
+
+
+@query(" SELECT doc_id, name, uploaded_at IS NOT NULL AS archived, file_name FROM docs JOIN partners USING (partner_id) LEFT JOIN archives USING (archive_id)")
+def document_detail(spark, d):
+    docs = D.documents(spark, d).join(D.partners(spark, d), "partner_id").join(D.archives(spark, d), "archive_id", "left")
+    return docs.select("doc_id", "name", F.col("uploaded_at").isNotNull().alias("archived"), "file_name")
+
+
+@query(" SELECT items.service_id, partner_id, name, min(price_resident) AS price FROM items JOIN partners USING (partner_id) WHERE items.is_active AND service_id IS NOT NULL GROUP BY ALL")
+def service_partners(spark, d):
+    rows = D.items(spark, d).where("is_active and service_id is not null").groupBy("service_id", "partner_id").agg(F.min("price_resident").alias("price"))
+    return rows.join(D.partners(spark, d).select("partner_id", "name"), "partner_id").select("service_id", "partner_id", "name", "price")
+
+
+@query(" SELECT item_id, partner_id, service_name FROM items LEFT JOIN services USING (service_id) WHERE items.is_active")
+def partner_services(spark, d):
+    return D.items(spark, d).where("is_active").join(D.services(spark, d).select("service_id", "service_name"), "service_id", "left").select("item_id", "partner_id", "service_name")
+
+
+@query(" SELECT partner_id, CAST(max(effective_date) AS varchar) AS latest, count(*) AS n_items, count(service_id) AS n_matched FROM items GROUP BY 1")
+def partner_profile(spark, d):
+    return D.items(spark, d).groupBy("partner_id").agg(F.max("effective_date").cast("string").alias("latest"), F.count("*").alias("n_items"), F.count("service_id").alias("n_matched"))
+
+
+@query(" SELECT archive_id, count(*) AS n_items, count(service_id) AS n_matched FROM items JOIN docs USING (doc_id) GROUP BY 1")
+def archive_totals(spark, d):
+    rows = D.items(spark, d).join(D.documents(spark, d).select("doc_id", "archive_id"), "doc_id")
+    return rows.groupBy("archive_id").agg(F.count("*").alias("n_items"), F.count("service_id").alias("n_matched"))
+
+
+@query(" SELECT archive_id, CASE WHEN bool_or(parse_status = 'error') THEN 'error' WHEN bool_or(parse_status = 'needs_review') THEN 'needs_review' ELSE 'processed' END AS status FROM docs GROUP BY 1")
+def archive_status(spark, d):
+    has = lambda s: F.bool_or(F.col("parse_status") == s)
+    return D.documents(spark, d).groupBy("archive_id").agg(F.when(has("error"), "error").when(has("needs_review"), "needs_review").otherwise("processed").alias("status"))
+
+
+@query(" SELECT archive_id, doc_id, count(item_id) AS n_items FROM docs LEFT JOIN items USING (doc_id) GROUP BY ALL")
+def archive_detail(spark, d):
+    n = D.items(spark, d).groupBy("doc_id").agg(F.count("*").alias("n"))
+    return D.documents(spark, d).join(n, "doc_id", "left").select("archive_id", "doc_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_items"))
+
+
+@query(f" SELECT doc_id, coalesce(bool_or({_REVIEW}), true) AS review FROM docs LEFT JOIN items USING (doc_id) GROUP BY 1")
+def document_needs_review(spark, d):
+    flags = D.items(spark, d).groupBy("doc_id").agg(F.bool_or(P.item_needs_review(F.col("is_verified"), *_item(), F.col("verification_note"))).alias("r"))
+    return D.documents(spark, d).join(flags, "doc_id", "left").select("doc_id", F.coalesce("r", F.lit(True)).alias("review"))
+
+
+@query(" SELECT doc_id, CASE WHEN parse_status = 'error' THEN 'error' WHEN parse_status = 'needs_review' OR bool_or(service_id IS NULL) THEN 'needs_review' ELSE 'processed' END AS status FROM docs LEFT JOIN items USING (doc_id) GROUP BY doc_id, parse_status")
+def document_status(spark, d):
+    flags = D.items(spark, d).groupBy("doc_id").agg(F.bool_or(F.col("service_id").isNull()).alias("r"))
+    joined = D.documents(spark, d).join(flags, "doc_id", "left")
+    return joined.select("doc_id", F.when(F.col("parse_status") == "error", "error").when((F.col("parse_status") == "needs_review") | F.coalesce("r", F.lit(True)), "needs_review").otherwise("processed").alias("status"))
+
+
+@query(" SELECT count(DISTINCT partner_id) AS partners, count(DISTINCT doc_id) AS documents, count(*) AS items, count(service_id) AS matched FROM items")
+def import_stats(spark, d):
+    return D.items(spark, d).agg(F.countDistinct("partner_id").alias("partners"), F.countDistinct("doc_id").alias("documents"), F.count("*").alias("items"), F.count("service_id").alias("matched"))
+
+
+@query(" SELECT count(*) AS items, round(100.0 * count(service_id) / count(*))::bigint AS percent FROM items")
+def dashboard(spark, d):
+    return D.items(spark, d).agg(F.count("*").alias("items"), F.round(F.count("service_id") * 100.0 / F.count("*")).cast("long").alias("percent"))
+
+
+@query(f" SELECT doc_id, count(*) AS issues FROM items JOIN docs USING (doc_id) WHERE items.is_active AND {_REVIEW} GROUP BY 1")
+def review_documents(spark, d):
+    queue = D.items(spark, d).where("is_active").where(P.item_needs_review(F.col("is_verified"), *_item(), F.col("verification_note")))
+    counted = queue.groupBy("doc_id").agg(F.count("*").alias("issues"))
+    return counted.join(D.documents(spark, d).select("doc_id"), "doc_id").orderBy(F.col("issues").desc(), "doc_id")
+
+
+# Matching and versions.
+
+
+def _raw_names(spark, d):
+    name = F.col("service_name")
+    odd = F.when(F.col("service_id") % 4 == 0, F.upper(name)).when(F.col("service_id") % 4 == 1, F.concat(name, F.lit("s"))).when(F.col("service_id") % 4 == 2, F.element_at("synonyms", 1)).otherwise(F.concat(name, F.lit(" xyz q")))
+    return D.services(spark, d).select(odd.alias("raw_name"))
+
+
+_NAMES = """, raw AS (SELECT DISTINCT CASE service_id % 4 WHEN 0 THEN upper(service_name) WHEN 1 THEN service_name || 's' WHEN 2 THEN synonym ELSE service_name || ' xyz q' END AS raw_name FROM services),
+labels AS (SELECT service_name AS label, service_id, 'exact' AS status, 0 AS o FROM services WHERE is_active UNION ALL SELECT synonym, service_id, 'synonym', 1 FROM services WHERE is_active),
+found AS (SELECT raw_name, service_id, status, row_number() OVER (PARTITION BY raw_name ORDER BY service_id, o) AS n FROM raw JOIN labels ON lower(raw_name) = lower(label)) """
+
+
+@query(_NAMES + "SELECT raw_name, service_id, status FROM found WHERE n = 1")
+def exact_match(spark, d):
+    return H.match_names(_raw_names(spark, d), D.services(spark, d)).where("status in ('exact', 'synonym')").select("raw_name", "service_id", "status")
+
+
+@query()
+def fuzzy_match(spark, d):
+    return H.match_names(_raw_names(spark, d), D.services(spark, d))
+
+
+@query(" SELECT item_id, service_id FROM (SELECT item_id, upper(service_name_raw) AS q FROM items) JOIN services ON lower(q) = lower(service_name)")
+def match_service(spark, d):
+    q = D.items(spark, d).select("item_id", F.upper("service_name_raw").alias("q"))
+    return q.join(D.services(spark, d), F.lower("q") == F.lower("service_name")).select("item_id", "service_id")
+
+
+def _versions(spark, d):
+    return D.items(spark, d).select("item_id", "partner_id", "service_id", "doc_seq", "effective_date", F.col("price_resident").alias("price"))
+
+
+@query(""", g AS (SELECT a.item_id, a.partner_id, a.service_id, a.doc_seq, a.effective_date, a.price_resident, min(b.doc_seq) AS until FROM items a
+      LEFT JOIN items b ON a.partner_id = b.partner_id AND a.service_id = b.service_id AND a.doc_seq < b.doc_seq AND b.effective_date IS NOT NULL AND (a.effective_date IS NULL OR a.effective_date <= b.effective_date) WHERE a.service_id IS NOT NULL GROUP BY ALL)
+    SELECT c.item_id, arg_max(i.item_id, (coalesce(i.effective_date, DATE '0001-01-01'), i.doc_seq, i.item_id)) AS previous_id, arg_max(i.price_resident, (coalesce(i.effective_date, DATE '0001-01-01'), i.doc_seq, i.item_id)) AS previous_price
+    FROM items c JOIN g i ON i.partner_id = c.partner_id AND i.service_id = c.service_id AND i.doc_seq < c.doc_seq AND (until IS NULL OR until >= c.doc_seq) AND (c.effective_date IS NULL OR i.effective_date IS NULL OR i.effective_date < c.effective_date) GROUP BY 1""")
+def previous_price(spark, d):
+    return H.previous_prices(_versions(spark, d))
+
+
+@query("""SELECT item_id, NOT coalesce(service_id IS NOT NULL AND later IS NOT NULL AND (effective_date IS NULL OR effective_date <= later), false) AS active
+    FROM (SELECT *, max(effective_date) OVER (PARTITION BY partner_id, service_id ORDER BY doc_seq RANGE BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS later FROM items)""")
+def active_versions(spark, d):
+    return H.active_versions(_versions(spark, d)).select("item_id", "active")
+
+
+_PREVIOUS = ORACLES["previous_price"].removeprefix(D.SQL)
+
+
+@query(_PREVIOUS.replace("SELECT c.item_id, arg_max", ", p AS (SELECT c.item_id, arg_max", 1) + """)
+    SELECT item_id, 'anomaly: price changed by ' || round_even(abs(price_resident - previous_price) / previous_price * 100, 0)::bigint || '% from previous version' AS note
+    FROM p JOIN items USING (item_id) WHERE abs(price_resident - previous_price) / previous_price > 0.5""")
+def price_anomaly(spark, d):
+    rows = H.previous_prices(_versions(spark, d)).join(_versions(spark, d), "item_id")
+    return rows.select("item_id", P.change_note(F.col("previous_price"), F.col("price")).alias("note")).where("note is not null")
+
+
+@query(" SELECT min(p_partkey) AS row_no, p_name || ' ' || p_type AS name FROM part WHERE p_name || ' ' || p_type NOT IN (SELECT p_name || ' ' || p_type FROM part WHERE p_size = 1) GROUP BY 2", "")
+def load_catalogue(spark, d):
+    part = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("row_no"), "p_size", F.concat_ws(" ", "p_name", "p_type").alias("name"))
+    return H.insert_if_absent(part, part.where("p_size = 1"), "name", "row_no").select("row_no", "name")
+
+
+@query(" SELECT min(c_custkey) AS seq, lower(c_mktsegment) AS name FROM customer GROUP BY 2", "")
+def partner_upsert(spark, d):
+    new = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("seq"), F.lower("c_mktsegment").alias("name"))
+    return H.insert_if_absent(new, D.partners(spark, d).select(F.lower("name").alias("name")), "name", "seq")
+
+
+@query(" SELECT item_id, CASE WHEN item_id % 6 = 0 THEN upper(service_name_raw) ELSE service_name_raw END AS service_name_raw, price_resident + CASE WHEN item_id % 6 = 0 THEN 2 ELSE 0 END AS price_resident, is_verified OR item_id % 6 = 0 AS is_verified, CASE WHEN item_id % 6 = 0 THEN 'manual verified' ELSE verification_note END AS verification_note FROM items")
+def apply_review(spark, d):
+    items = D.items(spark, d)
+    event = lambda seq, by: items.where("item_id % 6 = 0").select("item_id", F.lit(seq).alias("seq"), F.upper("service_name_raw").alias("service_name_raw"), (F.col("price_resident") + by).alias("price_resident"), "price_nonresident")
+    return H.apply_reviews(items, event(1, 1).union(event(2, 2))).select("item_id", "service_name_raw", "price_resident", "is_verified", "verification_note")
+
+
+@query(" SELECT i.item_id, CASE WHEN item_id % 10 = 7 THEN s.service_id ELSE i.service_id END AS service_id, i.is_verified OR item_id % 10 = 7 AS is_verified FROM items i JOIN services s ON service_name_raw = service_name")
+def apply_match(spark, d):
+    items = D.items(spark, d)
+    events = items.where("item_id % 10 = 7").select("item_id", F.lit(1).alias("seq"), F.lit(None).cast("long").alias("service_id"), F.upper("service_name_raw").alias("service_name"))
+    return H.apply_matches(items, events, D.services(spark, d)).select("item_id", "service_id", "is_verified")
+
+
+@query(" SELECT item_id FROM items WHERE doc_id NOT IN (SELECT doc_id FROM docs WHERE archive_id = 3 OR parse_status = 'error')")
+def delete_cascade(spark, d):
+    return H.without_deleted(D.items(spark, d), D.documents(spark, d).where("archive_id = 3 or parse_status = 'error'")).select("item_id")
+
+
+@query(" SELECT doc_id, regexp_replace(file_name, '\\.[^.]*$', '') AS service_name_raw, 'needs manual review' AS verification_note FROM docs WHERE parse_status = 'needs_review'")
+def placeholder_items(spark, d):
+    empty = D.items(spark, d).join(D.documents(spark, d).where("parse_status = 'needs_review'"), "doc_id", "left_anti").select("doc_id").distinct()
+    docs = D.documents(spark, d).where("parse_status <> 'error'").join(empty, "doc_id", "left_anti")
+    return docs.select("doc_id", T.stem(F.col("file_name")).alias("service_name_raw"), F.lit("needs manual review").alias("verification_note"))
+
+
+# Sources: files are made from the cells, then read.
+
+_READ = CELLS + "SELECT doc_id, array_to_string([trim(c0), trim(c1), trim(c2)], '|') AS row_text FROM cells WHERE c0 || c1 || c2 <> ''"
+
+
+def _read(kind: str):
+    def run(spark, d):
+        grids = S.read_grids(writers.office_files(_grid(spark, d), kind))
+        return grids.select(F.regexp_extract("path", "(\\d+)", 1).cast("long").alias("doc_id"), F.array_join("cells", "|").alias("row_text"))
+
+    return run
+
+
+for _kind in ("docx", "xlsx"):
+    QUERIES[f"src_{_kind}"], ORACLES[f"src_{_kind}"] = _read(_kind), _READ
+
+
+@query("SELECT doc_id, 'g' || doc_id % 3 AS group_key, 'g' || doc_id % 3 || '/d' || doc_id || '.xlsx' AS entry_path FROM (SELECT DISTINCT doc_id FROM cells)", CELLS)
+def src_zip_entries(spark, d):
+    found = S.zip_members(writers.archives(writers.office_files(_grid(spark, d), "xlsx")))
+    return found.select(F.regexp_extract("entry_path", "d(\\d+)", 1).cast("long").alias("doc_id"), "group_key", "entry_path")
+
+
+@query("SELECT name || '.parquet' AS file FROM (VALUES ('region'), ('nation')) AS v(name)", "")
+def src_directory(spark, d):
+    found = S.read_directory(spark, [f"{d}/region.parquet", f"{d}/nation.parquet"])
+    return found.select(F.element_at(F.split("path", "/"), -1).alias("file"))
