@@ -30,10 +30,10 @@ def docx(rows: list[list[str]]) -> bytes:
 
 
 def xlsx(rows: list[list[str]]) -> bytes:
-    """One sheet with shared strings; empty cells are left out."""
+    """One sheet with shared strings."""
     shared = sorted({c for r in rows for c in r})
     number = {c: n for n, c in enumerate(shared)}
-    cell = lambda c, i, n: f'<c r="{chr(65 + i)}{n + 1}" t="s"><v>{number[c]}</v></c>' if c else ""
+    cell = lambda c, i, n: f'<c r="{chr(65 + i)}{n + 1}" t="s"><v>{number[c]}</v></c>' if c else f'<c r="{chr(65 + i)}{n + 1}"/>'
     body = "".join(f'<row r="{n + 1}">' + "".join(cell(c, i, n) for i, c in enumerate(r)) + "</row>" for n, r in enumerate(rows))
     return _zip({
         "xl/workbook.xml": f'<workbook xmlns="{S_NS[1:-1]}" xmlns:r="{R_NS[1:-1]}"><sheets><sheet name="A" r:id="r1"/></sheets></workbook>',
