@@ -13,13 +13,18 @@ from .text import clean, without_price_words
 FALLBACK_RATES = {"KZT": 1.0, "USD": 470.0, "EUR": 510.0, "RUB": 5.2}
 #: What names a currency in a row, by priority.
 CURRENCY_SIGNS = (("USD", ("usd", "\\$", "доллар")), ("EUR", ("eur", "€", "евро")), ("RUB", ("rub", "руб")))
+#: Texts of reasons, and the change that a note needs.
 MISSING, NOT_POSITIVE, LOWER = "price missing or invalid", "price must be > 0", "nonresident price is lower than resident price"
 MOST_CHANGE = 0.5
+#: How a date, or a year alone, stands in a name.
+YMD, DMY, YEAR = "\\d{4}[-_.]\\d{2}[-_.]\\d{2}", "\\d{2}[-_.]\\d{2}[-_.]\\d{4}", "(?:^|[._\\-\\s])(19\\d{2}|20\\d{2})(?:$|[._\\-\\s])"
+#: Fixed value: the number that a price is read from.
+NUMBER = "\\d[\\d\\s]*(?:[.,]\\d+)?"
 
 
 def parse_price(text: Column) -> Column:
     """The first number, comma as decimal point, of at least 10 and under ten billion; else null."""
-    number = F.regexp_extract(without_price_words(text), "\\d[\\d\\s]*(?:[.,]\\d+)?", 0)
+    number = F.regexp_extract(without_price_words(text), NUMBER, 0)
     value = F.replace(F.replace(number, F.lit(" "), F.lit("")), F.lit(","), F.lit(".")).try_cast("double")
     return F.when((value >= 10) & (value < 1e10), value)
 
@@ -66,9 +71,9 @@ def item_needs_review(verified: Column, service: Column, resident: Column, nonre
 
 def extract_date(text: Column) -> Column:
     """Year-month-day, else day-month-year, else a year's first day; null if none is valid."""
-    ymd = F.try_to_date(F.regexp_replace(F.regexp_extract(text, "\\d{4}[-_.]\\d{2}[-_.]\\d{2}", 0), "[_.]", "-"), "yyyy-MM-dd")
-    dmy = F.try_to_date(F.regexp_replace(F.regexp_extract(text, "\\d{2}[-_.]\\d{2}[-_.]\\d{4}", 0), "[_.]", "-"), "dd-MM-yyyy")
-    year = F.regexp_extract(text, "(?:^|[._\\-\\s])(19\\d{2}|20\\d{2})(?:$|[._\\-\\s])", 1)
+    ymd = F.try_to_date(F.regexp_replace(F.regexp_extract(text, YMD, 0), "[_.]", "-"), "yyyy-MM-dd")
+    dmy = F.try_to_date(F.regexp_replace(F.regexp_extract(text, DMY, 0), "[_.]", "-"), "dd-MM-yyyy")
+    year = F.regexp_extract(text, YEAR, 1)
     return F.coalesce(ymd, dmy, F.make_date(year.try_cast("int"), F.lit(1), F.lit(1)))
 
 

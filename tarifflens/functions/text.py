@@ -101,7 +101,7 @@ def group_key(path: Column) -> Column:
     return F.when(F.size(path_parts(path)) > 1, F.get(path_parts(path), F.lit(0))).otherwise("__root__")
 
 
-#: A year of the 1900s or 2000s between marks, spaces or ends.
+#: Fixed value: a year of the 1900s or 2000s between marks, spaces or ends.
 YEAR = "(?:^|[._\\-\\s])(?:19\\d{2}|20\\d{2})(?:$|[._\\-\\s])"
 
 

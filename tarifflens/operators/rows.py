@@ -90,6 +90,23 @@ def extract_name(cells: Column, code: Column) -> Column:
     return F.when(longest != "", longest).otherwise(rest)
 
 
+def parsed(cells: Column, header: Column) -> Column:
+    """Array of one struct (code, prices, name, raw), or of none where the row is empty, a section or without a name and prices. Each part is computed once."""
+
+    def fields(x: Column) -> Column:
+        return F.struct(x["code"], price_values(x["c"], x["header"]).alias("prices"), extract_name(x["c"], x["code"]).alias("name"), F.array_join(x["c"], " ").alias("raw"))
+
+    def of_cells(c: Column) -> Column:
+        row = let(F.struct(c.alias("c"), extract_code(c).alias("code"), header.alias("header")), fields)
+        return F.when((F.size(c) > 0) & ~is_section(F.array_join(c, " ")), row)
+
+    def kept(r: Column) -> Column:
+        digit = F.coalesce(r["name"].rlike("^\\d"), F.lit(False))
+        return r.isNotNull() & ~((F.size(r["prices"]) == 0) & (r["name"].isNull() | digit))
+
+    return F.filter(F.array(let(full_cells(cells), of_cells)), kept)
+
+
 def parse_rows(grid: DataFrame, by: list[str]) -> DataFrame:
     """Rows (*by, row_idx, service_name_raw, service_code_source, price_resident, price_nonresident, raw_row) of rows (*by, row_idx, cells).
 
@@ -97,16 +114,11 @@ def parse_rows(grid: DataFrame, by: list[str]) -> DataFrame:
     without prices are left out. Empty cells are dropped before columns are counted.
     """
     rows = grid.join(pick_headers(grid, by), by, "left").where(F.col("header_idx").isNull() | (F.col("row_idx") > F.col("header_idx")))
-    rows = rows.withColumn("cells", full_cells(F.col("cells"))).where(F.size("cells") > 0)
-    rows = rows.withColumn("raw_row", F.array_join("cells", " ")).where(~is_section(F.col("raw_row")))
-    rows = rows.withColumn("code", extract_code(F.col("cells"))).withColumn("prices", price_values(F.col("cells"), F.col("header")))
-    rows = rows.withColumn("name", extract_name(F.col("cells"), F.col("code")))
-    none, digit = F.size("prices") == 0, F.coalesce(F.col("name").rlike("^\\d"), F.lit(False))
-    rows = rows.where(~(none & (F.col("name").isNull() | digit)))
-    name = F.nullif(F.when(digit, strip_noise(F.col("name"))).otherwise(F.col("name")), F.lit(""))
+    rows = rows.select(*by, "row_idx", F.explode(parsed(F.col("cells"), F.col("header"))).alias("r")).select(*by, "row_idx", "r.*")
+    name = F.nullif(F.when(F.col("name").rlike("^\\d"), strip_noise(F.col("name"))).otherwise(F.col("name")), F.lit(""))
     return rows.select(
-        *by, "row_idx", F.coalesce(name, "code", "raw_row").alias("service_name_raw"), F.col("code").alias("service_code_source"),
-        F.get("prices", F.lit(0)).alias("price_resident"), F.get("prices", F.lit(1)).alias("price_nonresident"), "raw_row",
+        *by, "row_idx", F.coalesce(name, "code", "raw").alias("service_name_raw"), F.col("code").alias("service_code_source"),
+        F.get("prices", F.lit(0)).alias("price_resident"), F.get("prices", F.lit(1)).alias("price_nonresident"), F.col("raw").alias("raw_row"),
     )
 
 
