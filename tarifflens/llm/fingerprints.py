@@ -77,8 +77,7 @@ def with_next(docs: DataFrame, id_column: str, values: list[str], tie: str) -> D
     ).first()
     cuts = sorted({*(cuts or [])})
     wide = max(1, round(len(cuts) ** 0.5))
-    coarse = F.array(*(F.lit(x) for x in cuts[::wide])).cast("array<bigint>")
-    fine = F.array(*(F.lit(x) for x in cuts)).cast("array<bigint>")
+    coarse, fine = (F.from_json(F.lit(str(x)), "array<bigint>") for x in (cuts[::wide], cuts))  # one literal each, folded before it runs
     at = F.col(id_column)
     tens = F.size(F.filter(coarse, lambda c: c <= at))
     place = let(tens, lambda t: F.when(t == 0, 0).otherwise((t - 1) * wide + F.size(F.filter(F.slice(fine, (t - 1) * wide + 1, wide), lambda c: c <= at))))
