@@ -88,8 +88,8 @@ def price_values(spark, d):
 
 @query()
 def extract_name(spark, d):
-    c = R.full_cells(F.col("cells"))
-    return _grid(spark, d).select("doc_id", "row_idx", R.extract_name(c, R.extract_code(c)).alias("name"))
+    coded = T.let(R.full_cells(F.col("cells")), lambda c: F.struct(c.alias("c"), R.extract_code(c).alias("code")))
+    return _grid(spark, d).select("doc_id", "row_idx", T.let(coded, lambda x: R.extract_name(x["c"], x["code"])).alias("name"))
 
 
 @query()
