@@ -185,6 +185,14 @@ def test_edit_similarity(spark):
     assert found[:4] == [0.9, None, 1.0, pytest.approx(5 / 6)]
 
 
+def test_line_simhash_of_many_rows(spark):
+    rng = random.Random(7)
+    lists = [[rng.getrandbits(64) - 2**63 for _ in range(n)] for n in (0, 1, 2, 5, 13, 14, 15, 125, 126, 127, 252, 253, 3000)] + [[-1] * 126, [-1] * 400, [7, 7, 8, 8]]
+    frame = spark.createDataFrame(list(enumerate(lists)), "n int, h array<bigint>")
+    found = dict(rows_of(line_dedup.with_simhash(frame, "h")))
+    assert {n: s % 2**64 for n, s in found.items()} == {n: sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) > len(h) / 2) for n, h in enumerate(lists)}
+
+
 def test_lines(spark, empty):
     long = " ".join(f"word{i}" for i in range(200))
     near = long.replace("word77", "other")
