@@ -1,14 +1,13 @@
 """Near-duplicates and line links against all pairs."""
 
 import random
-import re
 
 import pytest
 from pyspark.sql import functions as F
 
 pytest.importorskip("public_tokenizers")
 import corpus_pipeline  # noqa: E402
-from tarifflens.llm import common  # noqa: E402
+from tarifflens.llm import line_dedup  # noqa: E402
 
 
 def shingles(text):
@@ -61,3 +60,29 @@ def test_stage_links_all_pairs_of_like_texts(spark, near_texts):
     stage = dict(corpus_pipeline.STAGES)["simhash_near_dedup"]
     assert sorted(r["doc_id"] for r in stage(spark, docs, "").collect()) == sorted(set(groups_of(len(near_texts), near)))
     assert stage(spark, docs.limit(0), "").count() == 0
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_lines_are_linked_as_all_pairs_are(spark):
+    draw = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(60)]
+    lines = []
+    for _ in range(25):
+        words = draw.choices(vocabulary, k=draw.randint(5, 25))
+        lines += [words] + [edited(draw, words, draw.randint(1, 3)) for _ in range(3)]
+    a = draw.choices(vocabulary, k=10)
+    lines += [a[::-1], a, [a[1], a[0], *a[2:]], a * 2]  # one SimHash, and one of them is far from the others
+    words = draw.choices(vocabulary, k=30)
+    lines += [edited(draw, words, draw.randint(1, 3)) for _ in range(90)]  # a bucket above prefix_join.LARGE
+    near = lambda i, j: lines[i] == lines[j] or len(lines[i]) >= 5 <= len(lines[j]) and 5 * edits(lines[i], lines[j]) <= max(len(lines[i]), len(lines[j]))
+    want = [int(root != i) for i, root in enumerate(groups_of(len(lines), near))]
+    docs = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(lines)], "doc_id long, text string").repartition(3)
+    assert [r["n_dropped"] for r in line_dedup.drop_repeated_lines(docs).orderBy("doc_id").collect()] == want
