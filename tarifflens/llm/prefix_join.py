@@ -21,11 +21,11 @@ LARGE = 64
 FILTER_BITS = 27
 
 
-def maybe_among(rows: DataFrame, wanted: DataFrame, key: list[str]) -> DataFrame:
-    """rows without most of those whose key is not in wanted: a bit map of fixed size, 16 MB, goes to every executor."""
+def maybe_among(rows: DataFrame, key: list[str], wanted: Callable[[Column], DataFrame]) -> DataFrame:
+    """rows without most of those whose key has no address p that wanted gives: a bit map of fixed size, 16 MB, goes to every executor."""
     address = F.xxhash64(*key).bitwiseAND(F.lit((1 << FILTER_BITS) - 1).cast("bigint"))
     low = F.lit(32767).cast("bigint")
-    maps = wanted.select(address.alias("p")).groupBy(F.shiftright("p", 15).alias("_page")).agg(F.bitmap_construct_agg(F.col("p").bitwiseAND(low)).alias("_map"))
+    maps = wanted(address).groupBy(F.shiftright("p", 15).alias("_page")).agg(F.bitmap_construct_agg(F.col("p").bitwiseAND(low)).alias("_map"))
     joined = rows.withColumn("_p", address).join(F.broadcast(maps), F.shiftright("_p", 15) == F.col("_page"))
     bit = F.col("_p").bitwiseAND(low).cast("int")
     byte = F.conv(F.hex(F.substring(F.col("_map"), F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
@@ -44,7 +44,7 @@ def links(items: DataFrame, allowed: Callable[[Column, Column], Column], verify:
         return F.greatest(F.abs(x("n") - y("n")), apart) <= allowed(x("n"), y("n"))
 
     keyed = items.select(F.explode("prefix").alias("k"), "h", "n", "b0", "b1")
-    keyed = maybe_among(keyed, keyed.groupBy("k").count().where("count > 1").select("k"), ["k"])  # most keys have one item
+    keyed = maybe_among(keyed, ["k"], lambda at: keyed.select(at.cast("int").alias("p")).groupBy("p").count().where("count > 1").select(F.col("p").cast("bigint")))  # most keys have one item
     buckets = keyed.groupBy("k").agg(F.count("*").alias("size"), F.min(F.struct("h", "n", "b0", "b1")).alias("rep")).where("size > 1")
     shared = checkpointed(keyed.join(buckets.select("k", F.when(F.col("size") > LARGE, F.col("rep")).alias("rep")), "k"))
     own, rep = lambda c: F.col(c), lambda c: F.col(f"rep.{c}")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 pytest.importorskip("public_tokenizers")
 import corpus_pipeline  # noqa: E402
-from tarifflens.llm import line_dedup  # noqa: E402
+from tarifflens.llm import line_dedup, queries  # noqa: E402
 
 
 def shingles(text):
@@ -86,3 +86,14 @@ def test_lines_are_linked_as_all_pairs_are(spark):
     want = [int(root != i) for i, root in enumerate(groups_of(len(lines), near))]
     docs = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(lines)], "doc_id long, text string").repartition(3)
     assert [r["n_dropped"] for r in line_dedup.drop_repeated_lines(docs).orderBy("doc_id").collect()] == want
+
+
+def test_short_lines_and_lines_without_spaces_go(spark, tmp_path):
+    url, chinese = "https://example.com/" + "x" * 80, "版权所有未经许可不得转载本站内容"
+    texts = [f"all rights reserved.\n{url}\n\n{chinese}\none", f"ALL rights  reserved.\n{chinese}\n\n{url}\nan other line\none\ntwo", "one two three four\none two three four five"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = [tuple(r) for r in queries.QUERIES["op5_line_dedup"](spark, str(tmp_path)).orderBy("doc_id").collect()]
+    assert found == [(0, texts[0], 5, 0), (1, "\nan other line\ntwo", 7, 4), (2, "one two three four", 2, 1)]
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    stage = dict(corpus_pipeline.STAGES)["line_dedup"]
+    assert [r["text"] for r in stage(spark, docs, "").orderBy("doc_id").collect()] == [r[1] for r in found]
