@@ -3,7 +3,8 @@
 Card numbers, telephone numbers, IPv4 addresses and dates that are valid are permuted within their own
 format by a keyed Feistel network, so equal values stay equal in all documents, different ones stay
 different, and digits stay where digits were. E-mail addresses and long hexadecimal secrets have no
-small domain to permute; a keyed hash of the same shape takes their place.
+small domain to permute; a keyed hash of the same shape takes their place. Dates before 1900 or after 2099
+stay as they are. Where more numbers stand beside a card's, the longest run of whole groups that is valid counts.
 """
 
 from __future__ import annotations
@@ -83,9 +84,18 @@ def pseudonym(found: Column, key: str) -> Column:
     digits = F.regexp_replace(found, "[^0-9]", "")
     only = lambda p: found.rlike(f"^(?:{p})$")
 
-    card_head = permute_digits(F.substring(digits, F.lit(1), F.length(digits) - 1), key, "card")
-    card = let(card_head, lambda h: F.concat(h, F.pmod(10 - F.pmod(luhn_sum(h, 0), F.lit(10)), F.lit(10)).cast("string")))
-    card = F.when(F.pmod(luhn_sum(digits, 1), F.lit(10)) == 0, _into(found, card)).otherwise(found)
+    # Runs of whole groups of digits, the longest first, from each start.
+    runs = F.flatten(F.array(*(F.regexp_extract_all(found, F.lit(rf"(?<!\d)(?=(\d(?:[ -]?\d){{{n - 1}}})(?!\d))"), F.lit(1)) for n in range(19, 12, -1))))
+    valid = F.get(F.filter(runs, lambda x: F.pmod(luhn_sum(F.regexp_replace(x, "[^0-9]", ""), 1), F.lit(10)) == 0), F.lit(0))
+
+    def renumbered(run: Column) -> Column:
+        own = F.regexp_replace(run, "[^0-9]", "")
+        head = permute_digits(F.substring(own, F.lit(1), F.length(own) - 1), key, "card")
+        card = let(head, lambda h: F.concat(h, F.pmod(10 - F.pmod(luhn_sum(h, 0), F.lit(10)), F.lit(10)).cast("string")))
+        at = F.call_function("instr", found, run)
+        return F.concat(F.substring(found, F.lit(1), at - 1), _into(run, card), F.substring(found, at + F.length(run), F.length(found)))
+
+    card = let(valid, lambda run: F.when(run.isNotNull(), renumbered(run)).otherwise(found))
 
     # The subscriber's ten digits at most; a country code in front stays.
     tail = F.least(F.length(digits), F.lit(10))

@@ -1,13 +1,14 @@
 """Near-duplicates and line links against all pairs."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 pytest.importorskip("public_tokenizers")
 import corpus_pipeline  # noqa: E402
-from tarifflens.llm import line_dedup, queries  # noqa: E402
+from tarifflens.llm import line_dedup, pseudonyms, queries  # noqa: E402
 
 
 def shingles(text):
@@ -97,3 +98,12 @@ def test_short_lines_and_lines_without_spaces_go(spark, tmp_path):
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     stage = dict(corpus_pipeline.STAGES)["line_dedup"]
     assert [r["text"] for r in stage(spark, docs, "").orderBy("doc_id").collect()] == [r[1] for r in found]
+
+
+def test_cards_beside_other_numbers(spark):
+    texts = ["card 4111 1111 1111 1111 12/25", "4111 1111 1111 1111 123", "4111111111111111 99", "no 12 4111-1111-1111-1111 here", "bad 4111 1111 1111 1112 12"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = [r["text"] for r in pseudonyms.pseudonymise(docs, "k").orderBy("doc_id").collect()]
+    cards = [re.search(r"(?:\d{4}[ -]?){3}\d{4}", x)[0] for x in found]
+    assert len({re.sub(r"\D", "", c) for c in cards[:4]}) == 1 and "4111" not in cards[0] and found[4] == texts[4]
+    assert [x.replace(c, "") for x, c in zip(found[:4], cards, strict=False)] == ["card  12/25", " 123", " 99", "no 12  here"]
