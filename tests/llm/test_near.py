@@ -107,3 +107,10 @@ def test_cards_beside_other_numbers(spark):
     cards = [re.search(r"(?:\d{4}[ -]?){3}\d{4}", x)[0] for x in found]
     assert len({re.sub(r"\D", "", c) for c in cards[:4]}) == 1 and "4111" not in cards[0] and found[4] == texts[4]
     assert [x.replace(c, "") for x, c in zip(found[:4], cards, strict=False)] == ["card  12/25", " 123", " 99", "no 12  here"]
+
+
+def test_stage_tells_rows_of_one_id_apart(spark):
+    rows = [(1, "one text of its own here"), (1, "quite another text stands here"), (None, "a text without an id"), (None, "a text without an id"), (7, "one text of its own here"), (None, "one text of its own here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    stage = dict(corpus_pipeline.STAGES)["simhash_near_dedup"]
+    assert sorted(map(tuple, stage(spark, docs, "").collect()), key=repr) == sorted(rows[:3], key=repr)
