@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +27,18 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def fresh(frame: DataFrame, *names: str) -> list[str]:
+    """Names for temporary columns, made from names, that no column of frame has, in any case."""
+    taken = {c.lower() for c in frame.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
@@ -40,13 +53,23 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share, as the session names it; a temporary one only where none is named."""
+    """The folder that all executors share, as the session names it. Where none is named, one is made only in local mode, as in tests."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tarifflens-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tarifflens-"))
     return context.getCheckpointDir()
 
 
+def written(frame: DataFrame) -> DataFrame:
+    """frame as a table written to the shared folder, its lineage cut."""
+    path = f"{shared_folder(frame.sparkSession)}/table-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
 def checkpointed(frame: DataFrame) -> DataFrame:
     """frame with its lineage cut, in the shared folder."""
     shared_folder(frame.sparkSession)
@@ -60,7 +83,7 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     aggregation with a map-side part and an equality join, and no node's neighbours meet in one row.
     Nulls and self-links are left out.
     """
-    now = checkpointed(
+    now = written(
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
         .where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
         .distinct()
@@ -78,7 +101,7 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
         )
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e"))
-        now = checkpointed(small.select("e.u", "e.v").where(F.col("u") != F.col("v")).distinct())
+        now = written(small.select("e.u", "e.v").where(F.col("u") != F.col("v")).distinct())
         before, seen = seen, mark(now)
         if seen == before:
             break

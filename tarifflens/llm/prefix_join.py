@@ -1,9 +1,13 @@
-"""Lossless joins of like sets or bags, on DataFrame operations alone.
+"""Lossless joins of like sets or sequences, on DataFrame operations alone.
 
 Each item has its size n, the first of its members in one order that holds for all items (its prefix), and
 parity bits of its members. Two items that share enough members share one within their prefixes, and no
 more parity bits differ than members do; so nothing is lost, whatever the order, and a good order (rare
 members first) only makes buckets small.
+
+Members are longs: all but the last PLACE_BITS bits are the key that items meet on, those bits the place
+in the item, ANYWHERE if it isn't known. The rows of the prefixes are shuffled once, narrow, by their keys;
+the few whose key has more items than one go on.
 """
 
 from __future__ import annotations
@@ -11,53 +15,82 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import checkpointed, connected_components
+from .common import connected_components, fresh, written
 
-#: Buckets above this size are first linked through one item; then only items that no links join yet are compared.
+PLACE_BITS = 16
+ANYWHERE = (1 << PLACE_BITS) - 1
+#: Items of larger buckets also have to be of like size to meet, by an equality of the join.
 LARGE = 64
-#: Bits of a filter's address.
-FILTER_BITS = 27
+#: Addresses of a filter for each wanted row, and bits of the greatest filter's addresses: 16 MB of map.
+ROOM, FILTER_BITS = 16, 27
+
+
+def maybe_among(rows: DataFrame, key: list[str], wanted: DataFrame, others: bool = False) -> DataFrame:
+    """rows without most of those whose key (columns of these names) isn't in the table wanted: a bit map sized by its count goes to every executor.
+
+    Beyond what the greatest map can tell apart, rows itself is returned; either way the caller's join decides.
+    others: the rows left out instead, whatever their key.
+    """
+    count = wanted.count()
+    bits = max(15, (count * ROOM).bit_length())
+    if bits > FILTER_BITS:
+        return rows
+    at, low = F.xxhash64(*key).bitwiseAND(F.lit((1 << bits) - 1).cast("bigint")), F.lit(32767).cast("bigint")
+    pages = wanted.select(at.alias("_p")).groupBy(F.shiftright("_p", 15).alias("_page")).agg(F.bitmap_construct_agg(F.col("_p").bitwiseAND(low)).alias("_map"))
+    p, page, bitmap = fresh(rows, "p", "page", "map")
+    pages = pages.select(F.col("_page").alias(page), F.col("_map").alias(bitmap))
+    joined = rows.withColumn(p, at).join(F.broadcast(pages), F.shiftright(p, 15) == F.col(page), "left" if others else "inner")
+    bit = F.col(p).bitwiseAND(low).cast("int")
+    byte = F.conv(F.hex(F.substring(F.col(bitmap), F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = F.coalesce(F.getbit(byte, bit % 8), F.lit(0).cast("tinyint"))
+    return joined.where(found == (0 if others else 1)).drop(p, page, bitmap)
+
 
+def _key(e: Column | str) -> Column:
+    return F.shiftright(e, PLACE_BITS)
 
-def maybe_among(rows: DataFrame, key: list[str], wanted: Callable[[Column], DataFrame]) -> DataFrame:
-    """rows without most of those whose key has no address p that wanted gives: a bit map of fixed size, 16 MB, goes to every executor."""
-    address = F.xxhash64(*key).bitwiseAND(F.lit((1 << FILTER_BITS) - 1).cast("bigint"))
-    low = F.lit(32767).cast("bigint")
-    maps = wanted(address).groupBy(F.shiftright("p", 15).alias("_page")).agg(F.bitmap_construct_agg(F.col("p").bitwiseAND(low)).alias("_map"))
-    joined = rows.withColumn("_p", address).join(F.broadcast(maps), F.shiftright("_p", 15) == F.col("_page"))
-    bit = F.col("_p").bitwiseAND(low).cast("int")
-    byte = F.conv(F.hex(F.substring(F.col("_map"), F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return joined.where(F.getbit(byte, bit % 8) == 1).drop("_p", "_page", "_map")
 
+def _band(n: Column) -> Column:
+    """Sizes whose ratio is at most 5 : 4 are in one band or in neighbouring ones."""
+    return F.floor(F.log(F.greatest(n, F.lit(1)).cast("double")) / F.log(F.lit(1.25 + 1e-9))).cast("int")
 
-def links(items: DataFrame, allowed: Callable[[Column, Column], Column], verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+
+def links(items: DataFrame, may: Callable[[Callable, Callable], Column], allowed: Callable[[Column, Column], Column], verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Links (a, b) whose components are those of all pairs that verify lets through.
 
-    items: distinct h with n, longs b0 and b1, and prefix, an array of longs. allowed: how many members two
-    items of these sizes may not share. verify: the pairs (a, b) of h that are links.
+    items: a table of distinct h with n, longs b0 and b1, and prefix, an array of members, none twice. may: whether
+    two rows (h, n, e) of one key, as functions of a column's name, can belong to a link; only items whose
+    sizes' ratio is at most 5 : 4 can. allowed: how many members two items of these sizes may not share.
+    verify: the pairs (a, b) of h that are links. Every bucket is first linked through its least item;
+    then only items that these links don't join are compared.
     """
+    keyed = items.select(F.explode("prefix").alias("e"), "h", "n").withColumn("k", _key("e"))
+    bucket = W.partitionBy("k")
+    shared = keyed.withColumn("size", F.count("*").over(bucket)).where("size > 1")
+    shared = shared.withColumn("rep", F.min(F.struct("h", "n", "e")).over(bucket))
+    by_rep = (F.col("h") != F.col("rep.h")) & may(lambda c: F.col(c), lambda c: F.col(f"rep.{c}"))
+    shared = shared.select("e", "h", "n", F.col("size").cast("int").alias("size"), F.when(by_rep, F.col("rep.h")).alias("a"))
+    shared = written(shared.where("size > 2 OR a IS NOT NULL"))
+    bits = items.select("h", "n", "b0", "b1")
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs whose parity bits differ little, verified."""
+        of = lambda x: bits.select(F.col("h").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in ("n", "b0", "b1")))
+        both = pairs.distinct().join(of("a"), "a").join(of("b"), "b")
+        apart = F.bit_count(F.col("a_b0").bitwiseXOR(F.col("b_b0"))) + F.bit_count(F.col("a_b1").bitwiseXOR(F.col("b_b1")))
+        return verify(written(both.where(apart <= allowed(F.col("a_n"), F.col("b_n"))).select("a", "b")))
 
-    def may(x: Callable[[str], Column], y: Callable[[str], Column]) -> Column:
-        apart = F.bit_count(x("b0").bitwiseXOR(y("b0"))) + F.bit_count(x("b1").bitwiseXOR(y("b1")))
-        return F.greatest(F.abs(x("n") - y("n")), apart) <= allowed(x("n"), y("n"))
-
-    keyed = items.select(F.explode("prefix").alias("k"), "h", "n", "b0", "b1")
-    keyed = maybe_among(keyed, ["k"], lambda at: keyed.select(at.cast("int").alias("p")).groupBy("p").count().where("count > 1").select(F.col("p").cast("bigint")))  # most keys have one item
-    buckets = keyed.groupBy("k").agg(F.count("*").alias("size"), F.min(F.struct("h", "n", "b0", "b1")).alias("rep")).where("size > 1")
-    shared = checkpointed(keyed.join(buckets.select("k", F.when(F.col("size") > LARGE, F.col("rep")).alias("rep")), "k"))
-    own, rep = lambda c: F.col(c), lambda c: F.col(f"rep.{c}")
-    star = shared.where(F.col("h") != rep("h")).where(may(own, rep))
-    star = checkpointed(verify(checkpointed(star.select(rep("h").alias("a"), F.col("h").alias("b")).distinct())))
-    rows = shared.select("k", "h", "n", "b0", "b1")
-    if star.isEmpty():
-        rows = rows.withColumn("part", F.col("h"))
-    else:
-        parts = connected_components(star, "a", "b")
-        rows = rows.join(parts, F.col("h") == F.col("node"), "left").select(*rows.columns, F.coalesce("component", "h").alias("part"))
-    x, y = rows.alias("x"), rows.alias("y")
-    on = (F.col("x.k") == F.col("y.k")) & (F.col("x.h") < F.col("y.h")) & (F.col("x.part") != F.col("y.part"))
+    star = written(alike(shared.where("a IS NOT NULL").select("a", F.col("h").alias("b"))))
+    parts = connected_components(star, "a", "b")
+    rows = shared.where("size > 2").join(parts, F.col("h") == F.col("node"), "left")
+    band = F.when(F.col("size") > LARGE, _band(F.col("n"))).otherwise(0)
+    rows = rows.select(_key("e").alias("k"), "e", "h", "n", "size", F.coalesce("component", "h").alias("part"), band.alias("band"))
+    reach = F.when(F.col("size") > LARGE, F.array(F.col("band"), F.col("band") + 1)).otherwise(F.array(F.lit(0)))
+    x, y = rows.alias("x"), rows.select("*", F.explode(reach).alias("meet")).alias("y")
+    once = (F.col("x.band") != F.col("y.band")) | (F.col("x.h") < F.col("y.h"))
+    on = (F.col("x.k") == F.col("y.k")) & (F.col("x.band") == F.col("y.meet")) & once & (F.col("x.part") != F.col("y.part"))
     pairs = x.join(y, on & may(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}")))
-    rest = verify(checkpointed(pairs.select(F.col("x.h").alias("a"), F.col("y.h").alias("b")).distinct()))
-    return star.union(rest)
+    return star.union(alike(pairs.select(F.least("x.h", "y.h").alias("a"), F.greatest("x.h", "y.h").alias("b"))))
