@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, text_of
+from .common import text_of, written
 
 #: Digests of a bucket, and of a displacement group, on average.
 BUCKET, GROUP = 2048, 3
@@ -86,24 +86,49 @@ def look_up(rows: DataFrame, index: DataFrame, buckets: int) -> DataFrame:
     return found.select(*rows.columns, F.coalesce(same, F.lit(False)).alias("member"), F.when(same, F.get("winners", F.col("slot"))).alias("winner"), F.when(same, F.get("sizes", F.col("slot"))).alias("n"))
 
 
+def _digests(frame: DataFrame) -> DataFrame:
+    return written(frame.select(F.col("doc_id").cast("long").alias("id"), F.sha2(text_of(), 256).alias("digest")))
+
+
+def _indexed(known: DataFrame) -> tuple[DataFrame, int]:
+    count = known.agg(F.approx_count_distinct("digest")).first()[0]
+    buckets = max(1, -(-count // BUCKET))
+    return written(build_index(known, buckets)), buckets
+
+
+def _grouped(found: DataFrame) -> DataFrame:
+    """Looked-up rows (id, digest, member, winner, n) with the winners and sizes of what the index lacks taken from themselves."""
+    columns = ["id", "digest", "member", "winner", "n"]
+    rest = found.where(~F.col("member")).select("id", "digest", "member")
+    groups = rest.groupBy("digest").agg(F.max("id").alias("winner"), F.count("*").alias("n"))
+    return found.where("member").select(*columns).union(rest.join(groups, "digest").select(*columns))
+
+
 def exact_groups(docs: DataFrame, history: DataFrame | None = None) -> DataFrame:
     """Rows (id, digest, keep_id, group_size), one for each row of docs.
 
     history: documents seen before (default: docs itself). A row whose text the history has gets its winner
     there, the greatest doc_id of that text; texts that it lacks form groups among docs. group_size counts
     the rows of the group in the history or, where it lacks the text, in docs. Null texts count as empty;
-    equal means identical. Null ids lose to any other. Columns beside doc_id and text are not read.
+    equal means identical. Null ids lose to any other. Texts are read whole; rows that repeat give a row each; an
+    empty table gives none. Columns beside doc_id and text are not read.
     """
+    rows = _digests(docs)
+    found = written(look_up(rows, *_indexed(rows if history is None else _digests(history))))
+    return _grouped(found).select("id", "digest", F.col("winner").alias("keep_id"), F.col("n").alias("group_size"))
 
-    def digests(frame: DataFrame) -> DataFrame:
-        return checkpointed(frame.select(F.col("doc_id").cast("long").alias("id"), F.sha2(text_of(), 256).alias("digest")))
 
-    rows = digests(docs)
-    known = rows if history is None else digests(history)
-    count = known.agg(F.approx_count_distinct("digest")).first()[0]
-    buckets = max(1, -(-count // BUCKET))
-    found = checkpointed(look_up(rows, build_index(known, buckets), buckets))
-    rest = found.where(~F.col("member")).select("id", "digest")
-    groups = rest.groupBy("digest").agg(F.max("id").alias("winner"), F.count("*").alias("n"))
-    new = rest.join(groups, "digest").select("id", "digest", "winner", "n")
-    return found.where("member").select("id", "digest", "winner", "n").union(new).select("id", "digest", F.col("winner").alias("keep_id"), F.col("n").alias("group_size"))
+def with_arrivals(history: DataFrame, arriving: DataFrame) -> DataFrame:
+    """Rows (id, digest, keep_id, group_size), one for each row of both, as if both were one table.
+
+    Arriving rows whose text the history has are found by its index; those that it lacks form groups of
+    their own. What arrives for a text of the history counts towards its group, and its greatest id may take
+    the group over. Nulls, repeats and other columns as in exact_groups; either table may be empty.
+    """
+    old, new = _digests(history), _digests(arriving)
+    index, buckets = _indexed(old)
+    found = written(look_up(new, index, buckets))
+    late = found.where("member").groupBy("digest").agg(F.max("id").alias("late_id"), F.count("*").alias("late"))
+    both = look_up(old, index, buckets).union(_grouped(found).select("id", "digest", "member", "winner", "n")).join(late, "digest", "left")
+    # greatest() passes nulls over, as max() does.
+    return both.select("id", "digest", F.greatest("winner", F.when(F.col("member"), F.col("late_id"))).alias("keep_id"), (F.col("n") + F.when(F.col("member"), F.coalesce("late", F.lit(0))).otherwise(0)).alias("group_size"))

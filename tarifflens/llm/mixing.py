@@ -11,11 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import checkpointed, text_of
+from .common import fresh, text_of, written
 
 REPEATS, WEIGHTS, SEED = 3, (1, 2, 3), 17
-#: Hash ranges of a source and ranges of finish times; running sums are kept within one and carried over between them.
-LANES, TIMES = 1024, 4096
+#: Rows for each hash range of a source and each range of finish times, on average, and the least number of either; running sums are kept within one range and carried over between them.
+ROWS, LEAST = 20_000, 1024
 
 
 def document_size(text: Column) -> Column:
@@ -36,7 +36,7 @@ def source_targets(sizes: DataFrame, repeats: int = REPEATS, weights: tuple[int,
     """
     number = F.row_number().over(W.orderBy(F.col("lane_source").asc())) - 1
     weight = F.get(F.array(*(F.lit(float(w)) for w in weights)), F.pmod(number, F.lit(len(weights))))
-    sources = checkpointed(sizes.withColumn("weight", weight).withColumn("most", F.col("source_size") * float(repeats)))
+    sources = written(sizes.withColumn("weight", weight).withColumn("most", F.col("source_size") * float(repeats)))
     budget, heft = sources.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(1.0))).first()
     level = budget / heft
     while True:
@@ -56,22 +56,22 @@ def mix(docs: DataFrame, columns: list[str], repeats: int = REPEATS, weights: tu
     their own. No document is taken more than repeats times; reruns agree.
     """
     key = F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col("source").cast("string")))
-    rows = docs.select(
-        *columns, key.alias("lane_source"), document_size(text_of()).alias("size"), place_of(seed).alias("place")
-    ).withColumn("lane", F.shiftright("place", 54))
-    rows = checkpointed(rows)
+    rows = written(docs.select(*columns, key.alias("lane_source"), document_size(text_of()).alias("size"), place_of(seed).alias("place")))
+    ranges = max(LEAST, 1 << (rows.count() // ROWS).bit_length())
+    rows = rows.withColumn("lane", F.shiftright("place", 64 - (ranges.bit_length() - 1)))
     lanes = rows.groupBy("lane_source", "lane").agg(F.sum("size").alias("lane_size"))
     sources, level, budget = source_targets(lanes.groupBy("lane_source").agg(F.sum("lane_size").alias("source_size")), repeats, weights)
     before = F.sum("lane_size").over(W.partitionBy("lane_source").orderBy("lane").rowsBetween(W.unboundedPreceding, -1))
     lanes = lanes.withColumn("before", F.coalesce(before, F.lit(0))).join(sources, "lane_source").drop("lane_size", "most")
     running = F.sum("size").over(W.partitionBy("lane_source", "lane").orderBy("place").rowsBetween(W.unboundedPreceding, 0))
-    queue = checkpointed(rows.withColumn("running", running).join(lanes, ["lane_source", "lane"]).withColumn("upto", F.col("before") + F.col("running")))
+    queue = written(rows.withColumn("running", running).join(lanes, ["lane_source", "lane"]).withColumn("upto", F.col("before") + F.col("running")))
 
     def finish(k: Column | int) -> Column:
         return (F.col("upto") + F.lit(1) * k * F.col("source_size")) / F.col("weight")
 
     copies = queue.where("size > 0").select("size", "lane_source", "place", F.explode(F.transform(F.sequence(F.lit(0), F.lit(repeats - 1)), finish)).alias("finish"))
-    time = F.least(F.lit(TIMES), F.floor(F.col("finish") / (level or 1.0) * (TIMES - 64)))
+    # The cut is near level; what is far beyond it shares the last range.
+    time = F.least(F.lit(4 * ranges), F.floor(F.col("finish") / (level or 1.0) * 4 * ranges * 0.98))
     copies = copies.withColumn("time", time)
     times = copies.groupBy("time").agg(F.sum("size").alias("sum"))
     times = times.withColumn("upto", F.sum("sum").over(W.orderBy("time").rowsBetween(W.unboundedPreceding, 0)))
@@ -87,9 +87,10 @@ def mix(docs: DataFrame, columns: list[str], repeats: int = REPEATS, weights: tu
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """docs with each row as often as the mix takes it. Rows with the same id and text count as often as they stand there, and come out as copies of one of them."""
-    chosen = mix(docs, ["doc_id"]).groupBy("doc_id", "place").agg(F.sum("copies").cast("int").alias("_copies")).where("_copies > 0")
-    chosen = chosen.select(F.col("doc_id").alias("_id"), F.col("place").alias("_place"), "_copies")
-    rows = docs.withColumn("_at", place_of()).dropDuplicates(["doc_id", "_at"])
-    joined = rows.join(chosen, rows["doc_id"].eqNullSafe(chosen["_id"]) & (rows["_at"] == chosen["_place"]))
-    return joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    """docs with each row as often as the mix takes it. Rows with the same id and text count as often as they stand there, and come out as copies of one of them. Null and empty texts have no size and aren't taken; an empty table gives none. Other columns pass through under any name."""
+    of, its, copies, place, copy = fresh(docs, "of", "its", "copies", "place", "copy")
+    chosen = mix(docs, ["doc_id"]).groupBy("doc_id", "place").agg(F.sum("copies").cast("int").alias("n")).where("n > 0")
+    chosen = chosen.select(F.col("doc_id").alias(of), F.col("place").alias(its), F.col("n").alias(copies))
+    rows = docs.withColumn(place, place_of()).dropDuplicates(["doc_id", place])
+    joined = rows.join(chosen, rows["doc_id"].eqNullSafe(chosen[of]) & (rows[place] == chosen[its]))
+    return joined.withColumn(copy, F.explode(F.array_repeat(F.lit(1), F.col(copies)))).select(*(F.col(f"`{c}`") for c in docs.columns))

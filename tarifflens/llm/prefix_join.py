@@ -67,7 +67,7 @@ def links(items: DataFrame, may: Callable[[Callable, Callable], Column], allowed
     verify: the pairs (a, b) of h that are links. Every bucket is first linked through its least item;
     then only items that these links don't join are compared.
     """
-    keyed = items.select(F.explode("prefix").alias("e"), "h", "n").withColumn("k", _key("e"))
+    keyed = items.select(F.explode("prefix").alias("e"), "h", "n").repartition(_key("e")).withColumn("k", _key("e"))  # dealt before k is there, so k isn't shuffled
     bucket = W.partitionBy("k")
     shared = keyed.withColumn("size", F.count("*").over(bucket)).where("size > 1")
     shared = shared.withColumn("rep", F.min(F.struct("h", "n", "e")).over(bucket))

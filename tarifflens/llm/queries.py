@@ -18,7 +18,8 @@ def vocabulary_path() -> str:
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fingerprints.compare_edits(table(spark, sf_dir, "documents"))
     prints = (fingerprints.as_text(F.col("sketch")).alias("fingerprint"), fingerprints.as_text(F.col("edited_sketch")).alias("edited_fingerprint"))
-    return found.select("doc_id", "n_chars", "edited_sha256", *prints, "near_edited", "near_next")
+    more = (fingerprints.shingle_count(F.col("sketch")).alias("n_shingles_est"), fingerprints.containment(F.col("sketch"), F.col("edited_sketch")).alias("contained_edited"))
+    return found.select("doc_id", "n_chars", "edited_sha256", *prints, "near_edited", "near_next", *more)
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +57,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
+    # Two thirds of the ids, by a hash, count as seen before; the rest, and rows without an id, arrive.
+    docs = table(spark, sf_dir, "documents")
+    old = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(3)) > 0, F.lit(False))
+    found = exact_dedup.with_arrivals(docs.where(old & F.col("doc_id").isNotNull()), docs.where(~old | F.col("doc_id").isNull()))
     return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", (F.col("id") == F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))
 
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, connected_components
+from .common import connected_components, fresh, shuffle_partitions, text_of, written
 
 MAX_BITS = 4
 SHINGLE = 4
@@ -124,25 +124,30 @@ def _links(keys: np.ndarray, values: np.ndarray, most: int) -> tuple[np.ndarray,
 
 def _link_runs(batches: Iterator[pa.RecordBatch], most: int = MAX_BITS) -> Iterator[pa.RecordBatch]:
     """Batches (k, f) sorted by k to batches of links (a, b); only the last run of a batch is carried on."""
-    keys, values = np.empty(0, np.int64), np.empty(0, np.uint64)
+    kept: list[tuple[np.ndarray, np.ndarray]] = []  # of the run that isn't ended, in parts
 
-    def links(k, v):
+    def links():
+        k, v = (np.concatenate(x) for x in zip(*kept, strict=True))
         a, b = _links(k, v, most)
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     for batch in batches:
-        keys = np.concatenate([keys, batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)])
-        values = np.concatenate([values, batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)])
+        keys = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        values = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
         cut = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
-        if cut:
-            yield links(keys[:cut], values[:cut])
-            keys, values = keys[cut:], values[cut:]
-    yield links(keys, values)
+        if cut or (len(keys) and kept and kept[-1][0][-1] != keys[0]):
+            kept.append((keys[:cut], values[:cut]))
+            yield links()
+            kept = []
+        kept.append((keys[cut:], values[cut:]))
+    if kept:
+        yield links()
 
 
 def link_fingerprints(distinct: DataFrame) -> DataFrame:
     """Rows (node, component) of the distinct fingerprints f that some other one is linked with."""
-    indexed = distinct.select(F.explode(variants(F.col("f"))).alias("k"), "f")
+    # Dealt evenly first: what an aggregation left in a few tasks would be multiplied there.
+    indexed = distinct.repartition(shuffle_partitions(distinct.sparkSession), "f").select(F.explode(variants(F.col("f"))).alias("k"), "f")
     links = indexed.repartition("k").sortWithinPartitions("k").mapInArrow(_link_runs, "a long, b long")
     return connected_components(links, "a", "b")
 
@@ -154,7 +159,7 @@ def near_components(docs: DataFrame, text: str = "text", id_column: str = "doc_i
     an id each give a row. A null id is never the least unless all of its component's are null.
     Columns beside the text and the id are not read.
     """
-    prints = checkpointed(docs.select(F.col(id_column).alias("id"), simhash(F.col(text)).alias("f")))
+    prints = written(docs.select(F.col(id_column).alias("id"), simhash(F.col(text)).alias("f")))
     classes = prints.groupBy("f").agg(F.min("id").alias("least"))
     parts = link_fingerprints(classes.select("f"))
     joined = classes.join(parts, classes["f"] == parts["node"], "left").select("f", "least", F.coalesce("component", "f").alias("root"))
@@ -164,8 +169,14 @@ def near_components(docs: DataFrame, text: str = "text", id_column: str = "doc_i
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs with one row of each component: that of the least doc_id. Rows without a doc_id can't be told apart and stay."""
-    named = docs.where(F.col("doc_id").isNotNull())
-    keep = near_components(named).where(F.col("id") == F.col("component")).select(F.col("id").alias("keep_id")).distinct()
-    kept = named.join(keep, named["doc_id"] == keep["keep_id"], "left_semi").dropDuplicates(["doc_id"])
-    return kept.union(docs.where(F.col("doc_id").isNull()))
+    """docs with one row of each component: that of the least doc_id, then of the least text hash; a null doc_id only where no other is there.
+
+    Null and empty texts are one component. Rows that repeat id and text come out once; an empty table gives
+    none. Other columns pass through under any name.
+    """
+    mark, of, its = fresh(docs, "mark", "of", "its")
+    marked = docs.withColumn(mark, F.xxhash64(text_of()))
+    rows = docs.select(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64(text_of()).alias("mark")).alias("at"), "text")
+    keep = near_components(rows, id_column="at").select("component.id", "component.mark").distinct().select(F.col("id").alias(of), F.col("mark").alias(its))
+    kept = marked.join(keep, marked["doc_id"].eqNullSafe(keep[of]) & (marked[mark] == keep[its]), "left_semi")
+    return kept.dropDuplicates(["doc_id", mark]).drop(mark)

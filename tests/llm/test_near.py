@@ -114,3 +114,43 @@ def test_stage_tells_rows_of_one_id_apart(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     stage = dict(corpus_pipeline.STAGES)["simhash_near_dedup"]
     assert sorted(map(tuple, stage(spark, docs, "").collect()), key=repr) == sorted(rows[:3], key=repr)
+
+
+def test_hostile_texts(spark):
+    long = ["x@" + "a." * 200_000, "a" * 400_000, "a@" * 200_000, "1-" * 100_000, "ab12 " * 100_000, "f:" * 200_000, "12/12/" * 50_000, "DE89 3704 " * 20_000]
+    docs = spark.createDataFrame(list(enumerate(long)), "doc_id long, text string")
+    assert pseudonyms.pseudonymise(docs, "k").count() == len(long)
+
+
+def test_kinds_of_personal_data(spark):
+    texts = [
+        "ssn 123-45-6789 not 666-12-1234 nor 123-00-1234", "DE89 3704 0044 0532 0130 00 and DE89370400440532013000 not DE88370400440532013000",
+        "2001:db8::ff00:42:8329 and 2001:0db8:0000:0000:0000:ff00:0042:8329 not Bad::Cafe 12:30:45", "3/4/1987 and 12/25/1987 or 1987-03-04 or 1987/03/04", "03/04/1987 and 28/02/1987 or 1987-04-03",
+        "555 123 4567 or 555-123-4567 or (555) 123-4567 or +1 555 123 4567", "1815-06-18 or 18.06.1815 not 0001-01-01", "IV12 4111 1111 1111 1111",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = [r["text"] for r in pseudonyms.pseudonymise(docs, "k").orderBy("doc_id").collect()]
+    assert re.fullmatch(r"ssn (?!123-45-6789)\d{3}-\d{2}-\d{4} not 666-12-1234 nor 123-00-1234", found[0])
+    a, b = re.fullmatch(r"(DE(?: ?\d){20}) and (DE\d{20}) not DE88370400440532013000", found[1]).groups()
+    assert a.replace(" ", "") == b != "DE89370400440532013000" and int(b[4:] + "1314" + b[2:4]) % 97 == 1
+    a, b = re.fullmatch(r"(\S+) and (\S+) not Bad::Cafe 12:30:45", found[2]).groups()
+    assert a == b != "2001:0db8:0000:0000:0000:ff00:0042:8329"
+    m, d, y = re.match(r"(\d+)/(\d+)/(\d{4})", found[3]).groups()
+    assert found[3].endswith(f" or {y}-{int(m):02}-{int(d):02} or {y}/{int(m):02}/{int(d):02}") and (y, m, d) != ("1987", "3", "4")
+    d, m, y = re.match(r"(\d+)/(\d+)/(\d{4})", found[4]).groups()
+    assert found[4].endswith(f" or {y}-{m}-{d}")
+    assert len({re.sub(r"\D", "", x)[-10:] for x in found[5].split(" or ")}) == 1 and "555" not in found[5].split(" or ")[0][:3]
+    iso, dotted = re.fullmatch(r"(\S+) or (\S+) not 0001-01-01", found[6]).groups()
+    assert iso == "-".join(reversed(dotted.split("."))) and 1000 <= int(iso[:4]) < 1900 and "4111" not in found[7]
+
+
+def test_buckets_of_like_and_unlike_lines(spark):
+    """Large buckets of lines that share words but aren't near, of different sizes, and near ones among them."""
+    draw = random.Random(21)
+    shared = [f"s{i}" for i in range(6)]
+    lines = [draw.choices([f"v{i}" for i in range(4000)], k=draw.randint(2, 30)) + shared + draw.choices([f"v{i}" for i in range(4000)], k=draw.randint(2, 30)) for _ in range(120)]
+    lines += [edited(draw, draw.choice(lines), draw.randint(1, 4)) for _ in range(60)]
+    near = lambda i, j: 5 * edits(lines[i], lines[j]) <= max(len(lines[i]), len(lines[j]))
+    want = [int(root != i) for i, root in enumerate(groups_of(len(lines), near))]
+    docs = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(lines)], "doc_id long, text string").repartition(3)
+    assert [r["n_dropped"] for r in line_dedup.drop_repeated_lines(docs).orderBy("doc_id").collect()] == want
