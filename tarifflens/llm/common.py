@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -70,10 +71,14 @@ def written(frame: DataFrame) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
-def checkpointed(frame: DataFrame) -> DataFrame:
-    """frame with its lineage cut, in the shared folder."""
-    shared_folder(frame.sparkSession)
-    return frame.checkpoint()
+def release(spark: SparkSession, *tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more, and has the driver's collector run, upon which Spark deletes the shuffle files of plans that are done."""
+    jvm, configuration = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in {f.rpartition("/")[0] for table in tables for f in table.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(configuration).delete(path, True)
+    gc.collect()
+    jvm.System.gc()
 
 
 def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -101,7 +106,9 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
         )
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e"))
-        now = written(small.select("e.u", "e.v").where(F.col("u") != F.col("v")).distinct())
+        old, now = now, written(small.select("e.u", "e.v").where(F.col("u") != F.col("v")).distinct())
+        del both, least, large, small
+        release(edges.sparkSession, old)
         before, seen = seen, mark(now)
         if seen == before:
             break

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import connected_components, fresh, written
+from .common import connected_components, fresh, release, written
 
 PLACE_BITS = 16
 ANYWHERE = (1 << PLACE_BITS) - 1
@@ -59,7 +59,7 @@ def _band(n: Column) -> Column:
 
 
 def links(items: DataFrame, may: Callable[[Callable, Callable], Column], allowed: Callable[[Column, Column], Column], verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Links (a, b) whose components are those of all pairs that verify lets through.
+    """A table of links (a, b) whose components are those of all pairs that verify lets through.
 
     items: a table of distinct h with n, longs b0 and b1, and prefix, an array of members, none twice. may: whether
     two rows (h, n, e) of one key, as functions of a column's name, can belong to a link; only items whose
@@ -74,14 +74,21 @@ def links(items: DataFrame, may: Callable[[Callable, Callable], Column], allowed
     by_rep = (F.col("h") != F.col("rep.h")) & may(lambda c: F.col(c), lambda c: F.col(f"rep.{c}"))
     shared = shared.select("e", "h", "n", F.col("size").cast("int").alias("size"), F.when(by_rep, F.col("rep.h")).alias("a"))
     shared = written(shared.where("size > 2 OR a IS NOT NULL"))
+    spark = items.sparkSession
+    del keyed
+    release(spark)
     bits = items.select("h", "n", "b0", "b1")
 
     def alike(pairs: DataFrame) -> DataFrame:
         """Those of the pairs whose parity bits differ little, verified."""
         of = lambda x: bits.select(F.col("h").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in ("n", "b0", "b1")))
-        both = pairs.distinct().join(of("a"), "a").join(of("b"), "b")
+        distinct = written(pairs.distinct())
+        release(spark)
+        both = distinct.join(of("a"), "a").join(of("b"), "b")
         apart = F.bit_count(F.col("a_b0").bitwiseXOR(F.col("b_b0"))) + F.bit_count(F.col("a_b1").bitwiseXOR(F.col("b_b1")))
-        return verify(written(both.where(apart <= allowed(F.col("a_n"), F.col("b_n"))).select("a", "b")))
+        left = written(both.where(apart <= allowed(F.col("a_n"), F.col("b_n"))).select("a", "b"))
+        release(spark, distinct)
+        return verify(left)
 
     star = written(alike(shared.where("a IS NOT NULL").select("a", F.col("h").alias("b"))))
     parts = connected_components(star, "a", "b")
@@ -93,4 +100,6 @@ def links(items: DataFrame, may: Callable[[Callable, Callable], Column], allowed
     once = (F.col("x.band") != F.col("y.band")) | (F.col("x.h") < F.col("y.h"))
     on = (F.col("x.k") == F.col("y.k")) & (F.col("x.band") == F.col("y.meet")) & once & (F.col("x.part") != F.col("y.part"))
     pairs = x.join(y, on & may(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}")))
-    return star.union(alike(pairs.select(F.least("x.h", "y.h").alias("a"), F.greatest("x.h", "y.h").alias("b"))))
+    found = written(star.union(alike(pairs.select(F.least("x.h", "y.h").alias("a"), F.greatest("x.h", "y.h").alias("b")))))
+    release(spark, shared, star)
+    return found

@@ -410,7 +410,7 @@ def test_pipeline(spark):
     docs = common.table(spark, sf, "documents")
     assert [len(corpus_pipeline.STAGES)] == [5]
     for _, stage in corpus_pipeline.STAGES[:-1]:
-        found = common.checkpointed(stage(spark, docs, sf))
+        found = common.written(stage(spark, docs, sf))
         assert found.columns == docs.columns and found.count() > 0
         docs = found
     ids = {r["doc_id"] for r in docs.collect()}
