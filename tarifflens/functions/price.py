@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import clean, without_price_words
+from .text import YEAR, clean, without_price_words
 
 #: Rates to KZT for when no service answers.
 FALLBACK_RATES = {"KZT": 1.0, "USD": 470.0, "EUR": 510.0, "RUB": 5.2}
@@ -16,8 +16,8 @@ CURRENCY_SIGNS = (("USD", ("usd", "\\$", "доллар")), ("EUR", ("eur", "€"
 #: Texts of reasons, and the change that a note needs.
 MISSING, NOT_POSITIVE, LOWER = "price missing or invalid", "price must be > 0", "nonresident price is lower than resident price"
 MOST_CHANGE = 0.5
-#: How a date, or a year alone, stands in a name.
-YMD, DMY, YEAR = "\\d{4}[-_.]\\d{2}[-_.]\\d{2}", "\\d{2}[-_.]\\d{2}[-_.]\\d{4}", "(?:^|[._\\-\\s])(19\\d{2}|20\\d{2})(?:$|[._\\-\\s])"
+#: How a date stands in a name.
+YMD, DMY = "\\d{4}[-_.]\\d{2}[-_.]\\d{2}", "\\d{2}[-_.]\\d{2}[-_.]\\d{4}"
 #: Fixed value: the number that a price is read from.
 NUMBER = "\\d[\\d\\s]*(?:[.,]\\d+)?"
 
@@ -38,6 +38,23 @@ def fallback_rate(currency: Column) -> Column:
     return reduce(lambda acc, x: F.when(F.upper(currency) == x[0], x[1]).otherwise(acc), FALLBACK_RATES.items(), F.lit(1.0))
 
 
+def with_rates(rows: DataFrame, rates: DataFrame | None = None) -> DataFrame:
+    """rows (currency, ...) with rate and rate_source: native for KZT, api for a positive rate of rates (currency, rate), fallback for a fixed one."""
+    if rates is None:
+        found = rows.withColumn("_rate", F.lit(None).cast("double"))
+    else:
+        known = rates.where("rate > 0").groupBy(F.upper("currency").alias("_currency")).agg(F.max("rate").cast("double").alias("_rate"))  # as many rows as there are currencies
+        found = rows.join(known, F.upper("currency") == F.col("_currency"), "left").drop("_currency")
+    native = F.upper("currency") == "KZT"
+    source = F.when(native, "native").when(F.col("_rate").isNotNull(), "api").otherwise("fallback")
+    rate = F.when(native, 1.0).otherwise(F.coalesce("_rate", fallback_rate(F.col("currency"))))
+    return found.withColumns({"rate": rate, "rate_source": source}).drop("_rate")
+
+
+def in_future(day: Column, today: Column) -> Column:
+    return F.coalesce(day > today, F.lit(False))
+
+
 def to_kzt(value: Column, rate: Column) -> Column:
     return F.bround(value * rate, 2)
 

@@ -102,7 +102,7 @@ def group_key(path: Column) -> Column:
 
 
 #: Fixed value: a year of the 1900s or 2000s between marks, spaces or ends.
-YEAR = "(?:^|[._\\-\\s])(?:19\\d{2}|20\\d{2})(?:$|[._\\-\\s])"
+YEAR = "(?:^|[._\\-\\s])(19\\d{2}|20\\d{2})(?:$|[._\\-\\s])"
 
 
 def cleaned_partner(name: Column) -> Column:
@@ -119,6 +119,21 @@ def partner_name(path: Column) -> Column:
     return F.coalesce(numbered, F.when(cleaned_partner(s) != s, cleaned_partner(s)), F.nullif(no_number, F.lit("")), s)
 
 
+def archive_partner(archive: Column, path: Column) -> Column:
+    """The partner of a file in an archive: what its name tells of, else its first folder, else the archive's name."""
+    own = partner_name(path)
+    return F.when(own != stem(path), own).when(group_key(path) != "__root__", group_key(path)).otherwise(stem(archive))
+
+
+def display_name(file_name: Column) -> Column:
+    """The name without its ending, blanks for underscores."""
+    return F.replace(F.regexp_replace(file_name, "\\.[^.]*$", ""), F.lit("_"), F.lit(" "))
+
+
+def short_id(x: Column) -> Column:
+    return F.substring(x.cast("string"), 1, 8)
+
+
 def join_notes(*parts: Column) -> Column:
     """The parts that are there, each once, in order."""
     return F.array_join(F.array_distinct(F.filter(F.array_compact(F.array(*parts)), lambda p: p != "")), "; ")
@@ -128,8 +143,12 @@ def token_sorted(text: Column) -> Column:
     return F.array_join(F.array_sort(F.filter(F.split(text, "\\s+"), lambda t: t != "")), " ")
 
 
-def common_subsequence(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence: a fold over a's characters with one row of the table as state."""
+#: The longest text whose table row fits the bits of a long.
+BITS = 62
+
+
+def _subsequence_by_rows(a: Column, b: Column) -> Column:
+    """A fold over a's characters with one row of the table as state, for texts of any length."""
     chars = F.split(b, "")
 
     def row(prev: Column, c: Column) -> Column:
@@ -141,7 +160,24 @@ def common_subsequence(a: Column, b: Column) -> Column:
         return F.aggregate(F.sequence(F.lit(0), F.size(chars) - 1), F.array(F.lit(0)), cell)
 
     start = F.transform(F.sequence(F.lit(0), F.size(chars)), lambda i: F.lit(0))
-    return F.when((a == "") | (b == ""), 0).otherwise(F.element_at(F.aggregate(F.split(a, ""), start, row), -1))
+    return F.element_at(F.aggregate(F.split(a, ""), start, row), -1)
+
+
+def common_subsequence(a: Column, b: Column) -> Column:
+    """Length of the longest common subsequence. Up to BITS characters of b, a row of its table is kept as the bits where it doesn't grow, and a step is an addition."""
+    m = F.length(b)
+    whole = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.least(m, F.lit(BITS))) - 1
+    places = F.transform(F.split(b, ""), lambda y, i: F.struct(y.alias("y"), F.when(i < BITS, F.call_function("shiftleft", F.lit(1).cast("bigint"), F.least(i, F.lit(BITS)))).otherwise(F.lit(0)).alias("bit")))
+
+    def fold(known: Column) -> Column:
+        def step(v: Column, x: Column) -> Column:
+            here = F.aggregate(known["places"], F.lit(0).cast("bigint"), lambda acc, p: F.when(p["y"] == x, acc.bitwiseOR(p["bit"])).otherwise(acc))
+            return let(F.struct(v.alias("v"), v.bitwiseAND(here).alias("u")), lambda s: (s["v"] + s["u"]).bitwiseOR(s["v"] - s["u"]).bitwiseAND(known["whole"]))
+
+        return m - F.bit_count(F.aggregate(F.split(a, ""), known["whole"], step))
+
+    short = let(F.struct(places.alias("places"), whole.alias("whole")), fold)
+    return F.when((a == "") | (b == ""), 0).when(m <= BITS, short).otherwise(_subsequence_by_rows(a, b))
 
 
 def token_sort_ratio(a: Column, b: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import clean, looks_uncertain, token_sort_ratio, token_sorted
+from ..functions.text import clean, looks_uncertain, stem, token_sort_ratio, token_sorted
 from .rows import first_by
 
 AUTO, REVIEW = 92, 85
@@ -23,9 +23,9 @@ def choices(services: DataFrame) -> DataFrame:
 def match_names(names: DataFrame, services: DataFrame) -> DataFrame:
     """Rows (raw_name, service_id, score, status) for the distinct raw_name of names.
 
-    Equal labels settle a name by an equality join. The rest are compared with the labels whose length
-    allows the review score at all, which loses no match: names and labels meet in an equality join on length
-    bands, and the longest common subsequence is computed only there.
+    Equal labels settle a name by an equality join. The rest meet, in an equality join on length, the labels whose
+    length allows the review score at all; of these only pairs within as many edits as the score allows are
+    scored, by the longest common subsequence. No match is lost.
     """
     wanted = names.select("raw_name").where("raw_name is not null").distinct()
     listed = choices(services)
@@ -33,11 +33,16 @@ def match_names(names: DataFrame, services: DataFrame) -> DataFrame:
     exact = wanted.where(~looks_uncertain(F.col("raw_name"))).join(listed.withColumn("k", key("label")), key("raw_name") == F.col("k"))
     exact = first_by(exact, ["raw_name"], F.col("service_id"), F.col("ordinal"))
     exact = exact.select("raw_name", "service_id", F.lit(100.0).alias("score"), F.when(F.col("source") == "synonym", "synonym").otherwise("exact").alias("status"))
-    rest = wanted.where(~looks_uncertain(F.col("raw_name"))).join(exact, "raw_name", "left_anti").withColumn("n", F.length(token_sorted(F.col("raw_name"))))
+    rest = wanted.where(~looks_uncertain(F.col("raw_name"))).join(exact, "raw_name", "left_anti").withColumn("x", token_sorted(F.col("raw_name")))
+    labels = listed.withColumn("y", token_sorted(F.col("label"))).where("y <> ''")
+    # The score needs at most `most` inserts and deletes; neither lengths, nor kinds of characters, nor edits may then differ by more.
     least = REVIEW / (200 - REVIEW)
-    band = lambda n: F.floor(F.log(n) / F.log(F.lit(1 / least))).cast("int")
-    labels = listed.withColumn("m", F.length(token_sorted(F.col("label")))).where("m > 0").withColumn("band", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: band(F.col("m")) + d)))
-    pairs = rest.where("n > 0").withColumn("band", band(F.col("n"))).join(labels, "band").where(F.least("n", "m") >= least * F.greatest("n", "m") - 1e-9)
+    kinds = lambda c: F.aggregate(F.split(c, ""), F.lit(0).cast("bigint"), lambda b, ch: b.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.xxhash64(ch).bitwiseAND(F.lit(63).cast("bigint")).cast("int"))))
+    reach = lambda m: F.sequence(F.ceil(m * least - 1e-9).cast("int"), F.floor(m / least + 1e-9).cast("int"))
+    labels = labels.withColumn("by", kinds(F.col("y"))).withColumn("n", F.explode(reach(F.length("y"))))
+    rest = rest.where("x <> ''").withColumns({"n": F.length("x"), "bx": kinds(F.col("x"))})
+    most = F.floor((F.length("x") + F.length("y")) * (1 - REVIEW / 100) + 1e-9).cast("int")
+    pairs = rest.join(labels, "n").where((F.bit_count(F.col("bx").bitwiseXOR(F.col("by"))) <= most) & (F.call_function("levenshtein", F.col("x"), F.col("y"), most) >= 0))
     scored = first_by(pairs.withColumn("score", token_sort_ratio(F.col("raw_name"), F.col("label"))), ["raw_name"], F.col("score").desc(), F.col("service_id"), F.col("ordinal"))
     fuzzy = scored.where(F.col("score") >= REVIEW).select(
         "raw_name", F.when(F.col("score") >= AUTO, F.col("service_id")).alias("service_id"), "score", F.when(F.col("score") >= AUTO, "fuzzy_auto").otherwise("fuzzy_review").alias("status")
@@ -106,3 +111,32 @@ def without_deleted(items: DataFrame, documents: DataFrame) -> DataFrame:
 def insert_if_absent(new: DataFrame, existing: DataFrame, key: str, order: str) -> DataFrame:
     """The first of each key of new that existing lacks."""
     return first_by(new, [key], F.col(order)).join(existing.select(key), key, "left_anti")
+
+
+def placeholder_items(documents: DataFrame, items: DataFrame) -> DataFrame:
+    """Rows (doc_id, service_name_raw, verification_note): one for each readable document (doc_id, file_name, parse_status) without items."""
+    none = documents.where("parse_status <> 'error'").join(items.select("doc_id"), "doc_id", "left_anti")
+    return none.select("doc_id", stem(F.col("file_name")).alias("service_name_raw"), F.lit("needs manual review").alias("verification_note"))
+
+
+def load_catalogue(sheet: DataFrame, existing: DataFrame) -> DataFrame:
+    """Rows (row_no, service_name, category, synonyms) of a sheet (row_no, name, category) whose names existing (service_name) lacks.
+
+    Rows without a name are left out, the first of equal names counts, and the category is the only synonym.
+    """
+    rows = sheet.select("row_no", F.nullif(F.trim("name"), F.lit("")).alias("service_name"), F.nullif(F.trim("category"), F.lit("")).alias("category")).where("service_name is not null")
+    return insert_if_absent(rows, existing, "service_name", "row_no").withColumn("synonyms", F.array_compact(F.array("category")))
+
+
+def drafts_with_items(drafts: DataFrame, items: DataFrame) -> DataFrame:
+    """Drafts of a review with the items that they are about; drafts about none are left out."""
+    return drafts.join(items, "item_id")
+
+
+def nested_documents(documents: DataFrame, items: DataFrame) -> DataFrame:
+    """documents (doc_id, name, ...), name being the partner's, with items: an array of structs (item_id, name), by name; empty where there are none."""
+    item = F.struct("name", "item_id")
+    nested = items.groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    none = F.expr("cast(array() as array<struct<item_id: bigint, name: string>>)")
+    as_item = F.transform("items", lambda i: F.struct(i["item_id"].cast("bigint").alias("item_id"), i["name"].alias("name")))
+    return documents.withColumnRenamed("name", "partner_name").join(nested, "doc_id", "left").withColumn("items", F.coalesce(as_item, none))

@@ -80,7 +80,7 @@ def archives(spark: SparkSession, d: str) -> DataFrame:
 
 #: Words on pages, and cells of price lists, in SQL that both engines read.
 WORDS_SQL = "SELECT user_id AS doc_id, CAST(event_id % 3 AS int) AS page, event_type AS text, CAST((event_id * 53) % 499 AS double) AS x0, CAST((event_id * 37) % 211 AS double) AS y0, CAST((event_id * 53) % 499 + 10 + event_id % 30 AS double) AS x1, event_id FROM events"
-CELLS_SQL = """SELECT CAST(p_size AS bigint) AS doc_id, p_partkey AS row_idx,
+CELLS_SQL = """SELECT CAST(p_size AS bigint) AS doc_id, p_partkey AS row_idx, CAST(row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) - 1 AS int) AS row_no,
     CASE p_partkey % 8 WHEN 0 THEN 'U' || (p_partkey % 40) || '.' || p_size WHEN 1 THEN 'Раздел ' || p_size WHEN 2 THEN '01.' || p_size || ' Консультация'
       WHEN 3 THEN 'Код' WHEN 4 THEN '' WHEN 5 THEN 'КК' || p_size || '.2' WHEN 6 THEN 'KRS.10' ELSE p_brand END AS c0,
     CASE p_partkey % 8 WHEN 3 THEN 'Наименование услуги' WHEN 1 THEN '' ELSE p_name || ' ' || lower(p_type) END AS c1,

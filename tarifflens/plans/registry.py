@@ -12,6 +12,7 @@ from ..functions import price as P
 from ..functions import text as T
 from ..operators import history as H
 from ..operators import layout as L
+from ..operators import pages as G
 from ..operators import rows as R
 from ..sources import files as S
 from ..sources import writers
@@ -33,6 +34,8 @@ def query(sql: str | None = None, prelude: str = D.SQL):
     return add
 
 
+PAGES = f"WITH cells AS ({D.CELLS_SQL}), pages AS (SELECT *, (row_no // 10)::int AS page, array_to_string([c0, c1, c2], '|') AS row_text FROM (SELECT * EXCLUDE (row_idx), row_no % 10 AS row_idx FROM cells)) "
+PAGES_SOURCED = PAGES + ", sourced AS (SELECT *, n AS source FROM pages, (VALUES (0, 0), (1, 1), (2, 2)) AS v(n, m) WHERE (doc_id + page) % 4 <= n AND (n < 2 OR page % 3 > 0)) "
 CELLS = f"WITH cells AS ({D.CELLS_SQL}) "
 WORDS = f"WITH words AS ({D.WORDS_SQL}) "
 day = lambda c: F.col(c).cast("string").alias(c)
@@ -45,7 +48,7 @@ def _cell_query(name: str, expression: Callable[[], Column], sql: str, column: s
 
 
 _CLEAN = "trim(regexp_replace(replace(coalesce({0}, ''), chr(173), ''), '[\\s\\p{{Z}}]+', ' ', 'g'))"
-_SECTION = "regexp_matches(lower({0}), 'раздел|блок|подраздел|глава|часть') OR regexp_matches({0}, '^\\d+(\\.\\d+)*[.)]?\\s')"
+_SECTION = "regexp_matches(lower({0}), '" + "|".join(T.SECTION_HINTS) + "') OR regexp_matches({0}, '^\\d+(\\.\\d+)*[.)]?\\s')"
 _PRICE_TEXT = "regexp_replace(lower({0}), 'тенге|kzt|тг', '', 'g')"
 _PARSED = f"try_cast(replace(replace(regexp_extract({_PRICE_TEXT}, '\\d[\\d\\s]*(?:[.,]\\d+)?'), ' ', ''), ',', '.') AS double)"
 _cell_query("clean_text", lambda: T.clean(F.concat(F.lit("  "), F.col("c1"), F.lit(" \u00a0x\u00ad y "))), _CLEAN.format("'  ' || c1 || ' ' || chr(160) || 'x' || chr(173) || ' y '"))
@@ -59,47 +62,99 @@ _cell_query("looks_uncertain", lambda: T.looks_uncertain(F.col("c0")), "length(c
 _cell_query("parse_price", lambda: P.parse_price(F.col("c2")), f"CASE WHEN {_PARSED.format('c2')} >= 10 AND {_PARSED.format('c2')} < 1e10 THEN {_PARSED.format('c2')} END", "c2")
 _cell_query("detect_currency", lambda: P.detect_currency(F.concat_ws(" ", "c0", "c1", "c2")), "CASE WHEN regexp_matches(lower(c0 || ' ' || c1 || ' ' || c2), 'usd|\\$|доллар') THEN 'USD' WHEN regexp_matches(lower(c0 || ' ' || c1 || ' ' || c2), 'eur|€|евро') THEN 'EUR' WHEN regexp_matches(lower(c0 || ' ' || c1 || ' ' || c2), 'rub|руб') THEN 'RUB' ELSE 'KZT' END", "c2")
 _cell_query("parse_input", lambda: P.parse_input(F.col("c2")), "try_cast(regexp_replace(regexp_replace(c2, '\\s', '', 'g'), ',', '.') AS double)", "c2")
-_cell_query("header_score", lambda: R.header_score(F.array("c0", "c1", "c2")), " + ".join(f"CASE WHEN regexp_matches(lower({c}), '{'|'.join(R.HEADER_HINTS)}') THEN 2 ELSE 0 END + CASE WHEN regexp_matches(lower({c}), 'наимен|услуг|ед\\.|ед |измер|кол-|ндс') THEN 1 ELSE 0 END" for c in ("c0", "c1", "c2")))
-_cell_query("grid_filter", lambda: F.concat_ws(" ", "c0", "c1", "c2").rlike("\\d"), "regexp_matches(c0 || c1 || c2, '\\d')")
-_cell_query("rowset_score", lambda: R.rowset_score(F.array("c0", "c1", "c2")).cast("long"), f"""(SELECT CASE WHEN len(v) = 0 THEN 0 ELSE len(v) + CASE WHEN len(v) BETWEEN 2 AND 6 THEN 3 ELSE 0 END + CASE WHEN len(v) = 1 THEN CASE WHEN {_SECTION.format('v[1]')} THEN 1 ELSE -2 END ELSE 0 END
+_cell_query("header_score", lambda: R.header_score(F.array("c0", "c1", "c2")), " + ".join(f"CASE WHEN regexp_matches(lower({c}), '{'|'.join(R.HEADER_HINTS)}') THEN 2 ELSE 0 END + CASE WHEN regexp_matches(lower({c}), '{'|'.join(R.MORE_HINTS).replace('.', '[.]')}') THEN 1 ELSE 0 END" for c in ("c0", "c1", "c2")))
+_ROW_SCORE = f"""(SELECT CASE WHEN len(v) = 0 THEN 0 ELSE len(v) + CASE WHEN len(v) BETWEEN 2 AND 6 THEN 3 ELSE 0 END + CASE WHEN len(v) = 1 THEN CASE WHEN {_SECTION.format('v[1]')} THEN 1 ELSE -2 END ELSE 0 END
       - CASE WHEN length(j) > 180 THEN 2 ELSE 0 END + CASE WHEN len(list_filter(v, lambda x: length(replace(x, ' ', '')) <= 24 AND regexp_matches(x, '[0-9]') AND regexp_matches(replace(x, ' ', ''), '^[A-Za-z0-9][A-Za-z0-9.\\-/]*$'))) > 0 THEN 2 ELSE 0 END
       + CASE WHEN len(list_filter(v, lambda x: regexp_matches(replace({_PRICE_TEXT.format('x')}, ' ', ''), '^\\d+([.,]\\d+)?$'))) > 0 THEN 1 ELSE 0 END + CASE WHEN {_SECTION.format('j')} THEN 1 ELSE 0 END END
-      FROM (SELECT v, array_to_string(v, ' ') AS j FROM (SELECT list_filter([c0, c1, c2], lambda x: x <> '') AS v)))""")
+      FROM (SELECT v, array_to_string(v, ' ') AS j FROM (SELECT list_filter([c0, c1, c2], lambda x: x <> '') AS v)))"""
+_cell_query("rowset_score", lambda: R.rowset_score(F.array("c0", "c1", "c2")).cast("long"), _ROW_SCORE)
 
 
 def _grid(spark, d):
-    return D.cells(spark, d).select("doc_id", F.col("row_idx").cast("int").alias("row_idx"), F.array("c0", "c1", "c2").alias("cells"))
-
-
-@query("SELECT doc_id, min(row_idx)::int AS header_idx FROM cells WHERE row_idx < 50 AND c0 = 'Код' GROUP BY 1", CELLS)
+    """Rows of cells; row_idx counts from 0 in each document."""
+    return D.cells(spark, d).select("doc_id", F.col("row_no").alias("row_idx"), F.array("c0", "c1", "c2").alias("cells"))
+
+
+def _pages(spark, d):
+    """The same with ten rows a page; row_idx counts from 0 in each page."""
+    return D.cells(spark, d).select("doc_id", F.floor(F.col("row_no") / 10).cast("int").alias("page"), (F.col("row_no") % 10).alias("row_idx"), F.array("c0", "c1", "c2").alias("cells"))
+
+
+def _hints(x: str, hints: tuple[str, ...]) -> str:
+    return f"regexp_matches(lower({x}), '{'|'.join(h.replace('.', chr(92) + '.') for h in hints)}')"
+
+
+# SQL of single functions; x is an expression. What {names} stand for is applied once in a step of its own, a list of one that a lambda reads.
+_clean = lambda x: _CLEAN.format(x)
+_section = lambda x: f"({_hints(x, T.SECTION_HINTS)} OR regexp_matches({x}, '^\\d+(\\.\\d+)*[.)]?\\s'))"
+_price_like = lambda x: f"regexp_matches(replace({_PRICE_TEXT.format(x)}, ' ', ''), '^\\d+([.,]\\d+)?$')"
+_code_like = lambda x: f"(length(replace({x}, ' ', '')) <= 24 AND regexp_matches({x}, '[0-9]') AND regexp_matches(replace({x}, ' ', ''), '^[A-Za-z0-9][A-Za-z0-9.\\-/]*$'))"
+_normal = lambda x: f"replace(replace(translate({x}, '{T.LOOKALIKES[0]}', '{T.LOOKALIKES[1]}'), ' ', ''), '?', 'U')"
+_noise = lambda x: f"trim(regexp_replace(regexp_replace({x}, '^[ийИЙ]\\s+\\d+(\\.\\d+)+\\s+', ''), '^\\d+(\\.\\d+)+\\s+', ''), '{T.EDGE}')"
+_price = lambda x: f"(CASE WHEN {_PARSED.format(x)} >= 10 AND {_PARSED.format(x)} < 1e10 THEN {_PARSED.format(x)} END)"
+_there = lambda x: f"list_filter({x}, lambda y: y IS NOT NULL)"
+_HEADER_SCORE = " + ".join(f"CASE WHEN {_hints(c, R.HEADER_HINTS)} THEN 2 ELSE 0 END + CASE WHEN {_hints(c, R.MORE_HINTS)} THEN 1 ELSE 0 END" for c in ("c0", "c1", "c2"))
+#: Steps from cells to the fields of rows.
+_FIELDS = CELLS + f""", scored AS (SELECT doc_id, row_no AS row_idx, [c0, c1, c2] AS cells, {_HEADER_SCORE} AS score FROM cells),
+headers AS (SELECT doc_id, arg_max(row_idx, score * 1000 - row_idx) AS header_idx, arg_max(cells, score * 1000 - row_idx) AS header FROM scored WHERE row_idx < {R.HEADER_ROWS} AND score >= 2 GROUP BY 1),
+grid AS (SELECT doc_id, row_idx, list_filter(list_transform(cells, lambda x: {_clean('x')}), lambda x: x <> '') AS c, header_idx, coalesce(header, []) AS header FROM scored LEFT JOIN headers USING (doc_id)),
+tokens AS (SELECT *, len(list_filter(c, lambda x: regexp_matches(x, '\\p{{L}}'))) > 0 AS letters,
+    flatten(list_transform(c, lambda x: CASE WHEN {_section('x')} THEN [] ELSE string_split_regex(trim(x, '{T.EDGE}'), '\\s+') END)) AS tokens FROM grid),
+coded AS (SELECT *, {_there(f"list_transform(list_transform(tokens, lambda t: {_normal('t')}), lambda n: CASE WHEN letters AND regexp_matches(n, '^{chr(92)}d+({chr(92)}.{chr(92)}d+)+$') THEN 'U' || n WHEN NOT {_price_like('n')} AND {_code_like('n')} THEN n END)")}[1] AS code FROM tokens),
+places AS (SELECT *, list_filter(range(len(header)), lambda i: {_hints('header[i + 1]', R.PRICE_HINTS)}) AS price_at, list_filter(range(len(header)), lambda i: {_hints('header[i + 1]', R.NAME_HINTS)}) AS name_at FROM coded),
+priced AS (SELECT *, {_there(f"list_transform(price_at, lambda i: {_price('c[i + 1]')})")} AS inside, CASE WHEN len(header) = 0 THEN CASE WHEN len(c) >= 4 THEN 3 ELSE 0 END WHEN len(name_at) > 0 THEN list_max(name_at) + 1 WHEN len(c) >= 4 THEN 4 ELSE 0 END AS start FROM places),
+prices AS (SELECT *, CASE WHEN len(inside) > 0 THEN inside ELSE {_there(f"list_transform(range(start::bigint, len(c)), lambda i: {_price('c[i + 1]')})")} END AS prices FROM priced),
+bare AS (SELECT *, list_transform(c, lambda x: {_noise('x')}) AS t FROM prices),
+options AS (SELECT *, {_there(f"list_transform(range(least(len(c), 6)), lambda i: CASE WHEN NOT {_price_like('c[i + 1]')} AND NOT regexp_matches(c[i + 1], '^{chr(92)}d+({chr(92)}.{chr(92)}d+)?$') AND NOT coalesce({_normal('c[i + 1]')} = code, false) AND t[i + 1] <> '' AND NOT {_section('t[i + 1]')} AND length(regexp_replace(t[i + 1], '[^{chr(92)}p{{L}}{chr(92)}p{{N}}]', '', 'g')) >= 3 THEN t[i + 1] END)")} AS options,
+    list_transform(t, lambda x: CASE WHEN coalesce(starts_with(x, code), false) THEN trim(substr(x, length(code) + 1)) WHEN coalesce({_normal("regexp_extract(x, '^" + chr(92) + "S+')")} = code, false) OR {_code_like(_normal("regexp_extract(x, '^" + chr(92) + "S+')"))} THEN trim(regexp_replace(x, '^\\S+\\s*', '')) ELSE x END) AS cut FROM bare),
+joined AS (SELECT *, array_to_string({_there(f"list_transform(range(len(c)), lambda i: CASE WHEN NOT (coalesce({_normal('c[i + 1]')} = code, false) OR {_price_like('c[i + 1]')} OR cut[i + 1] = '' OR {_price_like('cut[i + 1]')}) THEN cut[i + 1] END)")}, ' ') AS rest FROM options),
+fields AS (SELECT doc_id, row_idx, c, header_idx, code, prices, array_to_string(c, ' ') AS raw,
+    CASE WHEN len(options) > 0 THEN list_filter(options, lambda x: length(x) = list_max(list_transform(options, lambda y: length(y))))[1]
+         WHEN length(rest) >= 3 AND NOT regexp_matches(rest, '^[\\d\\s.,-]+$') AND NOT coalesce(rest = code, false) THEN rest END AS name FROM joined)
+"""
+
+
+@query("SELECT doc_id, header_idx, array_to_string(header, '|') AS header FROM headers", _FIELDS)
 def header_pick(spark, d):
-    return R.pick_headers(_grid(spark, d), ["doc_id"]).where(F.get("header", F.lit(0)) == "Код").select("doc_id", "header_idx")
+    return R.pick_headers(_grid(spark, d), ["doc_id"]).select("doc_id", "header_idx", F.array_join("header", "|").alias("header"))
 
 
-@query()
+@query("SELECT doc_id, row_idx, code FROM fields", _FIELDS)
 def extract_code(spark, d):
     return _grid(spark, d).select("doc_id", "row_idx", R.extract_code(R.full_cells(F.col("cells"))).alias("code"))
 
 
-@query()
+@query("SELECT doc_id, row_idx, array_to_string(list_transform(prices, lambda x: x::varchar), ',') AS prices FROM fields", _FIELDS)
 def price_values(spark, d):
-    return _grid(spark, d).select("doc_id", "row_idx", F.array_join(R.price_values(R.full_cells(F.col("cells")), F.lit(None).cast("array<string>")).cast("array<string>"), ",").alias("prices"))
+    """Documents with a header and, where none scores enough, without."""
+    grid = _grid(spark, d).join(R.pick_headers(_grid(spark, d), ["doc_id"]), "doc_id", "left")
+    return grid.select("doc_id", "row_idx", F.array_join(R.price_values(R.full_cells(F.col("cells")), F.col("header")).cast("array<string>"), ",").alias("prices"))
 
 
-@query()
+@query("SELECT doc_id, row_idx, name FROM fields", _FIELDS)
 def extract_name(spark, d):
     coded = T.let(R.full_cells(F.col("cells")), lambda c: F.struct(c.alias("c"), R.extract_code(c).alias("code")))
     return _grid(spark, d).select("doc_id", "row_idx", T.let(coded, lambda x: R.extract_name(x["c"], x["code"])).alias("name"))
 
 
-@query()
+@query(f"""SELECT doc_id, row_idx, coalesce(nullif(CASE WHEN regexp_matches(name, '^\\d') THEN {_noise('name')} ELSE name END, ''), code, raw) AS service_name_raw, code AS service_code_source,
+      prices[1] AS price_resident, prices[2] AS price_nonresident, raw AS raw_row FROM fields
+    WHERE (header_idx IS NULL OR row_idx > header_idx) AND len(c) > 0 AND NOT {_section('raw')} AND NOT (len(prices) = 0 AND (name IS NULL OR regexp_matches(name, '^\\d')))""", _FIELDS)
 def parse_rows(spark, d):
     return R.parse_rows(_grid(spark, d), ["doc_id"])
 
 
-@query("SELECT doc_id, page, count(*)::bigint AS n_words FROM words WHERE trim(text) <> '' GROUP BY ALL", WORDS)
+_BANDS = """, pages AS (SELECT doc_id, page, list({'y0': y0, 'x0': x0, 'x1': x1, 'text': text} ORDER BY y0, x0, x1, text) AS ws FROM words WHERE trim(text) <> '' GROUP BY ALL),
+folded AS (SELECT *, list_reduce(ws, lambda a, w: CASE WHEN a.n > 0 AND abs(w.y0 - a.mean) <= 4.0
+        THEN {'n': a.n + 1, 'mean': (a.mean * a.n + w.y0) / (a.n + 1), 'bands': list_append(a.bands, a.bands[-1])}
+        ELSE {'n': 1, 'mean': w.y0, 'bands': list_append(a.bands, coalesce(a.bands[-1], -1) + 1)} END, {'n': 0, 'mean': 0.0::double, 'bands': []::int[]}).bands AS bands FROM pages),
+banded AS (SELECT doc_id, page, unnest(ws, recursive := true), unnest(bands) AS band FROM folded)
+"""
+
+
+@query("SELECT doc_id, page, y0, x0, x1, text, band FROM banded", WORDS + _BANDS)
 def layout_band_rows(spark, d):
-    return L.band_rows(D.words(spark, d)).groupBy("doc_id", "page").agg(F.count("*").alias("n_words"))
+    return L.band_rows(D.words(spark, d)).select("doc_id", "page", "y0", "x0", "x1", "text", "band")
 
 
 _SPLIT = """, w AS (SELECT *, greatest(x1 - x0, 1) AS width, x0 - lag(x1) OVER (PARTITION BY doc_id, page, y0 ORDER BY x0, text) AS gap FROM words),
@@ -112,14 +167,26 @@ def layout_split_cells(spark, d):
     return L.split_cells(D.words(spark, d), ["doc_id", "page", "y0"])
 
 
-@query()
+_MERGE = f""", rows AS (SELECT doc_id, page, list({{'band': band, 'cells': cells, 'row': array_to_string(cells, ' ')}} ORDER BY band) AS rs FROM bands GROUP BY ALL),
+steps AS (SELECT doc_id, page, list_transform(rs, lambda r: {{'band': r.band, 'cells': r.cells, 'row': r.row, 'may': NOT (r.band < 3 AND len(r.cells) > 1) AND NOT {_section('r.row')} AND length(r.row) <= 120
+        AND len(list_filter(r.cells, lambda x: {_code_like('x')} OR {_price_like('x')})) = 0}}) AS rs FROM rows),
+merged AS (SELECT doc_id, page, list_reduce(rs, lambda a, r: CASE WHEN r.row = '' THEN a
+        WHEN r.may AND len(a) > 0 AND len(list_filter(a[-1], lambda x: NOT {_price_like('x')})) > 0
+        THEN list_append(a[:len(a) - 1], list_transform(range(len(a[-1])), lambda i: CASE WHEN i = list_max(list_filter(range(len(a[-1])), lambda j: NOT {_price_like('a[-1][j + 1]')})) THEN trim(a[-1][i + 1] || ' ' || r.row) ELSE a[-1][i + 1] END))
+        ELSE list_append(a, r.cells) END, []::varchar[][]) AS out FROM steps)
+SELECT doc_id, page, unnest(range(len(out)))::int AS row_idx, unnest(list_transform(out, lambda x: array_to_string(x, ' | '))) AS row_text FROM merged"""
+_CELLS_OF = ", grouped AS (SELECT doc_id, page, band, cell_idx, string_agg(text, ' ' ORDER BY x0, y0, text) AS cell FROM s GROUP BY ALL), bands AS (SELECT doc_id, page, band, list(cell ORDER BY cell_idx) AS cells FROM grouped GROUP BY ALL) "
+_SPLIT_BANDS = _SPLIT.replace("doc_id, page, y0 ORDER BY x0, text", "doc_id, page, band ORDER BY x0, y0, text").replace("PARTITION BY doc_id, page, y0", "PARTITION BY doc_id, page, band")
+
+
+@query(_SPLIT_BANDS.replace("FROM words", "FROM (SELECT *, y0::int AS band FROM words)") + _CELLS_OF + _MERGE, WORDS)
 def layout_merge_rows(spark, d):
     cells = L.split_cells(D.words(spark, d).withColumn("band", F.col("y0").cast("int")), ["doc_id", "page", "band"])
     rows = cells.groupBy("doc_id", "page", "band").agg(F.transform(F.array_sort(F.collect_list(F.struct("cell_idx", "cell"))), lambda c: c["cell"]).alias("cells"))
     return L.merge_continuations(rows).select("doc_id", "page", "row_idx", F.array_join("cells", " | ").alias("row_text"))
 
 
-@query()
+@query(_SPLIT_BANDS.replace("FROM words", "FROM banded") + _CELLS_OF + _MERGE, WORDS + _BANDS)
 def layout_rows(spark, d):
     return L.rows_from_words(D.words(spark, d)).select("doc_id", "page", "row_idx", F.array_join("cells", " | ").alias("row_text"))
 
@@ -150,10 +217,12 @@ def range_join_cells(spark, d):
     return L.words_in_grid(w, cuts(6, 100), cuts(5, 50))
 
 
-@query("SELECT doc_id, page, event_id, ((row_number() OVER (PARTITION BY doc_id ORDER BY page, event_id) - 1) // 5)::int AS batch FROM words", WORDS)
+@query("SELECT doc_id, page, (dense_rank() OVER (PARTITION BY doc_id ORDER BY page) - 1) // 5 AS three, (dense_rank() OVER (PARTITION BY doc_id ORDER BY page) - 1) // 2 AS two FROM (SELECT DISTINCT doc_id, page FROM pages)".replace("three", "by_five"), PAGES)
 def batch_pages(spark, d):
-    n = F.row_number().over(W.partitionBy("doc_id").orderBy("page", "event_id")) - 1
-    return D.words(spark, d).select("doc_id", "page", "event_id", F.floor(n / 5).cast("int").alias("batch"))
+    pages = _pages(spark, d).select("doc_id", "page").distinct()
+    two = G.batch_pages(pages, 2).withColumnRenamed("batch", "two")
+    five = G.batch_pages(pages, 0).withColumnRenamed("batch", "by_five")
+    return two.join(five, ["doc_id", "page"]).select("doc_id", "page", F.col("by_five").cast("long").alias("by_five"), F.col("two").cast("long").alias("two"))
 
 
 @query("SELECT row_idx, c1[2:4] || c2[1:2] AS result FROM cells", CELLS)
@@ -163,17 +232,62 @@ def anchor_slice(spark, d):
     return c.select("row_idx", F.concat(L.anchor_text(F.col("c1"), F.array(seg(1, 4), seg(3, 3))), L.anchor_text(F.col("c2"), F.array(seg(0, 2)))).alias("result"))
 
 
-@query("SELECT row_idx, coalesce(nullif(c0, ''), nullif(c1, ''), nullif(c2, ''), '[page ' || row_idx || ']') AS result FROM cells", CELLS)
+@query("""SELECT doc_id, page, row_idx, row_text, source FROM (SELECT *, min(source) OVER (PARTITION BY doc_id, page) AS best FROM sourced) WHERE source = best
+    UNION ALL SELECT doc_id, page, 0, '[page ' || page || ']', NULL FROM (SELECT DISTINCT doc_id, page FROM pages) ANTI JOIN sourced USING (doc_id, page)""", PAGES_SOURCED)
 def extract_cascade(spark, d):
-    full = [F.nullif(F.col(c), F.lit("")) for c in ("c0", "c1", "c2")]
-    return D.cells(spark, d).select("row_idx", F.coalesce(*full, F.format_string("[page %d]", "row_idx")).alias("result"))
+    """A page's rows come from its tables, else its blocks, else its lines; here by the remainder of its number."""
+    rows = _pages(spark, d)
+    of = lambda *n: rows.where(((F.col("doc_id") + F.col("page")) % 4).isin(*n))
+    found = G.cascade(rows, of(0), of(0, 1), of(0, 1, 2).where("page % 3 > 0"))
+    return found.select("doc_id", "page", "row_idx", F.array_join("cells", "|").alias("row_text"), "source")
+
+
+@query("SELECT doc_id, page, row_idx, row_text FROM pages WHERE regexp_matches(row_text, '[0-9]')", PAGES)
+def grid_filter(spark, d):
+    return G.filter_grid(_pages(spark, d)).select("doc_id", "page", "row_idx", F.array_join("cells", "|").alias("row_text"))
+
+
+@query("""SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id, page ORDER BY kind <> 3, row_idx)::int - 1 AS row_idx, array_to_string(list_filter([c0, c1, c2], lambda x: x <> ''), '|') AS row_text
+    FROM (SELECT *, row_no // 10 AS page, row_no % 10 AS row_no2, row_no AS row_idx_, row_idx % 8 AS kind FROM cells) AS c""".replace("row_no % 10 AS row_no2, row_no AS row_idx_, ", ""), CELLS)
+def table_rows(spark, d):
+    rows = D.cells(spark, d).select("doc_id", F.floor(F.col("row_no") / 10).cast("int").alias("page"), F.col("row_idx").alias("n"), F.array("c0", "c1", "c2").alias("cells"))
+    head = F.col("n") % 8 == 3
+    return G.table_rows(rows.where(head), rows.where(~head)).select("doc_id", "page", "row_idx", F.array_join("cells", "|").alias("row_text"))
+
+
+@query("SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY page, row_idx)::int - 1 AS row_idx, row_text FROM pages", PAGES)
+def page_flatten(spark, d):
+    return G.flatten_pages(_pages(spark, d)).select("doc_id", "row_idx", F.array_join("cells", "|").alias("row_text"))
+
+
+PAGES_SCORED = PAGES + f", scores AS (SELECT *, {_ROW_SCORE} AS score FROM pages) "
+
+
+@query("SELECT doc_id, page, sum(score)::bigint AS score FROM scores GROUP BY ALL", PAGES_SCORED)
+def page_scores(spark, d):
+    return G.page_scores(_pages(spark, d))
+
+
+@query("""SELECT doc_id, page, takes_table, CASE WHEN takes_table THEN t ELSE x END AS score, CASE WHEN takes_table THEN t ELSE x END >= 20 AS accepted FROM (
+    SELECT *, has AND t > x AND (t - x >= 20 OR x < 100) AS takes_table FROM (
+        SELECT doc_id, page, coalesce(sum(score) FILTER (row_idx % 2 = 0), 0)::bigint AS t, coalesce(sum(score) FILTER (row_idx % 2 = 1), 0)::bigint AS x, count(*) FILTER (row_idx % 2 = 0) > 0 AS has FROM scores GROUP BY ALL))""", PAGES_SCORED)
+def page_choice(spark, d):
+    rows = _pages(spark, d)
+    return G.choose_rows(rows.where("row_idx % 2 = 0"), rows.where("row_idx % 2 = 1"), 20)
 
 
-@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS bigint) AS k FROM events", "")
+@query("SELECT event_id, event_type AS text, CASE WHEN event_id % 5 = 0 THEN 0 ELSE event_id % 97 END::double AS x0, (event_id % 89)::double AS y0, 0.0::double AS x1, (event_id % 89 + 9)::double AS y1 FROM events", "")
+def coerce_words(spark, d):
+    raw = spark.read.parquet(f"{d}/events.parquet").select("event_id", F.col("event_type").alias("text"), F.when(F.col("event_id") % 5 != 0, F.col("event_id") % 97).alias("x0"), F.when(F.col("event_id") % 2 == 0, F.col("event_id") % 89).alias("y0"), (F.col("event_id") % 89).alias("top"), (F.col("event_id") % 89 + 9).cast("string").alias("bottom"))
+    return G.coerce_words(raw).select("event_id", "text", "x0", "y0", "x1", "y1")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 4 <> 3 THEN CAST(json_extract_string(props, '$.k') AS bigint) END AS k FROM events", "")
 def json_payload(spark, d):
-    events = spark.read.parquet(f"{d}/events.parquet")
-    body = L.json_payload(F.concat(F.lit("```json\n"), F.col("props"), F.lit("\n```")))
-    return events.select("event_id", F.from_json(body, "k bigint")["k"].alias("k"))
+    """Answers with a fence, with words around, plain ones and, in a quarter, without any JSON."""
+    events, kind = spark.read.parquet(f"{d}/events.parquet"), F.col("event_id") % 4
+    answer = F.when(kind == 0, F.concat(F.lit("```json\n"), "props", F.lit("\n```"))).when(kind == 1, F.concat(F.lit("Here it is: "), "props", F.lit(" as asked."))).when(kind == 2, F.col("props")).otherwise("I can't { read this")
+    return events.select("event_id", F.from_json(L.json_payload(answer), "k bigint")["k"].alias("k"))
 
 
 @query("SELECT row_idx, array_to_string(list_filter([c0, c1, c2], lambda x: x <> ''), ' | ') AS row_text FROM cells", CELLS)
@@ -186,22 +300,23 @@ def pdf_candidate_pick(spark, d):
     return D.cells(spark, d).select("row_idx", L.pick_candidate(F.length("c1") * 10, F.length("c2") * 8, F.length("c1") > 0).alias("takes_table"))
 
 
-@query("SELECT row_idx, format('{:03d}:{:04d} {}', doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY row_idx), array_to_string(list_filter([c0, c1, c2], lambda x: x <> ''), ' | ')) AS line FROM cells", CELLS)
+@query("SELECT doc_id, row_idx, format('{:03d}:{:04d} {}', page, row_number() OVER (PARTITION BY doc_id, page ORDER BY row_idx), array_to_string(list_filter([c0, c1, c2], lambda x: x <> ''), ' | ')) AS line FROM pages", PAGES)
 def dump_lines(spark, d):
-    n = F.row_number().over(W.partitionBy("doc_id").orderBy("row_idx"))
-    return D.cells(spark, d).select("row_idx", F.format_string("%03d:%04d %s", "doc_id", n, F.array_join(L.ocr_cells(F.array("c0", "c1", "c2")), " | ")).alias("line"))
+    return G.dump_lines(_pages(spark, d)).select("doc_id", "row_idx", "line")
 
 
 # Documents and their names.
 
 
-@query(" SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'WORD' WHEN 1 THEN 'EXCEL' ELSE 'PDF' END AS label, 'supported' AS route FROM docs")
+@query(" SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'WORD' WHEN 1 THEN 'EXCEL' ELSE 'PDF' END AS label FROM docs")
 def source_label(spark, d):
-    known = T.suffix(F.col("file_name")).isin(".docx", ".xlsx", ".pdf", ".xls")
-    return D.documents(spark, d).select("doc_id", T.source_label(F.col("file_name")).alias("label"), F.when(known, "supported").otherwise("skipped").alias("route"))
+    return D.documents(spark, d).select("doc_id", T.source_label(F.col("file_name")).alias("label"))
 
 
-QUERIES["src_format_route"], ORACLES["src_format_route"] = source_label, ORACLES["source_label"]
+@query(" SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'docx' WHEN 1 THEN 'xlsx' WHEN 2 THEN 'pdf' WHEN 3 THEN 'xls' WHEN 4 THEN 'archive' ELSE 'unsupported' END AS route FROM docs")
+def src_format_route(spark, d):
+    endings = F.array(*(F.lit(x) for x in ("a/b.c/x.DOCX", "x.xlsx", "x.tar.pdf", "x.Xls", "x.ZIP", "x.txt", "pdf")))
+    return D.documents(spark, d).select("doc_id", S.route(F.get(endings, (F.col("doc_id") % 7).cast("int"))).alias("route"))
 
 
 @query(" SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'n' || archive_id ELSE '__root__' END AS group_key FROM docs")
@@ -223,15 +338,22 @@ def extract_date(spark, d):
     return D.documents(spark, d).select("doc_id", P.extract_date(name).cast("string").alias("found"))
 
 
-@query(" SELECT doc_id, coalesce(effective_date > DATE '2000-01-01', false) AS in_future FROM docs")
+@query(" SELECT doc_id, coalesce(effective_date > DATE '1995-06-01', false) AS in_future FROM docs")
 def future_date(spark, d):
-    return D.documents(spark, d).select("doc_id", F.coalesce(F.col("effective_date") > F.lit("2000-01-01").cast("date"), F.lit(False)).alias("in_future"))
+    return D.documents(spark, d).select("doc_id", P.in_future(F.col("effective_date"), F.lit("1995-06-01").cast("date")).alias("in_future"))
 
 
 @query(" SELECT doc_id, parse_status, 'price ' || partner_id || ' ' || (1990 + (doc_id % 1000 - 1) // 12) AS shown, 'document ' || CAST(doc_id AS varchar)[:8] AS short FROM docs")
 def display_name(spark, d):
-    stem = F.regexp_replace(F.col("file_name"), "\\.[^.]*$", "")
-    return D.documents(spark, d).select("doc_id", "parse_status", F.replace(stem, F.lit("_"), F.lit(" ")).alias("shown"), F.concat(F.lit("document "), F.substring(F.col("doc_id").cast("string"), 1, 8)).alias("short"))
+    return D.documents(spark, d).select("doc_id", "parse_status", T.display_name(F.col("file_name")).alias("shown"), F.concat(F.lit("document "), T.short_id(F.col("doc_id"))).alias("short"))
+
+
+@query(" SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'Клиника ' || partner_id WHEN 1 THEN 'folder' || archive_id ELSE 'prices' END AS partner FROM docs")
+def archive_partner(spark, d):
+    """By the file's name, else its folder, else the archive."""
+    n, number = F.col("doc_id") % 3, F.col("partner_id").cast("string")
+    path = F.when(n == 0, F.concat(F.lit("f/Клиника "), number, F.lit(" прайс.pdf"))).when(n == 1, F.concat(F.lit("folder"), F.col("archive_id").cast("string"), F.lit("/list.pdf"))).otherwise("list.pdf")
+    return D.documents(spark, d).select("doc_id", T.archive_partner(F.lit("in/prices.zip"), path).alias("partner"))
 
 
 @query(" SELECT doc_id, CAST(effective_date AS varchar) AS effective_date, file_name, lower(regexp_extract(file_name, '[^.]*$')) AS file_format, parse_status FROM docs")
@@ -248,9 +370,16 @@ _LOW = "price_nonresident < price_resident"
 _REVIEW = f"(NOT is_verified AND (service_id IS NULL OR coalesce({_LOW}, false) OR price_resident <= 0 OR verification_note IS NOT NULL))"
 
 
-@query(" SELECT item_id, floor(price_resident * CASE currency WHEN 'USD' THEN 470::double WHEN 'RUB' THEN 5.2::double ELSE 1 END + 0.0051)::bigint AS kzt FROM items")
+@query(" SELECT item_id, round_even(price_resident * CASE currency WHEN 'USD' THEN 455.0::double WHEN 'RUB' THEN 5.2::double ELSE 1 END, 2) AS kzt, CASE currency WHEN 'USD' THEN 'api' WHEN 'RUB' THEN 'fallback' ELSE 'native' END AS rate_source FROM items")
 def fx_convert(spark, d):
-    return D.items(spark, d).select("item_id", F.floor(P.to_kzt(F.col("price_resident"), P.fallback_rate(F.col("currency"))) + 0.0001).alias("kzt"))
+    rates = spark.createDataFrame([("usd", 455.0), ("EUR", 500.0), ("RUB", 0.0)], "currency string, rate double")
+    rows = P.with_rates(D.items(spark, d), rates)
+    return rows.select("item_id", P.to_kzt(F.col("price_resident"), F.col("rate")).alias("kzt"), "rate_source")
+
+
+@query(" SELECT item_id, coalesce(price_nonresident, price_resident) AS price FROM items")
+def current_price(spark, d):
+    return D.items(spark, d).select("item_id", P.current_price(F.col("price_nonresident"), F.lit(None).cast("double"), F.col("price_resident")).alias("price"))
 
 
 @query(f" SELECT item_id, CASE WHEN {_LOW} THEN '{P.LOWER}' ELSE '' END AS reasons FROM items")
@@ -286,9 +415,12 @@ def verification_note(spark, d):
     return D.items(spark, d).select("item_id", T.join_notes(matched, F.array_join(P.price_reasons(*_item()[1:]), "; "), fx, F.col("verification_note")).alias("note"))
 
 
-@query(" SELECT item_id, replace(replace(format('{:,}', floor(price_resident)::bigint), ',', ' '), '.', ',') AS shown, CASE WHEN price_nonresident IS NULL THEN '—' ELSE 'set' END AS other FROM items")
+_MONEY = "coalesce(regexp_replace(regexp_replace(replace(replace(replace(format('{{:,.2f}}', {0}), ',', ' '), '.', ','), '_', ' '), ',(\\d)0$', ',\\1'), ',0$', ''), '—')"
+
+
+@query(f" SELECT item_id, {_MONEY.format('price_resident')} AS shown, {_MONEY.format('price_nonresident')} AS other FROM items")
 def format_price(spark, d):
-    return D.items(spark, d).select("item_id", P.format_money(F.floor("price_resident")).alias("shown"), F.when(P.format_money(F.col("price_nonresident")) == "—", "—").otherwise("set").alias("other"))
+    return D.items(spark, d).select("item_id", P.format_money(F.col("price_resident")).alias("shown"), P.format_money(F.col("price_nonresident")).alias("other"))
 
 
 # Reading.
@@ -299,9 +431,9 @@ def list_services(spark, d):
     return D.services(spark, d).where(F.col("is_active") & F.col("category").ilike("%a%")).orderBy(F.col("service_name").asc_nulls_last()).select("service_id", "service_name", "category")
 
 
-@query(" SELECT partner_id, name, city FROM partners WHERE city ILIKE '%an%' AND is_active")
+@query(" SELECT partner_id, name, city FROM partners WHERE city ILIKE '%a%' AND is_active")
 def list_partners(spark, d):
-    return D.partners(spark, d).where(F.col("city").ilike("%an%") & F.col("is_active")).orderBy("name").select("partner_id", "name", "city")
+    return D.partners(spark, d).where(F.col("city").ilike("%a%") & F.col("is_active")).orderBy("name").select("partner_id", "name", "city")
 
 
 @query(" SELECT item_id, CAST(effective_date AS varchar) AS effective_date FROM items WHERE service_id IS NULL AND is_active AND NOT is_verified")
@@ -336,12 +468,33 @@ def list_archives(spark, d):
     return D.archives(spark, d).orderBy(F.col("uploaded_at").desc(), "archive_id").select("archive_id", F.to_date("uploaded_at").cast("string").alias("uploaded_at"))
 
 
-@query(" SELECT docs.doc_id, name AS partner, count(item_id) AS n_items, string_agg(service_name_raw, ', ' ORDER BY service_name_raw, item_id) AS item_names FROM docs JOIN partners USING (partner_id) LEFT JOIN items USING (doc_id) GROUP BY 1, 2")
+@query(""" SELECT docs.doc_id, name AS partner, docs.file_name, count(item_id) AS n_items, to_json(list({'item_id': item_id, 'name': service_name_raw} ORDER BY service_name_raw, item_id) FILTER (item_id IS NOT NULL)) AS items
+    FROM docs JOIN partners USING (partner_id) LEFT JOIN items USING (doc_id) GROUP BY 1, 2, 3""")
 def documents_nested(spark, d):
-    item = F.struct("service_name_raw", "item_id")
-    nested = D.items(spark, d).groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    docs = D.documents(spark, d).join(D.partners(spark, d), "partner_id").join(nested, "doc_id", "left")
-    return docs.select("doc_id", F.col("name").alias("partner"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"), F.array_join(F.transform("items", lambda i: i["service_name_raw"]), ", ").alias("item_names"))
+    """Documents by partner, date (none last) and file name, each with its items as JSON."""
+    docs = H.nested_documents(D.documents(spark, d).join(D.partners(spark, d), "partner_id"), D.items(spark, d).select("doc_id", "item_id", F.col("service_name_raw").alias("name")))
+    docs = docs.orderBy("partner_name", F.col("effective_date").desc_nulls_last(), "file_name", "doc_id")
+    return docs.select("doc_id", F.col("partner_name").alias("partner"), "file_name", F.size("items").cast("long").alias("n_items"), F.when(F.size("items") > 0, F.to_json("items")).alias("items"))
+
+
+@query(" SELECT item_id, service_name_raw FROM items WHERE partner_id = 3 AND is_active ORDER BY service_name_raw, item_id LIMIT 200")
+def partner_items_top200(spark, d):
+    return D.items(spark, d).where("partner_id = 3 AND is_active").orderBy("service_name_raw", "item_id").limit(200).select("item_id", "service_name_raw")
+
+
+@query(" SELECT doc_id, file_name, parse_status FROM docs WHERE doc_id = (SELECT min(doc_id) FROM docs)")
+def key_lookup(spark, d):
+    docs = D.documents(spark, d)
+    first = docs.agg(F.min("doc_id").alias("doc_id"))  # one row
+    return docs.join(F.broadcast(first), "doc_id", "left_semi").select("doc_id", "file_name", "parse_status")
+
+
+@query(" SELECT item_id, service_name_raw, price_resident + 1 AS draft_price FROM items WHERE item_id % 9 = 4 AND is_active")
+def review_drafts(spark, d):
+    """Drafts of the verifier, some about items that are no longer there."""
+    items = D.items(spark, d)
+    drafts = items.where("item_id % 9 = 4").select("item_id", (F.col("price_resident") + 1).alias("draft_price"))
+    return H.drafts_with_items(drafts, items.where("is_active").select("item_id", "service_name_raw")).select("item_id", "service_name_raw", "draft_price")
 
 
 @query(" SELECT doc_id, name, uploaded_at IS NOT NULL AS archived, file_name FROM docs JOIN partners USING (partner_id) LEFT JOIN archives USING (archive_id)")
@@ -433,7 +586,20 @@ def exact_match(spark, d):
     return H.match_names(_raw_names(spark, d), D.services(spark, d)).where("status in ('exact', 'synonym')").select("raw_name", "service_id", "status")
 
 
-@query()
+_SORTED = "array_to_string(list_sort(list_filter(string_split_regex({0}, '\\s+'), lambda t: t <> '')), ' ')"
+_FUZZY = f""", settled AS (SELECT * FROM found WHERE n = 1), names AS (SELECT raw_name, {_SORTED.format('raw_name')} AS x FROM raw WHERE raw_name NOT IN (SELECT raw_name FROM settled)),
+sorted AS (SELECT service_id, o, {_SORTED.format('label')} AS y FROM labels),
+near AS (SELECT *, length(x) + length(y) AS total FROM names JOIN sorted ON abs(length(x) - length(y)) <= 0.15 * (length(x) + length(y)) WHERE levenshtein(x, y) <= 0.15 * (length(x) + length(y))),
+masks AS (SELECT *, (1::hugeint << length(y)) - 1 AS whole, list_transform(string_split(x, ''), lambda c: list_sum(list_transform(range(length(y)), lambda i: CASE WHEN y[i + 1] = c THEN 1::hugeint << i::int ELSE 0::hugeint END))::hugeint) AS ms FROM near),
+common AS (SELECT *, length(y) - bit_count(list_reduce(ms, lambda v, m: ((v + (v & m)) | (v - (v & m))) & whole, whole)) AS lcs FROM masks),
+scores AS (SELECT raw_name, service_id, o, 200.0::double * lcs / total AS score FROM common),
+best AS (SELECT *, row_number() OVER (PARTITION BY raw_name ORDER BY score DESC, service_id, o) AS n FROM scores WHERE score >= 85)
+"""
+
+
+@query(_NAMES + _FUZZY + """SELECT raw_name, service_id, 100.0::double AS score, status FROM settled
+    UNION ALL SELECT raw_name, CASE WHEN score >= 92 THEN service_id END, score, CASE WHEN score >= 92 THEN 'fuzzy_auto' ELSE 'fuzzy_review' END FROM best WHERE n = 1
+    UNION ALL SELECT raw_name, NULL, NULL, 'none' FROM names WHERE raw_name NOT IN (SELECT raw_name FROM best)""")
 def fuzzy_match(spark, d):
     return H.match_names(_raw_names(spark, d), D.services(spark, d))
 
@@ -473,15 +639,20 @@ def price_anomaly(spark, d):
     return rows.select("item_id", P.change_note(F.col("previous_price"), F.col("price")).alias("note")).where("note is not null")
 
 
-@query(" SELECT min(p_partkey) AS row_no, p_name || ' ' || p_type AS name FROM part WHERE p_name || ' ' || p_type NOT IN (SELECT p_name || ' ' || p_type FROM part WHERE p_size = 1) GROUP BY 2", "")
+@query(" SELECT min(p_partkey) AS row_no, p_name || ' ' || p_type AS service_name, arg_min(p_brand, p_partkey) AS category FROM part WHERE p_partkey % 13 <> 0 AND p_name || ' ' || p_type NOT IN (SELECT p_name || ' ' || p_type FROM part WHERE p_size = 1) GROUP BY 2", "")
 def load_catalogue(spark, d):
-    part = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("row_no"), "p_size", F.concat_ws(" ", "p_name", "p_type").alias("name"))
-    return H.insert_if_absent(part, part.where("p_size = 1"), "name", "row_no").select("row_no", "name")
+    """Rows with blank names are left out."""
+    name = F.concat_ws(" ", "p_name", "p_type")
+    part = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("row_no"), "p_size", F.when(F.col("p_partkey") % 13 == 0, "  ").otherwise(F.concat(F.lit(" "), name)).alias("name"), name.alias("service_name"), F.col("p_brand").alias("category"))
+    return H.load_catalogue(part, part.where("p_size = 1")).select("row_no", "service_name", "category")
 
 
-@query(" SELECT min(c_custkey) AS seq, lower(c_mktsegment) AS name FROM customer GROUP BY 2", "")
+@query(" SELECT min(c_custkey) AS seq, lower(c_mktsegment) AS name FROM customer GROUP BY 2 UNION ALL SELECT min(s_suppkey), 'new ' || (s_suppkey % 5) FROM supplier WHERE s_suppkey % 2 = 1 GROUP BY 2")
 def partner_upsert(spark, d):
-    new = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("seq"), F.lower("c_mktsegment").alias("name"))
+    """Half of the suppliers come in under their known names in capitals, the others under five new ones."""
+    suppliers, customers = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("supplier", "customer"))
+    name = F.when(F.col("s_suppkey") % 2 == 0, F.upper("s_name")).otherwise(F.concat(F.lit("NEW "), (F.col("s_suppkey") % 5).cast("string")))
+    new = customers.select(F.col("c_custkey").alias("seq"), F.lower("c_mktsegment").alias("name")).union(suppliers.select("s_suppkey", F.lower(name)))
     return H.insert_if_absent(new, D.partners(spark, d).select(F.lower("name").alias("name")), "name", "seq")
 
 
@@ -506,9 +677,8 @@ def delete_cascade(spark, d):
 
 @query(" SELECT doc_id, regexp_replace(file_name, '\\.[^.]*$', '') AS service_name_raw, 'needs manual review' AS verification_note FROM docs WHERE parse_status = 'needs_review'")
 def placeholder_items(spark, d):
-    empty = D.items(spark, d).join(D.documents(spark, d).where("parse_status = 'needs_review'"), "doc_id", "left_anti").select("doc_id").distinct()
-    docs = D.documents(spark, d).where("parse_status <> 'error'").join(empty, "doc_id", "left_anti")
-    return docs.select("doc_id", T.stem(F.col("file_name")).alias("service_name_raw"), F.lit("needs manual review").alias("verification_note"))
+    items = D.items(spark, d).join(D.documents(spark, d).where("parse_status = 'needs_review'"), "doc_id", "left_anti")
+    return H.placeholder_items(D.documents(spark, d), items)
 
 
 # Sources: files are made from the cells, then read.
@@ -534,7 +704,7 @@ def src_zip_entries(spark, d):
     return found.select(F.regexp_extract("entry_path", "d(\\d+)", 1).cast("long").alias("doc_id"), "group_key", "entry_path")
 
 
-@query("SELECT name || '.parquet' AS file FROM (VALUES ('region'), ('nation')) AS v(name)", "")
+@query("SELECT name || '.parquet' AS file FROM (VALUES ('region'), ('nation'), ('customer'), ('supplier'), ('part'), ('orders'), ('lineitem'), ('events'), ('documents'), ('embeddings'), ('pages'), ('benchmark'), ('labels'), ('conversations')) AS v(name)", "")
 def src_directory(spark, d):
-    found = S.read_directory(spark, [f"{d}/region.parquet", f"{d}/nation.parquet"])
+    found = S.read_directory(spark, d)
     return found.select(F.element_at(F.split("path", "/"), -1).alias("file"))

@@ -6,15 +6,20 @@ import io
 import posixpath
 import re
 import zipfile
+import zlib
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 IGNORED = {"__macosx", ".ds_store"}
 READABLE = {".pdf", ".docx", ".xlsx", ".xls"}
+MEMBERS = "archive string, entry_path string, group_key string, group_no int, member_no int, content binary, error string"
+#: The greatest member of an archive that is read, in bytes, and what a broken archive raises.
+MOST = 256 << 20
+BROKEN = (zipfile.BadZipFile, zlib.error, EOFError, OSError, NotImplementedError)
 GRID = "path string, page int, row_idx int, cells array<string>"
 #: Namespaces of the two formats.
 W_NS = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -27,28 +32,62 @@ def _clean(text: str) -> str:
 
 
 def read_directory(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Rows (path, content) of the files of a folder other than archives, without its sub-folders."""
+    """Rows (path, content) of the files of a folder other than archives, by path, without its sub-folders."""
     found = spark.read.format("binaryFile").load(path)
-    return found.where(~F.lower("path").endswith(".zip")).select("path", "content")
-
-
-def zip_members(files: DataFrame) -> DataFrame:
-    """Rows (archive, entry_path, group_key, group_no, content) of rows (path, content); folders and system entries are left out."""
+    return found.where(~F.lower("path").endswith(".zip")).orderBy("path").select("path", "content")
+
+
+def route(path: Column) -> Column:
+    """What takes a file: a reader by its ending, archive for ZIP files, unsupported for the rest."""
+    kind = F.lower(F.regexp_extract(path, "\\.([^./\\\\]+)$", 1))
+    return F.when(kind == "zip", "archive").when(kind.isin(*(x[1:] for x in sorted(READABLE))), kind).otherwise("unsupported")
+
+
+def zip_members(files: DataFrame, most: int = MOST) -> DataFrame:
+    """Rows (archive, entry_path, group_key, group_no, member_no, content, error) of rows (path, content).
+
+    Folders and system entries are left out. Groups count in the order in which they first stand in the archive, members
+    of a group by name. A member that can't be read, or has over most bytes, has an error and no content; so has
+    an archive as a whole, under its own name.
+    """
+
+    def entries(path: str, content: bytes) -> Iterator[tuple]:
+        groups: dict[str, list] = {}
+        with zipfile.ZipFile(io.BytesIO(content)) as z:
+            for entry in z.infolist():
+                parts = [p for p in entry.filename.replace("\\", "/").split("/") if p not in ("", ".")]
+                if not entry.is_dir() and parts and not {p.lower() for p in parts} & IGNORED:
+                    groups.setdefault(parts[0] if len(parts) > 1 else "__root__", []).append((entry.filename, parts, entry))
+            for number, (group, members) in enumerate(groups.items()):
+                for k, (_, parts, entry) in enumerate(sorted(members, key=lambda m: m[0])):
+                    try:
+                        if entry.file_size > most:
+                            raise ValueError(f"over {most} bytes")
+                        found, error = z.read(entry), None
+                    except (*BROKEN, RuntimeError, ValueError) as e:
+                        found, error = None, str(e) or type(e).__name__
+                    yield path, posixpath.join(*parts), group, number, k, found, error
 
     def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = [x.split()[0] for x in MEMBERS.split(", ")]
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"], strict=True):
-                groups: dict[str, int] = {}
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for entry in z.infolist():
-                        parts = [p for p in entry.filename.replace("\\", "/").split("/") if p not in ("", ".")]
-                        if entry.is_dir() or not parts or {p.lower() for p in parts} & IGNORED:
-                            continue
-                        group = parts[0] if len(parts) > 1 else "__root__"
-                        number = groups.setdefault(group, len(groups))
-                        yield pd.DataFrame([(path, posixpath.join(*parts), group, number, z.read(entry))], columns=["archive", "entry_path", "group_key", "group_no", "content"])
+                try:
+                    for row in entries(path, content):
+                        yield pd.DataFrame([row], columns=columns)
+                except BROKEN as e:
+                    yield pd.DataFrame([(path, posixpath.basename(path), "__root__", 0, 0, None, str(e) or type(e).__name__)], columns=columns)
 
-    return files.select("path", "content").mapInPandas(members, "archive string, entry_path string, group_key string, group_no int, content binary")
+    return files.select("path", "content").mapInPandas(members, MEMBERS)
+
+
+def expand(files: DataFrame) -> DataFrame:
+    """Rows like those of zip_members: the members of archives, and other files as they are, with no archive."""
+    is_zip = F.lower("path").endswith(".zip")
+    plain = files.where(~is_zip).select(
+        F.lit(None).cast("string").alias("archive"), F.col("path").alias("entry_path"), F.lit("__root__").alias("group_key"), F.lit(0).alias("group_no"), F.lit(0).alias("member_no"), "content", F.lit(None).cast("string").alias("error")
+    )
+    return plain.unionByName(zip_members(files.where(is_zip)))
 
 
 def docx_rows(content: bytes) -> Iterator[tuple[int, list[str]]]:
@@ -99,8 +138,8 @@ def xlsx_rows(content: bytes) -> Iterator[tuple[int, list[str]]]:
 READERS: dict[str, Callable[[bytes], Iterator[tuple[int, list[str]]]]] = {".docx": docx_rows, ".xlsx": xlsx_rows}
 
 
-def read_grids(files: DataFrame, readers: dict | None = None) -> DataFrame:
-    """Rows (path, page, row_idx, cells) of rows (path, content), by the reader of each ending. Files that can't be read give no rows; see unreadable."""
+def read_all(files: DataFrame, readers: dict | None = None) -> DataFrame:
+    """Rows (path, page, row_idx, cells, error) of rows (path, content), by the reader of each ending; a file that can't be read has one row, with an error."""
     readers = {**READERS, **(readers or {})}
 
     def grids(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -108,13 +147,27 @@ def read_grids(files: DataFrame, readers: dict | None = None) -> DataFrame:
             for path, content in zip(batch["path"], batch["content"], strict=True):
                 read = readers.get(posixpath.splitext(path)[1].lower())
                 try:
-                    rows = [(path, page, n, cells) for n, (page, cells) in enumerate(read(content) if read else ())]
-                except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
-                    rows = []
+                    rows = [(path, page, n, cells, None) for n, (page, cells) in enumerate(read(content) if read else ())]
+                    if not read:
+                        rows = [(path, None, None, None, "no reader for this ending")]
+                except (*BROKEN, KeyError, ValueError, IndexError, ElementTree.ParseError) as e:
+                    rows = [(path, None, None, None, str(e) or type(e).__name__)]
                 if rows:
-                    yield pd.DataFrame(rows, columns=["path", "page", "row_idx", "cells"])
+                    yield pd.DataFrame(rows, columns=["path", "page", "row_idx", "cells", "error"]).astype({"page": "Int32", "row_idx": "Int32"})
 
-    return files.select("path", "content").mapInPandas(grids, GRID)
+    return files.select("path", "content").mapInPandas(grids, f"{GRID}, error string")
+
+
+def read_grids(files: DataFrame, readers: dict | None = None) -> DataFrame:
+    """Rows (path, page, row_idx, cells) of the files that can be read; see failures and unreadable for the others."""
+    return read_all(files, readers).where("error is null").drop("error")
+
+
+def failures(files: DataFrame, readers: dict | None = None) -> DataFrame:
+    """Rows (path, warning) of files whose reader fails."""
+    name = F.element_at(F.split("path", "/"), -1)
+    found = read_all(files, readers).where("error is not null")
+    return found.select("path", F.concat(F.lit("Failed to read "), name, F.lit(": "), F.col("error")).alias("warning"))
 
 
 def unreadable(files: DataFrame) -> DataFrame:
