@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -71,14 +72,21 @@ def written(frame: DataFrame) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+def delete(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more."""
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        for folder in {f.rpartition("/")[0] for f in table.inputFiles()}:
+            path = context._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(spark: SparkSession, *tables: DataFrame) -> None:
-    """Deletes written tables that nothing reads any more, and has the driver's collector run, upon which Spark deletes the shuffle files of plans that are done."""
-    jvm, configuration = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for folder in {f.rpartition("/")[0] for table in tables for f in table.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(configuration).delete(path, True)
+    """delete, and then the driver's collector, upon which Spark deletes the shuffle files of plans that are done."""
+    delete(*tables)
     gc.collect()
-    jvm.System.gc()
+    time.sleep(1)  # events of the last query still hold its plan until they are handled
+    spark.sparkContext._jvm.System.gc()
 
 
 def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -108,7 +116,7 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e"))
         old, now = now, written(small.select("e.u", "e.v").where(F.col("u") != F.col("v")).distinct())
         del both, least, large, small
-        release(edges.sparkSession, old)
+        delete(old)
         before, seen = seen, mark(now)
         if seen == before:
             break
