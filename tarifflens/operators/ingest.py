@@ -116,7 +116,7 @@ def ingest(files: DataFrame, services: DataFrame, partners: DataFrame, history:
 
     late = F.coalesce(F.col("effective_date") > now, F.lit(False))
     prices = [F.col(c) for c in ("price_resident", "price_nonresident", "price_original")]
-    percent = F.concat(F.lit("("), F.bround("score", 0).cast("int").cast("string"), F.lit("%)"))
+    percent = F.concat(F.lit("("), F.col("score").cast("string"), F.lit("%)"))
     how = F.when(F.col("status") == "fuzzy_review", F.concat(F.lit("service review suggested "), percent)).when(F.col("service_id").isNull(), "service match required")
     how = how.when(F.col("status") == "fuzzy_auto", F.concat(F.lit("auto matched "), percent)).otherwise(F.concat("status", F.lit(" matched")))
     moved = P.change_note(F.col("previous_price"), F.col("price"))
