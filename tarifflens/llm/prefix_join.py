@@ -67,7 +67,8 @@ def links(items: DataFrame, may: Callable[[Callable, Callable], Column], allowed
     verify: the pairs (a, b) of h that are links. Every bucket is first linked through its least item;
     then only items that these links don't join are compared.
     """
-    keyed = items.select(F.explode("prefix").alias("e"), "h", "n").repartition(_key("e")).withColumn("k", _key("e"))  # dealt before k is there, so k isn't shuffled
+    members = items.select(F.explode_outer("prefix").alias("e"), "h", "n").where(F.col("e").isNotNull())  # outer, or a filter by size would compute prefix once more
+    keyed = members.repartition(_key("e")).withColumn("k", _key("e"))  # dealt before k is there, so k isn't shuffled
     bucket = W.partitionBy("k")
     shared = keyed.withColumn("size", F.count("*").over(bucket)).where("size > 1")
     shared = shared.withColumn("rep", F.min(F.struct("h", "n", "e")).over(bucket))
@@ -75,7 +76,7 @@ def links(items: DataFrame, may: Callable[[Callable, Callable], Column], allowed
     shared = shared.select("e", "h", "n", F.col("size").cast("int").alias("size"), F.when(by_rep, F.col("rep.h")).alias("a"))
     shared = written(shared.where("size > 2 OR a IS NOT NULL"))
     spark = items.sparkSession
-    del keyed
+    del members, keyed
     release(spark)
     bits = items.select("h", "n", "b0", "b1")
 
