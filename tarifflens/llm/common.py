@@ -84,9 +84,10 @@ def delete(*tables: DataFrame) -> None:
 def release(spark: SparkSession, *tables: DataFrame) -> None:
     """delete, and then the driver's collector, upon which Spark deletes the shuffle files of plans that are done."""
     delete(*tables)
-    gc.collect()
-    time.sleep(1)  # events of the last query still hold its plan until they are handled
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what the first pass finds still holds the last query's plan
+        gc.collect()
+        time.sleep(0.5)  # events of the last query hold its plan until they are handled
+        spark.sparkContext._jvm.System.gc()
 
 
 def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
