@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, fingerprints, license_scan, line_dedup, mixing, packing, pseudonyms, quality, simhash_dedup, token_prefixes
+from . import exact_dedup, fingerprints, lexical_search, license_scan, line_dedup, mixing, packing, pseudonyms, quality, simhash_dedup, token_prefixes, vector_codes
 from .common import table
 
 
@@ -64,7 +64,19 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", (F.col("id") == F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_quality, op3_license_scan, op4_mixing, op5_line_dedup, op6_pii_pseudonyms, op7_simhash_dedup, op8_token_counts, op9_packing, op10_exact_dedup)}
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings")).select(F.col("id").alias("vec_id"), "code", "error", "label_error", "codebooks_sha256")
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ALL = (
+    *(op1_fingerprints, op2_quality, op3_license_scan, op4_mixing, op5_line_dedup, op6_pii_pseudonyms, op7_simhash_dedup),
+    *(op8_token_counts, op9_packing, op10_exact_dedup, op12_vector_codes, op13_lexical_search),
+)
+QUERIES = {f.__name__: f for f in ALL}
 
 ORACLES = {
     "op3_license_scan": license_scan.SCAN_SQL,
@@ -72,4 +84,6 @@ ORACLES = {
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW g AS (PARTITION BY sha256(coalesce(text, '')))""",
+    "op12_vector_codes": vector_codes.COMPRESS_SQL,
+    "op13_lexical_search": lexical_search.SEARCH_SQL,
 }
