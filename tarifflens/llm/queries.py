@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, fingerprints, lexical_search, license_scan, line_dedup, mixing, packing, pseudonyms, quality, simhash_dedup, token_prefixes, vector_codes
+from . import exact_dedup, fingerprints, lexical_search, license_scan, line_dedup, minhash_dedup, mixing, packing, pseudonyms, quality, simhash_dedup, token_prefixes, vector_codes
 from .common import table
 
 
@@ -64,6 +64,11 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", (F.col("id") == F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))
 
 
+def op11_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash_dedup.near_components(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"))
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compress(table(spark, sf_dir, "embeddings")).select(F.col("id").alias("vec_id"), "code", "error", "label_error", "codebooks_sha256")
 
@@ -74,7 +79,7 @@ def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ALL = (
     *(op1_fingerprints, op2_quality, op3_license_scan, op4_mixing, op5_line_dedup, op6_pii_pseudonyms, op7_simhash_dedup),
-    *(op8_token_counts, op9_packing, op10_exact_dedup, op12_vector_codes, op13_lexical_search),
+    *(op8_token_counts, op9_packing, op10_exact_dedup, op11_minhash_dedup, op12_vector_codes, op13_lexical_search),
 )
 QUERIES = {f.__name__: f for f in ALL}
 

@@ -428,6 +428,9 @@ COLUMNS = {
     "op8": "doc_id long, n_bytes long, n_tokens long, over_limit boolean",
     "op9": "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long",
     "op10": "doc_id long, keep_id long, group_size long, kept boolean, text_sha256 string",
+    "op11": "doc_id long, n_shingles long, component_id long, kept boolean",
+    "op12": "vec_id long, code string, error long, label_error long, codebooks_sha256 string",
+    "op13": "item_id long, rank int, doc_id long, score long",
 }
 
 
@@ -439,4 +442,9 @@ def test_queries_have_contract_columns(spark):
         want = [tuple(x.split()) for x in COLUMNS[name.partition("_")[0]].split(", ")]
         types = dict(found.dtypes)
         assert [(c, types[c].replace("bigint", "long")) for c, _ in want] == want, name
-        assert (found.select("doc_id").distinct() if name.startswith("op9") else found).count() == n, name
+        if name.startswith("op12"):
+            assert found.count() == common.table(spark, sf, "embeddings").count()
+        elif name.startswith("op13"):
+            assert found.select("item_id").distinct().count() == common.table(spark, sf, "benchmark").count()
+        else:
+            assert (found.select("doc_id").distinct() if name.startswith("op9") else found).count() == n, name
