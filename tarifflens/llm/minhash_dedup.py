@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from hashlib import blake2b
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -31,8 +32,10 @@ BANDS, ROWS, MANTISSA_BITS = 64, 6, 10
 REGISTERS = BANDS * ROWS
 #: The least estimate that is confirmed.
 FLOOR = 0.67
-#: Passes over the buckets that compare each document with two others only, before the pairs that are left.
-ROUNDS = 2
+#: Bands of more documents than this are compared in blocks, of at most so many documents and bytes of hashes on average.
+LARGE, BLOCK_ROWS, BLOCK_BYTES = 16, 4_096, 8 << 20
+#: Rows and shingles that are compared at once within a block.
+ROWS_AT_ONCE, COLUMNS_AT_ONCE = 1_024, 1_024
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -173,13 +176,11 @@ def _open(members: DataFrame, links: DataFrame) -> DataFrame:
     return now.join(some, "k", "left_semi")
 
 
-def _few(members: DataFrame, seed: int) -> DataFrame:
-    """Pairs (a, b): of each node and, over all its bands, the first and the last of another part, by an order that the seed makes. Linear in the members."""
-    at = F.struct("part", F.xxhash64(F.lit(seed), "node").alias("order"), "node") if seed else F.struct("part", "node")
-    ends = members.groupBy("k").agg(F.min(at).alias("lo"), F.max(at).alias("hi"))
-    other = lambda e: F.when(F.col(f"{e}.part") != F.col("part"), F.col(e))
-    of = members.join(ends, "k").groupBy("node").agg(F.min(other("lo")).alias("lo"), F.max(other("hi")).alias("hi"))
-    pairs = of.select("node", F.explode(F.array("lo.node", "hi.node")).alias("other")).where("other is not null")
+def _few(members: DataFrame) -> DataFrame:
+    """Pairs (a, b): of each node, the least and the greatest one over all its bands. Linear in the members."""
+    ends = members.groupBy("k").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
+    of = members.join(ends, "k").groupBy("node").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    pairs = of.select("node", F.explode(F.array("lo", "hi")).alias("other")).where("node <> other")
     return pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
@@ -191,22 +192,115 @@ def _rest(members: DataFrame) -> DataFrame:
     return x.join(y, on).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
+def shared(rows: list[np.ndarray], columns: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+    """Sizes of the intersections of each of rows with each of columns, all sets of hashes, by runs of rows: the first row's number and a matrix."""
+    sizes = [len(x) for x in (*rows, *columns)]
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    _, place, times = np.unique(np.concatenate([*rows, *columns]), return_inverse=True, return_counts=True)
+    often = np.cumsum(times > 1) - 1  # a hash that stands once is in no intersection
+    of, place = of[times[place] > 1], often[place[times[place] > 1]]
+    order = np.argsort(place, kind="stable")
+    of, place = of[order], place[order]
+    width = int(place[-1]) + 1 if len(place) else 0
+    cuts = np.searchsorted(place, np.arange(0, width + COLUMNS_AT_ONCE, COLUMNS_AT_ONCE))
+    for first in range(0, len(rows), ROWS_AT_ONCE):
+        last = min(first + ROWS_AT_ONCE, len(rows))
+        out = np.zeros((last - first, len(columns)), dtype=np.float32)
+        for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+            dense = np.zeros((len(sizes), COLUMNS_AT_ONCE), dtype=np.float32)
+            dense[of[s:e], place[s:e] % COLUMNS_AT_ONCE] = 1
+            out += dense[first:last] @ dense[len(rows) :].T
+        yield first, out
+
+
+def block_links(nodes: np.ndarray, parts: np.ndarray, sets: list[np.ndarray], side: np.ndarray) -> list[tuple[int, int]]:
+    """Links between the nodes of the two sides, or where there is one side, among all; only as many as it takes to join their parts."""
+    root = {p: p for p in parts.tolist()}
+
+    def find(p: int) -> int:
+        while root[p] != p:
+            root[p] = root[root[p]]
+            p = root[p]
+        return p
+
+    if side.any():
+        rows, columns = np.flatnonzero(~side), np.flatnonzero(side)
+    else:
+        names, times = np.unique(parts, return_counts=True)
+        rows, columns = np.flatnonzero(parts != names[times.argmax()]), np.arange(len(nodes))
+    out = []
+    if not len(rows) or not len(columns):
+        return out
+    n = np.array([len(x) for x in sets], dtype=np.float32)
+    for first, both in shared([sets[i] for i in rows], [sets[i] for i in columns]):
+        some = rows[first : first + len(both)]
+        linked = (100 * both >= NEAR * (n[some][:, None] + n[columns] - both)) & (parts[some][:, None] != parts[columns])
+        for at in np.flatnonzero(linked.any(axis=1)):
+            i = some[at]
+            found = columns[linked[at]]
+            for p, k in zip(*np.unique(parts[found], return_index=True), strict=True):
+                a, b = find(int(parts[i])), find(int(p))
+                if a != b:
+                    root[b] = a
+                    x, y = int(nodes[i]), int(nodes[found[k]])
+                    out.append((min(x, y), max(x, y)))
+    return out
+
+
+def _in_blocks(members: DataFrame, classes: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """Links (a, b) between parts within large bands (k, node, part), on the full sets.
+
+    A band's members are dealt to blocks, and every two blocks meet in one task as a product of matrices; no pair
+    that isn't a link leaves it. Memory is bounded by the blocks, work grows with the product of a band's size and the
+    number of those that its largest part doesn't hold.
+    """
+    nodes = written(members.select("node").distinct().join(classes.select("node", "mark"), "node"))
+    wanted = nodes.select("mark").distinct()
+    texts = maybe_among(docs.select(F.xxhash64(text_of(text)).alias("mark"), text_of(text).cast("binary").alias("text")), ["mark"], wanted)
+    texts = nodes.join(texts.dropDuplicates(["mark"]), "mark").select("node", "text")
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingle_set(x.as_py()).tobytes() for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["node", "hashes"])
+
+    sets = written(texts.mapInArrow(hashes, "node long, hashes binary"))
+    sized = members.join(sets.select("node", F.length("hashes").alias("bytes")), "node")
+    blocks = sized.groupBy("k").agg(F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = members.join(blocks, "k").withColumn("own", own).select("k", "node", "part", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("k", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("side"), "node", "part").join(sets, "node")
+    dealt = dealt.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j").select("k", "i", "j", "side", "node", "part", "hashes")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        for _, some in groupby(rows, key=lambda r: r[:3]):
+            side, nodes, parts, found = zip(*(r[3:] for r in some), strict=True)
+            links = block_links(np.array(nodes), np.array(parts), [np.frombuffer(x, dtype=np.uint64) for x in found], np.array(side))
+            if links:
+                a, b = zip(*links, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    links = written(dealt.mapInArrow(compare, "a long, b long").distinct())
+    delete(nodes, sets)
+    return links
+
+
 def link_classes(classes: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
     """A table of links (a, b) whose components are those of all links between classes (node, mark, n, registers).
 
-    Each round compares a node with two others of its bands that no link joins with it yet, so a group of near
-    copies costs what it has members. Pairs that no component holds after that are compared all.
+    First each node is compared with two others, so a group of near copies costs what it has members. In bands whose
+    members that doesn't join, all pairs of different parts are compared: in small bands by their registers
+    first, in large ones block by block.
     """
-    members, links = _members(classes), None
-    for n in range(ROUNDS + 1):
-        now = members.withColumn("part", F.col("node")) if links is None else written(_open(members, links))
-        more = _confirmed(_rest(now) if n == ROUNDS else _few(now, n), classes, docs, text)
-        if links is None:
-            links = more
-            continue
-        old, links = links, written(links.union(more))
-        delete(now, more, old)
-    delete(members)
+    members = _members(classes)
+    first = _confirmed(_few(members), classes, docs, text)
+    now = written(_open(members, first))
+    sizes = now.groupBy("k").agg(F.count("*").alias("size"))
+    few = _confirmed(_rest(now.join(sizes.where(F.col("size") <= LARGE), "k", "left_semi")), classes, docs, text)
+    many = _in_blocks(now.join(sizes.where(F.col("size") > LARGE), "k", "left_semi").select("k", "node", "part"), classes, docs, text)
+    links = written(first.union(few).union(many))
+    delete(members, now, first, few, many)
     return links
 
 

@@ -68,6 +68,35 @@ def test_minhash_links_are_those_of_all_pairs(spark):
     assert minhash_dedup.near_components(docs.limit(0)).count() == 0
 
 
+def test_minhash_large_bands_in_blocks(spark, monkeypatch):
+    draw = random.Random(9)
+    words = [f"w{i}" for i in range(5000)]
+    base = draw.choices(words, k=150)
+    texts = []
+    for n in range(170):  # a family of which some are within reach of one another and others aren't
+        copy = list(base)
+        for _ in range(draw.choice([2, 5, 9, 14])):
+            copy[draw.randrange(150)] = f"n{draw.random()}"
+        texts.append(" ".join(copy))
+    sets = [pairs_of(t) for t in texts]
+    want = components(len(texts), lambda i, j: 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for rows in (4_096, 20):
+        monkeypatch.setattr(minhash_dedup, "BLOCK_ROWS", rows)
+        assert {r["id"]: r["component"] for r in minhash_dedup.near_components(docs).collect()} == dict(enumerate(want))
+    assert 1 < len(set(want)) < 170
+
+
+def test_intersections_in_blocks(monkeypatch):
+    draw = np.random.default_rng(8)
+    monkeypatch.setattr(minhash_dedup, "ROWS_AT_ONCE", 7)
+    monkeypatch.setattr(minhash_dedup, "COLUMNS_AT_ONCE", 13)
+    sets = [np.unique(draw.integers(0, 60, size=draw.integers(1, 40)).astype(np.uint64)) for _ in range(50)]
+    for rows, columns in ((sets[:20], sets[20:]), (sets[:1], sets[1:2])):
+        found = np.concatenate([m for _, m in minhash_dedup.shared(rows, columns)])
+        assert found.tolist() == [[len(np.intersect1d(a, b)) for b in columns] for a in rows]
+
+
 def test_minhash_repeated_and_null_ids(spark):
     long = " ".join(f"w{i}" for i in range(50))
     rows = [(None, long), (None, long + " end"), (4, "a b"), (4, "c d"), (4, "a b"), (2, "c D"), (None, "lone word here"), (None, None), (9, "")]
