@@ -86,6 +86,19 @@ def item_needs_review(verified: Column, service: Column, resident: Column, nonre
     return ~F.coalesce(verified, F.lit(False)) & (needs_review(service, resident, nonresident, original) | noted)
 
 
+def field_flags(name: Column, resident: Column, nonresident: Column, original: Column) -> Column:
+    """Struct of booleans: what is wrong with a row's name, its prices together, and each price field."""
+    none = F.coalesce(resident, nonresident, original).isNull()
+    low = F.coalesce(F.least(resident, nonresident, original) <= 0, F.lit(False))
+    lower = F.coalesce(nonresident < resident, F.lit(False))
+    field = lambda x: F.coalesce(x <= 0, none)
+    flags = {
+        "nameless": F.trim(name) == "", "invalid": none | low, "lower": lower,
+        "resident_invalid": field(resident), "nonresident_invalid": F.coalesce(nonresident <= 0, F.lit(False)) | lower, "original_invalid": field(original),
+    }
+    return F.struct(*(x.alias(n) for n, x in flags.items()))
+
+
 def extract_date(text: Column) -> Column:
     """Year-month-day, else day-month-year, else a year's first day; null if none is valid."""
     ymd = F.try_to_date(F.regexp_replace(F.regexp_extract(text, YMD, 0), "[_.]", "-"), "yyyy-MM-dd")

@@ -134,6 +134,48 @@ def short_id(x: Column) -> Column:
     return F.substring(x.cast("string"), 1, 8)
 
 
+#: What statuses are called, and how a name looks that a machine has given.
+STATUS_LABELS = {
+    "processed": "обработан", "needs_review": "требует проверки", "processing": "обрабатывается", "pending": "в очереди", "partial": "частично разобран",
+    "error": "ошибка", "failed": "ошибка", "loading": "загрузка",
+}
+NO_STATUS, NO_NAME, INTERNAL = "неизвестно", "Файл", "(?i)^([0-9a-f-]{12,}|upload)$"
+
+
+def short_text(x: Column, size: int = 12) -> Column:
+    """The text, or if it is longer than twice the size, its two ends."""
+    return F.when(F.length(x) > 2 * size, F.concat(F.substring(x, 1, size), F.lit("…"), F.substring(x, -size, size))).otherwise(x)
+
+
+def leaf_stem(path: Column) -> Column:
+    """The last part of a path without its ending; null if there is none."""
+    return F.nullif(F.regexp_replace(F.regexp_extract(F.trim(path), "([^\\\\/]*)$", 1), "\\.[^.]+$", ""), F.lit(""))
+
+
+def resolved_name(file_name: Column, fallback: Column, doc_id: Column) -> Column:
+    """What a document is called: its file, unless a machine named it, else the fallback, else a short id."""
+    stems = [leaf_stem(file_name), leaf_stem(fallback)]
+    told = [F.when(~x.rlike(INTERNAL), x) for x in stems]
+    return F.coalesce(*told, short_text(F.nullif(doc_id.cast("string"), F.lit(""))), *stems, F.lit(NO_NAME))
+
+
+def status_label(status: Column) -> Column:
+    out = F.coalesce(F.nullif(status, F.lit("")), F.lit(NO_STATUS))
+    for name, label in STATUS_LABELS.items():
+        out = F.when(status == name, label).otherwise(out)
+    return out
+
+
+def status_class(status: Column) -> Column:
+    return F.when(status == "processed", "status-badge ok").when(status.isin("needs_review", "error", "failed"), "status-badge error").otherwise("status-badge")
+
+
+def format_key(file_name: Column, file_format: Column) -> Column:
+    """The kind of file by its format, or where none is given, by the ending of its name."""
+    kind = F.lower(F.coalesce(F.nullif(file_format, F.lit("")), F.element_at(F.split(file_name, "\\."), -1)))
+    return F.when(kind.isin("xlsx", "xls", "docx", "pdf", "zip"), kind).otherwise("file")
+
+
 def join_notes(*parts: Column) -> Column:
     """The parts that are there, each once, in order."""
     return F.array_join(F.array_distinct(F.filter(F.array_compact(F.array(*parts)), lambda p: p != "")), "; ")
@@ -180,8 +222,12 @@ def common_subsequence(a: Column, b: Column) -> Column:
     return F.when((a == "") | (b == ""), 0).when(m <= BITS, short).otherwise(_subsequence_by_rows(a, b))
 
 
-def token_sort_ratio(a: Column, b: Column) -> Column:
-    """Normalised insert-delete similarity of the sorted tokens, 0 to 100."""
-    x, y = token_sorted(a), token_sorted(b)
+def ratio(x: Column, y: Column) -> Column:
+    """Normalised insert-delete similarity, 0 to 100."""
     total = F.length(x) + F.length(y)
     return F.when(total == 0, 100.0).otherwise(200.0 * common_subsequence(x, y) / total)
+
+
+def token_sort_ratio(a: Column, b: Column) -> Column:
+    """ratio of the sorted tokens."""
+    return ratio(token_sorted(a), token_sorted(b))

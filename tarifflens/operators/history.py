@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import clean, looks_uncertain, stem, token_sort_ratio, token_sorted
+from ..functions.text import clean, looks_uncertain, ratio, stem, token_sorted
+from .qgrams import candidates
 from .rows import first_by
+from .versions import active_versions, previous_prices  # noqa: F401
 
 AUTO, REVIEW = 92, 85
 
@@ -23,9 +24,9 @@ def choices(services: DataFrame) -> DataFrame:
 def match_names(names: DataFrame, services: DataFrame) -> DataFrame:
     """Rows (raw_name, service_id, score, status) for the distinct raw_name of names.
 
-    Equal labels settle a name by an equality join. The rest meet, in an equality join on length, the labels whose
-    length allows the review score at all; of these only pairs within as many edits as the score allows are
-    scored, by the longest common subsequence. No match is lost.
+    Equal labels settle a name by an equality join. The rest meet the labels with which they share a rare q-gram
+    (qgrams); of these only pairs within as many edits as the score allows are scored, by the longest common
+    subsequence. No match is lost.
     """
     wanted = names.select("raw_name").where("raw_name is not null").distinct()
     listed = choices(services)
@@ -35,16 +36,16 @@ def match_names(names: DataFrame, services: DataFrame) -> DataFrame:
     exact = exact.select("raw_name", "service_id", F.lit(100.0).alias("score"), F.when(F.col("source") == "synonym", "synonym").otherwise("exact").alias("status"))
     rest = wanted.where(~looks_uncertain(F.col("raw_name"))).join(exact, "raw_name", "left_anti").withColumn("x", token_sorted(F.col("raw_name")))
     labels = listed.withColumn("y", token_sorted(F.col("label"))).where("y <> ''")
-    # The score needs at most `most` inserts and deletes; neither lengths, nor kinds of characters, nor edits may then differ by more.
-    least = REVIEW / (200 - REVIEW)
+    # Pairs of texts within reach by their q-grams; then neither kinds of characters nor edits may differ by more than the score allows.
     kinds = lambda c: F.aggregate(F.split(c, ""), F.lit(0).cast("bigint"), lambda b, ch: b.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.xxhash64(ch).bitwiseAND(F.lit(63).cast("bigint")).cast("int"))))
-    reach = lambda m: F.sequence(F.ceil(m * least - 1e-9).cast("int"), F.floor(m / least + 1e-9).cast("int"))
-    labels = labels.withColumn("by", kinds(F.col("y"))).withColumn("n", F.explode(reach(F.length("y"))))
-    rest = rest.where("x <> ''").withColumns({"n": F.length("x"), "bx": kinds(F.col("x"))})
+    rest = rest.where("x <> ''")
+    met = candidates(rest.select("x").distinct(), labels.select("y").distinct(), REVIEW / 100)
     most = F.floor((F.length("x") + F.length("y")) * (1 - REVIEW / 100) + 1e-9).cast("int")
-    pairs = rest.join(labels, "n").where((F.bit_count(F.col("bx").bitwiseXOR(F.col("by"))) <= most) & (F.call_function("levenshtein", F.col("x"), F.col("y"), most) >= 0))
-    scored = first_by(pairs.withColumn("score", token_sort_ratio(F.col("raw_name"), F.col("label"))), ["raw_name"], F.col("score").desc(), F.col("service_id"), F.col("ordinal"))
-    fuzzy = scored.where(F.col("score") >= REVIEW).select(
+    met = met.where((F.bit_count(kinds(F.col("x")).bitwiseXOR(kinds(F.col("y")))) <= most) & (F.call_function("levenshtein", F.col("x"), F.col("y"), most) >= 0))
+    near = met.withColumn("score", ratio(F.col("x"), F.col("y"))).where(F.col("score") >= REVIEW)
+    pairs = rest.join(near, "x").join(labels, "y")
+    scored = first_by(pairs, ["raw_name"], F.col("score").desc(), F.col("service_id"), F.col("ordinal"))
+    fuzzy = scored.select(
         "raw_name", F.when(F.col("score") >= AUTO, F.col("service_id")).alias("service_id"), "score", F.when(F.col("score") >= AUTO, "fuzzy_auto").otherwise("fuzzy_review").alias("status")
     )
     found = exact.union(fuzzy)
@@ -52,34 +53,6 @@ def match_names(names: DataFrame, services: DataFrame) -> DataFrame:
     return found.union(none)
 
 
-def active_versions(items: DataFrame) -> DataFrame:
-    """items with active: no later document of the same partner and service has a date on or after the item's."""
-    later = F.max("effective_date").over(W.partitionBy("partner_id", "service_id").orderBy("doc_seq").rangeBetween(1, W.unboundedFollowing))
-    replaced = F.col("service_id").isNotNull() & F.col("later").isNotNull() & (F.col("effective_date").isNull() | (F.col("effective_date") <= F.col("later")))
-    return items.withColumn("later", later).withColumn("active", ~replaced).drop("later")
-
-
-def previous_prices(items: DataFrame) -> DataFrame:
-    """Rows (item_id, previous_id, previous_price): the version that was current when the item's document came in.
-
-    An earlier item counts if it is dated before this one (or either has no date) and no document between
-    them replaced it; the latest date wins, then the later document, then the greater id.
-    """
-    known = items.where("service_id is not null").select("item_id", "partner_id", "service_id", "doc_seq", "effective_date", "price")
-    # When an item was replaced: the first later document dated on or after it.
-    a, b = known.alias("a"), known.select("partner_id", "service_id", "doc_seq", "effective_date").where("effective_date is not null").distinct().alias("b")
-    same = (F.col("a.partner_id") == F.col("b.partner_id")) & (F.col("a.service_id") == F.col("b.service_id")) & (F.col("a.doc_seq") < F.col("b.doc_seq"))
-    gone = a.join(b, same & (F.col("a.effective_date").isNull() | (F.col("a.effective_date") <= F.col("b.effective_date"))), "left")
-    gone = gone.groupBy("a.item_id", "a.partner_id", "a.service_id", "a.doc_seq", "a.effective_date", "a.price").agg(F.min("b.doc_seq").alias("until"))
-    i, c = gone.alias("i"), known.alias("c")
-    on = (F.col("i.partner_id") == F.col("c.partner_id")) & (F.col("i.service_id") == F.col("c.service_id")) & (F.col("i.doc_seq") < F.col("c.doc_seq"))
-    on &= F.col("i.until").isNull() | (F.col("i.until") >= F.col("c.doc_seq"))
-    on &= F.col("c.effective_date").isNull() | F.col("i.effective_date").isNull() | (F.col("i.effective_date") < F.col("c.effective_date"))
-    best = F.max_by(F.struct("i.item_id", "i.price"), F.struct(F.coalesce(F.unix_date("i.effective_date"), F.lit(-2_000_000_000)), F.col("i.doc_seq"), F.col("i.item_id")))
-    found = c.join(i, on).groupBy(F.col("c.item_id").alias("item_id")).agg(best.alias("p"))
-    return found.select("item_id", F.col("p.item_id").alias("previous_id"), F.col("p.price").alias("previous_price"))
-
-
 def apply_reviews(items: DataFrame, events: DataFrame) -> DataFrame:
     """items as the latest review event of each leaves them; events: (item_id, seq, service_name_raw, price_resident, price_nonresident)."""
     last = first_by(events, ["item_id"], F.col("seq").desc()).select("item_id", *(F.col(c).alias(f"new_{c}") for c in ("service_name_raw", "price_resident", "price_nonresident")), F.lit(True).alias("reviewed"))
@@ -120,14 +93,32 @@ def placeholder_items(documents: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def load_catalogue(sheet: DataFrame, existing: DataFrame) -> DataFrame:
-    """Rows (row_no, service_name, category, synonyms) of a sheet (row_no, name, category) whose names existing (service_name) lacks.
+    """Rows (row_no, service_name, category, icd_code, synonyms) of a sheet (row_no, name, category, and code where there is one) whose names existing (service_name) lacks.
 
     Rows without a name are left out, the first of equal names counts, and the category is the only synonym.
     """
-    rows = sheet.select("row_no", F.nullif(F.trim("name"), F.lit("")).alias("service_name"), F.nullif(F.trim("category"), F.lit("")).alias("category")).where("service_name is not null")
+    text = lambda c: F.nullif(F.trim(F.col(c)), F.lit("")) if c in sheet.columns else F.lit(None).cast("string")
+    rows = sheet.select("row_no", text("name").alias("service_name"), text("category").alias("category"), text("code").alias("icd_code")).where("service_name is not null")
     return insert_if_absent(rows, existing, "service_name", "row_no").withColumn("synonyms", F.array_compact(F.array("category")))
 
 
+#: How the columns of a catalogue's sheet are called.
+CATALOGUE = {"name": ("Name_ru",), "category": ("Специальность", "Specialty", "specialty"), "code": ("TarificatrCode", "TariffCode", "tariff_code")}
+
+
+def catalogue_sheet(grid: DataFrame) -> DataFrame:
+    """Rows (row_no, name, category, code) of a sheet's rows (row_idx, cells), the first of which has the headings; fails without them."""
+    head = grid.groupBy().agg(F.min_by("cells", "row_idx").alias("head"), F.min("row_idx").alias("first"))
+    spelt = F.transform("head", lambda h: F.trim(h))
+
+    def at(names: tuple[str, ...]):
+        return F.coalesce(*(F.nullif(F.array_position(spelt, n), F.lit(0)) for n in names), F.raise_error(F.concat(F.lit("missing heading, one of "), F.lit(", ".join(names)))).cast("bigint"))
+
+    placed = head.select("first", *(at(names).cast("int").alias(c) for c, names in CATALOGUE.items()))
+    cell = lambda c: F.nullif(F.trim(F.get("cells", F.col(c) - 1)), F.lit(""))
+    return grid.join(F.broadcast(placed)).where("row_idx > first").select(F.col("row_idx").alias("row_no"), *(cell(c).alias(c) for c in CATALOGUE))
+
+
 def drafts_with_items(drafts: DataFrame, items: DataFrame) -> DataFrame:
     """Drafts of a review with the items that they are about; drafts about none are left out."""
     return drafts.join(items, "item_id")

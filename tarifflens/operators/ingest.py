@@ -5,43 +5,57 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import price as P
 from ..functions import text as T
-from ..sources.files import READABLE, expand, read_all
+from ..sources.archives import read_files
+from ..sources.files import READABLE, TEXT, expand, read_all, read_directory
+from ..sources.steps import Steps
 from .history import active_versions, match_names, previous_prices
+from .recognition import resolve
 from .rows import parse_rows
 
-#: Characters of a document's text, of an item's name, code and note that are kept; warnings in a document's log; note of an item that stands for a whole document.
-TEXT, NAME, CODE, NOTE, LOG = 50_000, 500, 128, 1000, 5
+#: Characters of an item's name, code and note that are kept; warnings in a document's log; note of an item that stands for a whole document.
+NAME, CODE, NOTE, LOG = 500, 128, 1000, 5
 MANUAL = "needs manual review"
 
 
+def document_status(review: Column, content: Column, late: Column) -> Column:
+    """review: whether any row waits for a person, null if there are no rows. Rows decide, and a date in the future; without rows, text waits and no text is an error."""
+    readable = T.clean(F.coalesce(content, F.lit(""))) != ""
+    return F.when(review.isNotNull(), F.when(review | late, "needs_review").otherwise("processed")).when(readable, "needs_review").otherwise("error")
+
+
+def archive_totals(documents: DataFrame, items: DataFrame) -> DataFrame:
+    """Rows (archive, n_documents, n_items, n_matched, status)."""
+    counts = items.groupBy("doc_id").agg(F.count("*").alias("n"), F.count("service_id").alias("m"))
+    has = lambda s: F.bool_or(F.col("parse_status") == s)
+    status = F.when(has("error"), "error").when(has("needs_review"), "needs_review").otherwise("processed")
+    rows = documents.where("archive is not null").join(counts, "doc_id", "left")
+    return rows.groupBy("archive").agg(F.count("*").alias("n_documents"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_items"), F.coalesce(F.sum("m"), F.lit(0)).alias("n_matched"), status.alias("status"))
+
+
 @dataclass(frozen=True)
 class Ingested:
-    """partners: the new ones (partner_id, name). documents, items and warnings as ingest describes them; archives and stats are derived."""
+    """partners: the new ones (partner_id, name). documents, items and warnings as ingest describes them; queue: pages to recognise (doc_id, page, batch, attempt); archives and stats are derived."""
 
     partners: DataFrame
     documents: DataFrame
     items: DataFrame
     warnings: DataFrame
-    kept: tuple[DataFrame, ...] = ()
+    queue: DataFrame | None = None
+    steps: Steps | None = None
 
-    def unpersist(self) -> None:
-        """Gives back the storage of the steps that these tables share."""
-        for frame in self.kept:
-            frame.unpersist()
+    def delete_steps(self) -> None:
+        """Deletes the tables between steps that these tables are read from; to be called once they are saved."""
+        if self.steps is not None:
+            self.steps.delete()
 
     def archives(self) -> DataFrame:
-        """Rows (archive, n_documents, n_items, n_matched, status)."""
-        counts = self.items.groupBy("doc_id").agg(F.count("*").alias("n"), F.count("service_id").alias("m"))
-        has = lambda s: F.bool_or(F.col("parse_status") == s)
-        status = F.when(has("error"), "error").when(has("needs_review"), "needs_review").otherwise("processed")
-        rows = self.documents.where("archive is not null").join(counts, "doc_id", "left")
-        return rows.groupBy("archive").agg(F.count("*").alias("n_documents"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_items"), F.coalesce(F.sum("m"), F.lit(0)).alias("n_matched"), status.alias("status"))
+        return archive_totals(self.documents, self.items)
 
     def stats(self) -> DataFrame:
         """One row (partners, documents, items, matched): what is new."""
@@ -49,6 +63,10 @@ class Ingested:
         return self.partners.agg(F.count("*").alias("partners")).join(self.documents.agg(F.count("*").alias("documents"))).join(total)
 
 
+def _doc_id() -> Column:
+    return F.xxhash64(F.coalesce("archive", F.lit("")), F.col("entry_path"))
+
+
 def _named(entries: DataFrame, partners: DataFrame) -> DataFrame:
     """entries with doc_id, name, ending, partner, partner_id and effective_date."""
     name = F.element_at(T.path_parts(F.col("entry_path")), -1)
@@ -57,13 +75,13 @@ def _named(entries: DataFrame, partners: DataFrame) -> DataFrame:
     outer = F.when(F.col("group_key") != "__root__", F.col("group_key")).otherwise(T.stem(F.col("archive")))
     partner = F.when(F.col("archive").isNull() | (own != F.col("stem")), own).otherwise(outer)
     folder = F.when(F.col("archive").isNull(), F.element_at(T.path_parts(F.col("entry_path")), -2))
-    rows = rows.withColumns({"doc_id": F.xxhash64(F.coalesce("archive", F.lit("")), F.col("entry_path")), "partner": partner, "effective_date": F.coalesce(P.extract_date(F.col("stem")), P.extract_date(folder))})
+    rows = rows.withColumns({"doc_id": _doc_id(), "partner": partner, "effective_date": F.coalesce(P.extract_date(F.col("stem")), P.extract_date(folder))})
     known = partners.groupBy(F.lower(F.trim("name")).alias("k")).agg(F.min("partner_id").alias("known_id"))
     rows = rows.join(known, F.lower(F.trim("partner")) == F.col("k"), "left").drop("k")
     return rows.withColumn("partner_id", F.coalesce("known_id", F.xxhash64(F.lower(F.trim("partner")))))
 
 
-def ingest(files: DataFrame, services: DataFrame, partners: DataFrame, history: DataFrame | None = None, rates: DataFrame | None = None, today: date | None = None, readers: dict | None = None, first_seq: int = 1) -> Ingested:
+def ingest(files: DataFrame, services: DataFrame, partners: DataFrame, history: DataFrame | None = None, rates: DataFrame | None = None, today: date | None = None, readers: dict | None = None, first_seq: int = 1, answers: DataFrame | None = None) -> Ingested:
     """Reads, parses, matches, versions and checks files (path, content), archives among them.
 
     services: (service_id, service_name, synonyms, is_active). partners: (partner_id, name). history: items
@@ -76,26 +94,38 @@ def ingest(files: DataFrame, services: DataFrame, partners: DataFrame, history:
     service_code_source, service_id, price_resident, price_nonresident, price_original, currency, is_verified,
     verification_note, effective_date, is_active). warnings: (archive, path, n, warning). A document's log has the last
     warnings up to its own in the order of its import; files that no reader takes give a warning alone,
-    those that can't be read a document without items.
+    those that can't be read a document without items, and those with text but no rows an item that stands for them.
+    Of pages that a reader gives from two sources the better is taken; what is left to recognise is in queue, and
+    answers (doc_id, page, attempt, text, error) are what recognition said of earlier queues.
     """
-    now = F.lit(today).cast("date") if today else F.current_date()
-    kept: list[DataFrame] = []
-
-    def shared(frame: DataFrame) -> DataFrame:
-        kept.append(frame.persist())
-        return kept[-1]
-
     members = _named(expand(files), partners)
-    entries = shared(members.drop("content"))
     usable = members.where(F.col("ending").isin(*READABLE) & F.col("error").isNull())
     key = F.concat(F.col("doc_id").cast("string"), F.lit("/"), F.col("name"))
-    read = shared(read_all(usable.select(key.alias("path"), "content"), readers).withColumn("doc_id", F.split("path", "/")[0].cast("long")))
+    read = read_all(usable.select(key.alias("path"), "content"), readers).withColumn("doc_id", F.split("path", "/")[0].cast("long"))
+    return _ingest(members.drop("content"), read, services, partners, history, rates, today, first_seq, answers)
+
+
+def ingest_paths(spark: SparkSession, paths: str | list[str], services: DataFrame, partners: DataFrame, history: DataFrame | None = None, rates: DataFrame | None = None, today: date | None = None, first_seq: int = 1, answers: DataFrame | None = None) -> Ingested:
+    """ingest of files, folders and archives by their paths: members of one archive are read by many tasks."""
+    entries = _named(read_files(spark, paths, "entries").drop("size"), partners)
+    read = read_files(spark, paths, "rows").withColumn("doc_id", _doc_id())
+    taken = entries.where(F.col("ending").isin(*READABLE) & F.col("error").isNull()).select("doc_id")
+    return _ingest(entries, read.join(taken, "doc_id", "left_semi"), services, partners, history, rates, today, first_seq, answers)
+
+
+def _ingest(members: DataFrame, read: DataFrame, services: DataFrame, partners: DataFrame, history: DataFrame | None, rates: DataFrame | None, today: date | None, first_seq: int, answers: DataFrame | None) -> Ingested:
+    now = F.lit(today).cast("date") if today else F.current_date()
+    steps = Steps(members.sparkSession)
+    shared = steps.keep
+    entries, read = shared(members), shared(read)
     usable = entries.where(F.col("ending").isin(*READABLE) & F.col("error").isNull())
-    grid = read.where("error is null").select("doc_id", "row_idx", "cells")
+    pages = resolve(read.where("source IS NOT NULL").select("doc_id", "page", "row_idx", "cells", "source"), answers)
+    grid = read.where("cells IS NOT NULL AND source IS NULL").select("doc_id", "row_idx", "cells").unionByName(pages.rows)
     parsed = shared(parse_rows(grid, ["doc_id"]).where(F.trim("service_name_raw") != ""))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_idx", "cells"))), lambda r: F.array_join(r["cells"], " ")), "\n")
-    texts = grid.groupBy("doc_id").agg(T.let(text, lambda t: F.substring(t, 1, TEXT)).alias("raw_content"))
-    failed = read.where("error is not null").groupBy("doc_id").agg(F.first("error").alias("failed"))
+    plain = read.where("cells IS NULL AND error IS NULL AND source IS NULL").select("doc_id", "text").join(pages.texts, "doc_id", "left")
+    texts = plain.select("doc_id", F.substring(F.coalesce("raw_content", "text"), 1, TEXT).alias("raw_content"))
+    recognised = pages.warnings.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("page", "warning"))), lambda x: x["warning"]).alias("recognised"))
+    failed = read.where("error IS NOT NULL").select("doc_id", F.col("error").alias("failed"))
 
     # Items before versions.
     names = shared(parsed.select(F.col("service_name_raw").alias("raw_name")).distinct())
@@ -132,10 +162,11 @@ def ingest(files: DataFrame, services: DataFrame, partners: DataFrame, history:
 
     # Documents: what their rows say of them, and the last warnings.
     counts = rows.groupBy("doc_id").agg(F.bool_or("review").alias("review"))
-    docs = numbered.join(counts, "doc_id", "left").join(texts, "doc_id", "left").join(failed, "doc_id", "left")
+    docs = numbered.join(counts, "doc_id", "left").join(texts, "doc_id", "left").join(failed, "doc_id", "left").join(recognised, "doc_id", "left")
     late_warning = F.when(late, F.concat(F.lit("Price date is in the future: "), "name", F.lit(" -> "), F.col("effective_date").cast("string")))
-    own = F.array_compact(F.array(F.when(F.col("failed").isNotNull(), F.concat(F.lit("Failed to read "), "name", F.lit(": "), "failed")), late_warning))
-    status = F.when(F.col("review").isNotNull(), F.when(F.col("review") | late, "needs_review").otherwise("processed")).when(F.trim(F.coalesce("raw_content", F.lit(""))) != "", "needs_review").otherwise("error")
+    own = F.concat(F.coalesce("recognised", F.array().cast("array<string>")), F.array(F.when(F.col("failed").isNotNull(), F.concat(F.lit("Failed to read "), "name", F.lit(": "), "failed")), late_warning))
+    own = F.array_compact(own)
+    status = document_status(F.col("review"), F.col("raw_content"), late)
     docs = docs.withColumns({"own": own, "parse_status": status})
     skipped = F.when(F.col("error").isNotNull(), F.concat(F.lit("Failed to read "), "name", F.lit(": "), "error")).otherwise(F.concat(F.lit("Skipped unsupported file: "), "name"))
     place = ["archive", "group_no", "member_no", "entry_path"]
@@ -160,19 +191,9 @@ def ingest(files: DataFrame, services: DataFrame, partners: DataFrame, history:
     }
     items = rows.unionByName(whole.select(*(stand_in[c].alias(c) if c in stand_in else x for c, x in empty.items()))).drop("review")
     fresh = entries.where(F.col("known_id").isNull() & F.col("partner").isNotNull()).groupBy("partner_id").agg(F.min("partner").alias("name"))
-    return Ingested(fresh, documents, items, warnings, tuple(kept))
+    return Ingested(fresh, documents, items, warnings, pages.queue, steps)
 
 
-def ingest_directory(spark, folder: str, services: DataFrame, partners: DataFrame, **more) -> Ingested:
+def ingest_directory(spark: SparkSession, folder: str, services: DataFrame, partners: DataFrame, **more) -> Ingested:
     """ingest of the files of a folder other than archives, without its sub-folders."""
-    from ..sources.files import read_directory
-
     return ingest(read_directory(spark, folder), services, partners, **more)
-
-
-def append(found: Ingested, out: str) -> None:
-    """Adds what an ingest found to tables of Parquet files, documents and items by partner."""
-    found.partners.write.mode("append").parquet(f"{out}/partners")
-    found.documents.write.mode("append").parquet(f"{out}/documents")
-    found.items.write.mode("append").parquet(f"{out}/items")
-    found.warnings.write.mode("append").parquet(f"{out}/warnings")

@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 from ..functions import price as P
 from ..functions import text as T
 from ..operators import history as H
+from ..operators import ingest as I
 from ..operators import layout as L
+from ..operators import ledger
 from ..operators import pages as G
+from ..operators import recognition
 from ..operators import rows as R
 from ..sources import files as S
 from ..sources import writers
@@ -276,6 +279,37 @@ def page_choice(spark, d):
     return G.choose_rows(rows.where("row_idx % 2 = 0"), rows.where("row_idx % 2 = 1"), 20)
 
 
+# Pages of two sources, and recognition: a third of the pages has an answer, a third has failed twice, a third wasn't tried.
+_CHOSEN = PAGES_SCORED + """, both_ AS (SELECT doc_id, page, coalesce(sum(score) FILTER (row_idx % 2 = 0), 0)::bigint AS t, coalesce(sum(score) FILTER (row_idx % 2 = 1), 0)::bigint AS x, count(*) FILTER (row_idx % 2 = 0) > 0 AS has FROM scores GROUP BY ALL),
+    chosen AS (SELECT *, CASE WHEN takes THEN t ELSE x END < 20 AS poor, (doc_id + page) % 3 AS m FROM (SELECT *, has AND t > x AND (t - x >= 20 OR x < 100) AS takes FROM both_)) """
+
+
+def _resolved_pages(spark, d):
+    rows = _pages(spark, d).withColumn("source", F.when(F.col("row_idx") % 2 == 0, "table").otherwise("text"))
+    pages, m = rows.select("doc_id", "page").distinct(), (F.col("doc_id") + F.col("page")) % 3
+    answer = lambda n, text, error: pages.where(m == n).select("doc_id", "page", F.explode(F.array(*map(F.lit, (1, 2)))).alias("attempt"), text.alias("text"), error.alias("error"))
+    none = F.lit(None).cast("string")
+    answers = answer(0, F.concat(F.lit(" page\t"), F.col("page").cast("string")), none).union(answer(1, none, F.lit("busy")))
+    return recognition.resolve(rows, answers, accepted=20)
+
+
+@query("SELECT doc_id, page, ((row_number() OVER (PARTITION BY doc_id ORDER BY page) - 1) // 5)::int AS batch, CASE m WHEN 1 THEN 3 ELSE 1 END AS attempt FROM chosen WHERE poor AND m > 0", _CHOSEN)
+def ocr_queue(spark, d):
+    return _resolved_pages(spark, d).queue
+
+
+@query("""SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY page, n) - 1)::int AS row_idx, row_text FROM (
+    SELECT doc_id, page, row_idx AS n, row_text FROM pages JOIN chosen USING (doc_id, page) WHERE takes = (row_idx % 2 = 0)
+    UNION ALL SELECT doc_id, page, 1000, 'page ' || page FROM chosen WHERE poor AND m = 0)""", _CHOSEN)
+def ocr_rows(spark, d):
+    return _resolved_pages(spark, d).rows.select("doc_id", "row_idx", F.array_join("cells", "|").alias("row_text"))
+
+
+@query("SELECT doc_id, count(*) AS failed FROM chosen WHERE poor AND m = 1 GROUP BY 1", _CHOSEN)
+def ocr_failures(spark, d):
+    return _resolved_pages(spark, d).warnings.groupBy("doc_id").agg(F.count("*").alias("failed"))
+
+
 @query("SELECT event_id, event_type AS text, CASE WHEN event_id % 5 = 0 THEN 0 ELSE event_id % 97 END::double AS x0, (event_id % 89)::double AS y0, 0.0::double AS x1, (event_id % 89 + 9)::double AS y1 FROM events", "")
 def coerce_words(spark, d):
     raw = spark.read.parquet(f"{d}/events.parquet").select("event_id", F.col("event_type").alias("text"), F.when(F.col("event_id") % 5 != 0, F.col("event_id") % 97).alias("x0"), F.when(F.col("event_id") % 2 == 0, F.col("event_id") % 89).alias("y0"), (F.col("event_id") % 89).alias("top"), (F.col("event_id") % 89 + 9).cast("string").alias("bottom"))
@@ -348,6 +382,22 @@ def display_name(spark, d):
     return D.documents(spark, d).select("doc_id", "parse_status", T.display_name(F.col("file_name")).alias("shown"), F.concat(F.lit("document "), T.short_id(F.col("doc_id"))).alias("short"))
 
 
+_NAMED = "CASE WHEN doc_id % 7 = 0 THEN '0123456789abcdef-' || doc_id || '.pdf' WHEN doc_id % 7 = 1 THEN ' in/Upload.xlsx' ELSE 'a\\b/' || file_name END AS f, CASE doc_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'upload.zip' ELSE 'x/list ' || doc_id % 5 || '.docx' END AS other"
+
+
+@query(f""", named AS (SELECT *, {_NAMED} FROM docs)
+    SELECT doc_id, CASE WHEN doc_id % 7 > 1 THEN regexp_replace(file_name, '\\.[^.]+$', '') WHEN doc_id % 4 > 1 THEN 'list ' || doc_id % 5 ELSE CAST(doc_id AS varchar) END AS name,
+        CASE parse_status WHEN 'processed' THEN 'обработан' WHEN 'error' THEN 'ошибка' ELSE 'требует проверки' END AS label, CASE WHEN parse_status = 'processed' THEN 'status-badge ok' ELSE 'status-badge error' END AS css,
+        CASE WHEN doc_id % 7 = 0 THEN 'pdf' WHEN doc_id % 7 = 1 THEN 'xlsx' ELSE lower(regexp_extract(file_name, '[^.]*$')) END AS kind FROM named""")
+def document_labels(spark, d):
+    n, number = F.col("doc_id") % 7, F.col("doc_id").cast("string")
+    name = F.when(n == 0, F.concat(F.lit("0123456789abcdef-"), number, F.lit(".pdf"))).when(n == 1, " in/Upload.xlsx").otherwise(F.concat(F.lit("a\\b/"), "file_name"))
+    k = F.col("doc_id") % 4
+    other = F.when(k == 1, "upload.zip").when(k > 1, F.concat(F.lit("x/list "), (F.col("doc_id") % 5).cast("string"), F.lit(".docx")))
+    rows = D.documents(spark, d).withColumns({"f": name, "other": other})
+    return rows.select("doc_id", T.resolved_name(F.col("f"), F.col("other"), F.col("doc_id")).alias("name"), T.status_label(F.col("parse_status")).alias("label"), T.status_class(F.col("parse_status")).alias("css"), T.format_key(F.col("f"), F.lit(None).cast("string")).alias("kind"))
+
+
 @query(" SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'Клиника ' || partner_id WHEN 1 THEN 'folder' || archive_id ELSE 'prices' END AS partner FROM docs")
 def archive_partner(spark, d):
     """By the file's name, else its folder, else the archive."""
@@ -398,9 +448,18 @@ def verification_queue(spark, d):
     return rows.orderBy(F.col("effective_date").desc_nulls_last(), "service_name_raw", "item_id").select("item_id", "service_name_raw", day("effective_date"))
 
 
-@query(f" SELECT item_id, coalesce({_LOW}, false) AS lower, service_name_raw = '' AS nameless, price_resident <= 0 AS invalid FROM items")
+#: Items as a person may have left them: without a name, without one of the prices or any, or with a price below zero.
+_ODD = "CASE WHEN item_id % 13 = 0 THEN '  ' ELSE service_name_raw END AS name, CASE WHEN item_id % 7 < 2 THEN NULL WHEN item_id % 7 = 2 THEN -price_resident ELSE price_resident END AS a, CASE WHEN item_id % 7 <> 1 THEN price_nonresident END AS b, CASE item_id % 7 WHEN 1 THEN NULL WHEN 3 THEN 0.0::double ELSE price_resident END AS c"
+
+
+@query(f""" SELECT item_id, trim(name) = '' AS nameless, coalesce(a, b, c) IS NULL OR coalesce(a <= 0, false) OR coalesce(b <= 0, false) OR coalesce(c <= 0, false) AS invalid, coalesce(b < a, false) AS lower,
+    coalesce(a <= 0, b IS NULL AND c IS NULL) AS resident_invalid, coalesce(b <= 0 OR b < a, false) AS nonresident_invalid, coalesce(c <= 0, a IS NULL AND b IS NULL) AS original_invalid FROM (SELECT item_id, {_ODD} FROM items)""")
 def validation_flags(spark, d):
-    return D.items(spark, d).select("item_id", F.coalesce(F.col("price_nonresident") < F.col("price_resident"), F.lit(False)).alias("lower"), (F.trim("service_name_raw") == "").alias("nameless"), (F.col("price_resident") <= 0).alias("invalid"))
+    n, price = F.col("item_id") % 7, F.col("price_resident")
+    name = F.when(F.col("item_id") % 13 == 0, "  ").otherwise(F.col("service_name_raw"))
+    a = F.when(n < 2, None).when(n == 2, -price).otherwise(price)
+    flags = P.field_flags(name, a, F.when(n != 1, F.col("price_nonresident")), F.when(n == 1, None).when(n == 3, 0.0).otherwise(price))
+    return D.items(spark, d).select("item_id", flags.alias("f")).select("item_id", "f.*")
 
 
 @query(f" SELECT item_id, CASE WHEN service_id IS NULL THEN 'service match required' WHEN {_LOW} THEN '{P.LOWER}' WHEN verification_note IS NOT NULL THEN 'price anomaly' ELSE 'check' END AS reason FROM items")
@@ -485,8 +544,7 @@ def partner_items_top200(spark, d):
 @query(" SELECT doc_id, file_name, parse_status FROM docs WHERE doc_id = (SELECT min(doc_id) FROM docs)")
 def key_lookup(spark, d):
     docs = D.documents(spark, d)
-    first = docs.agg(F.min("doc_id").alias("doc_id"))  # one row
-    return docs.join(F.broadcast(first), "doc_id", "left_semi").select("doc_id", "file_name", "parse_status")
+    return G.by_key(docs, "doc_id", docs.agg(F.min("doc_id")).first()[0]).select("doc_id", "file_name", "parse_status")
 
 
 @query(" SELECT item_id, service_name_raw, price_resident + 1 AS draft_price FROM items WHERE item_id % 9 = 4 AND is_active")
@@ -543,16 +601,29 @@ def document_needs_review(spark, d):
     return D.documents(spark, d).join(flags, "doc_id", "left").select("doc_id", F.coalesce("r", F.lit(True)).alias("review"))
 
 
-@query(" SELECT doc_id, CASE WHEN parse_status = 'error' THEN 'error' WHEN parse_status = 'needs_review' OR bool_or(service_id IS NULL) THEN 'needs_review' ELSE 'processed' END AS status FROM docs LEFT JOIN items USING (doc_id) GROUP BY doc_id, parse_status")
+#: What a reader left of a document: no text, text without rows, or rows, some of which wait for a person.
+_CONTENT = "CASE WHEN doc_id % 7 = 0 THEN '' WHEN doc_id % 7 = 1 THEN ' ' ELSE file_name END"
+
+
+@query(f""", rows AS (SELECT doc_id, service_id IS NULL OR coalesce({_LOW}, false) AS review FROM items WHERE doc_id % 7 > 2)
+    SELECT doc_id, CASE WHEN count(review) = 0 THEN CASE WHEN trim({_CONTENT}) <> '' THEN 'needs_review' ELSE 'error' END WHEN bool_or(review) OR coalesce(effective_date > DATE '1997-01-01', false) THEN 'needs_review' ELSE 'processed' END AS status
+    FROM docs LEFT JOIN rows USING (doc_id) GROUP BY doc_id, file_name, effective_date""")
 def document_status(spark, d):
-    flags = D.items(spark, d).groupBy("doc_id").agg(F.bool_or(F.col("service_id").isNull()).alias("r"))
-    joined = D.documents(spark, d).join(flags, "doc_id", "left")
-    return joined.select("doc_id", F.when(F.col("parse_status") == "error", "error").when((F.col("parse_status") == "needs_review") | F.coalesce("r", F.lit(True)), "needs_review").otherwise("processed").alias("status"))
+    rows = D.items(spark, d).where("doc_id % 7 > 2").groupBy("doc_id").agg(F.bool_or(P.needs_review(*_item())).alias("review"))
+    docs = D.documents(spark, d).join(rows, "doc_id", "left")
+    n = F.col("doc_id") % 7
+    content = F.when(n == 0, "").when(n == 1, " ").otherwise(F.col("file_name"))
+    return docs.select("doc_id", I.document_status(F.col("review"), content, P.in_future(F.col("effective_date"), F.lit("1997-01-01").cast("date"))).alias("status"))
 
 
-@query(" SELECT count(DISTINCT partner_id) AS partners, count(DISTINCT doc_id) AS documents, count(*) AS items, count(service_id) AS matched FROM items")
+@query(""", new_partners AS (SELECT partner_id FROM items WHERE doc_id % 3 = 0 GROUP BY 1 HAVING partner_id NOT IN (SELECT partner_id FROM items WHERE doc_id % 3 <> 0))
+    SELECT (SELECT count(*) FROM new_partners) AS partners, (SELECT count(*) FROM docs WHERE doc_id % 3 = 0) AS documents, count(*) AS items, count(service_id) AS matched FROM items WHERE doc_id % 3 = 0""")
 def import_stats(spark, d):
-    return D.items(spark, d).agg(F.countDistinct("partner_id").alias("partners"), F.countDistinct("doc_id").alias("documents"), F.count("*").alias("items"), F.count("service_id").alias("matched"))
+    """Documents of every third id come in; partners that the others have are known."""
+    items, docs = D.items(spark, d), D.documents(spark, d)
+    come = F.col("doc_id") % 3 == 0
+    new = items.where(come).select("partner_id").distinct().join(items.where(~come).select("partner_id"), "partner_id", "left_anti")
+    return I.Ingested(new, docs.where(come), items.where(come), docs.limit(0)).stats()
 
 
 @query(" SELECT count(*) AS items, round(100.0 * count(service_id) / count(*))::bigint AS percent FROM items")
@@ -647,6 +718,18 @@ def load_catalogue(spark, d):
     return H.load_catalogue(part, part.where("p_size = 1")).select("row_no", "service_name", "category")
 
 
+@query(" SELECT min(p_partkey) AS row_no, p_name AS service_name, arg_min_null(CASE WHEN p_size <> 3 THEN p_brand END, p_partkey) AS category, arg_min(p_type, p_partkey) AS icd_code FROM part WHERE p_partkey % 11 <> 0 GROUP BY 2", "")
+def catalogue_sheet(spark, d):
+    """A sheet with headings in an order of its own, two of them in other spellings, and rows with blank names."""
+    part = spark.read.parquet(f"{d}/part.parquet")
+    name = F.when(F.col("p_partkey") % 11 == 0, " ").otherwise(F.concat(F.lit(" "), "p_name"))
+    row_no = F.col("p_partkey").cast("int")
+    rows = part.select(row_no.alias("row_idx"), F.array(F.col("p_type"), F.when(F.col("p_size") != 3, F.col("p_brand")).otherwise(" "), name).alias("cells"))
+    head = spark.range(1).select(F.lit(-1).alias("row_idx"), F.array(F.lit("TariffCode"), F.lit("Specialty "), F.lit("Name_ru")).alias("cells"))
+    none = part.limit(0).select(F.col("p_name").alias("service_name"))
+    return H.load_catalogue(H.catalogue_sheet(rows.union(head)), none).select(F.col("row_no").cast("long").alias("row_no"), "service_name", "category", "icd_code")
+
+
 @query(" SELECT min(c_custkey) AS seq, lower(c_mktsegment) AS name FROM customer GROUP BY 2 UNION ALL SELECT min(s_suppkey), 'new ' || (s_suppkey % 5) FROM supplier WHERE s_suppkey % 2 = 1 GROUP BY 2")
 def partner_upsert(spark, d):
     """Half of the suppliers come in under their known names in capitals, the others under five new ones."""
@@ -675,6 +758,48 @@ def delete_cascade(spark, d):
     return H.without_deleted(D.items(spark, d), D.documents(spark, d).where("archive_id = 3 or parse_status = 'error'")).select("item_id")
 
 
+# Events: every sixth item is reviewed twice, every tenth matched by a name, half of those by a new one; every 17th document and one archive are deleted.
+_EVENTS = """, kept AS (SELECT * FROM docs WHERE doc_id % 17 <> 0 AND archive_id <> 4),
+    state AS (SELECT items.*, item_id % 6 = 0 AS r, item_id % 10 = 7 AS m, item_id % 20 = 7 AS made FROM items WHERE doc_id IN (SELECT doc_id FROM kept)),
+    after AS (SELECT item_id, doc_id, CASE WHEN r THEN upper(service_name_raw) ELSE service_name_raw END AS service_name_raw, CASE WHEN r THEN 'X1' END AS service_code_source,
+        price_resident + CASE WHEN r THEN 2 ELSE 0 END AS price_resident, price_nonresident, CASE WHEN r THEN NULL ELSE price_resident END AS price_original, CASE WHEN r THEN 'EUR' ELSE currency END AS currency,
+        CASE WHEN made THEN 'New ' || item_id % 3 WHEN m THEN service_name_raw ELSE service_name END AS service_name, state.is_verified OR r OR m AS is_verified,
+        CASE WHEN m THEN 'manual matched' WHEN r THEN 'manual verified' ELSE verification_note END AS verification_note, r, m
+        FROM state LEFT JOIN services USING (service_id))"""
+
+
+def _state(spark, d):
+    items = D.items(spark, d).withColumn("service_code_source", F.lit(None).cast("string")).withColumn("price_original", F.col("price_resident"))
+    docs = D.documents(spark, d).withColumn("archive", F.col("archive_id").cast("string"))
+    review = lambda seq, by: items.where("item_id % 6 = 0").select(F.lit(seq).cast("long").alias("seq"), "item_id", F.concat(F.lit(" "), F.upper("service_name_raw")).alias("service_name_raw"), F.lit(" X1 ").alias("service_code_source"), (F.col("price_resident") + by).alias("price_resident"), "price_nonresident", F.lit(None).cast("double").alias("price_original"), F.lit("EUR").alias("currency"))
+    name = F.when(F.col("item_id") % 20 == 7, F.concat(F.lit(" New "), (F.col("item_id") % 3).cast("string"))).otherwise(F.upper("service_name_raw"))
+    none = lambda t: F.lit(None).cast(t)
+    matches = items.where("item_id % 10 = 7").select((F.col("item_id") + 3).alias("seq"), "item_id", none("long").alias("service_id"), name.alias("create_name"), F.lit("made").alias("create_category"), none("string").alias("create_code"), none("string").alias("note"))
+    last = F.lit(1 << 62)
+    gone = docs.where("doc_id % 17 = 0").select(last.alias("seq"), "doc_id", none("string").alias("archive")).union(docs.where("archive = '4'").select(last, none("long"), "archive"))
+    services = D.services(spark, d).withColumn("icd_code", none("string"))
+    return ledger.current(docs, items, services, review(1, 1).union(review(2, 2)), matches, gone)
+
+
+@query(_EVENTS + " SELECT * EXCLUDE (r, m, doc_id, price_nonresident) FROM after")
+def ledger_items(spark, d):
+    state = _state(spark, d)
+    named = state.items.join(state.services.select("service_id", "service_name"), "service_id", "left")
+    return named.select("item_id", "service_name_raw", "service_code_source", "price_resident", "price_original", "currency", "service_name", "is_verified", "verification_note")
+
+
+@query(_EVENTS + f""" SELECT doc_id, CASE WHEN coalesce(bool_or(r), false) OR coalesce(bool_or(m) AND NOT bool_or(NOT is_verified AND (service_name IS NULL OR coalesce({_LOW}, false) OR coalesce(verification_note, '') LIKE '%anomaly:%')), false) THEN 'processed' ELSE parse_status END AS parse_status
+    FROM kept LEFT JOIN after USING (doc_id) GROUP BY doc_id, parse_status""")
+def ledger_documents(spark, d):
+    return _state(spark, d).documents.select("doc_id", "parse_status")
+
+
+@query(""", made AS (SELECT 'New ' || item_id % 3 AS service_name, arg_min(CASE WHEN item_id % 6 = 0 THEN upper(service_name_raw) ELSE service_name_raw END, item_id) AS synonym FROM items WHERE item_id % 20 = 7 GROUP BY 1)
+    SELECT service_name, category, synonym FROM services UNION ALL SELECT service_name, 'made', synonym FROM made""")
+def ledger_services(spark, d):
+    return _state(spark, d).services.select("service_name", "category", F.get("synonyms", F.lit(0)).alias("synonym"))
+
+
 @query(" SELECT doc_id, regexp_replace(file_name, '\\.[^.]*$', '') AS service_name_raw, 'needs manual review' AS verification_note FROM docs WHERE parse_status = 'needs_review'")
 def placeholder_items(spark, d):
     items = D.items(spark, d).join(D.documents(spark, d).where("parse_status = 'needs_review'"), "doc_id", "left_anti")

@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import io
 import posixpath
-import re
 import zipfile
 import zlib
 from collections.abc import Callable, Iterator
-from xml.etree import ElementTree
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .office import Text, docx_rows, xlsx_rows
+
+#: Entries that operating systems leave in archives, and the endings that readers take.
 IGNORED = {"__macosx", ".ds_store"}
 READABLE = {".pdf", ".docx", ".xlsx", ".xls"}
 MEMBERS = "archive string, entry_path string, group_key string, group_no int, member_no int, content binary, error string"
@@ -21,14 +23,8 @@ MEMBERS = "archive string, entry_path string, group_key string, group_no int, me
 MOST = 256 << 20
 BROKEN = (zipfile.BadZipFile, zlib.error, EOFError, OSError, NotImplementedError)
 GRID = "path string, page int, row_idx int, cells array<string>"
-#: Namespaces of the two formats.
-W_NS = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
-S_NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
-R_NS = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
-
-
-def _clean(text: str) -> str:
-    return re.sub(r"\s+", " ", text.replace("\xad", "")).strip()
+#: Characters of a document's text that are kept; rows of a file that are held, and put out at once.
+TEXT, HELD, PUT_OUT = 50_000, 20_000, 4_096
 
 
 def read_directory(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -90,77 +86,73 @@ def expand(files: DataFrame) -> DataFrame:
     return plain.unionByName(zip_members(files.where(is_zip)))
 
 
-def docx_rows(content: bytes) -> Iterator[tuple[int, list[str]]]:
-    """Table rows with any text; page 0. Deleted text is left out, breaks are spaces."""
-    root = ElementTree.fromstring(zipfile.ZipFile(io.BytesIO(content)).read("word/document.xml"))
-
-    def text(node) -> str:
-        if node.tag == W_NS + "del":
-            return ""
-        if node.tag in (W_NS + "tab", W_NS + "br", W_NS + "cr"):
-            return "\n"
-        own = node.text or "" if node.tag == W_NS + "t" else ""
-        return own + "".join(map(text, node)) + ("\n" if node.tag == W_NS + "p" else "")
-
-    for row in root.iter(W_NS + "tr"):
-        cells = [_clean(text(c)) for c in row.findall(W_NS + "tc")]
-        if any(cells):
-            yield 0, cells
-
-
-def xlsx_rows(content: bytes) -> Iterator[tuple[int, list[str]]]:
-    """Rows with any text of every sheet, as wide as the sheet, in the workbook's order; stored values."""
-    z = zipfile.ZipFile(io.BytesIO(content))
-    names = set(z.namelist())
-    shared = ["".join(t.text or "" for t in s.iter(S_NS + "t")) for s in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in names else []
-    links = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
-    for n, sheet in enumerate(ElementTree.fromstring(z.read("xl/workbook.xml")).iter(S_NS + "sheet")):
-        target = links[sheet.get(R_NS + "id")]
-        rows: list[list[str]] = []
-        for row in ElementTree.fromstring(z.read(target.lstrip("/") if target.startswith("/") else f"xl/{target}")).iter(S_NS + "row"):
-            cells: list[str] = []
-            for c in row.findall(S_NS + "c"):
-                letters = re.match("[A-Z]*", c.get("r", "")).group()
-                at = sum((ord(x) - 64) * 26**k for k, x in enumerate(reversed(letters))) - 1 if letters else len(cells)
-                cells += [""] * (at - len(cells))
-                value = c.findtext(S_NS + "v") or ""
-                if c.get("t") == "s" and value:
-                    value = shared[int(value)]
-                elif c.get("t") == "inlineStr":
-                    value = "".join(t.text or "" for t in c.iter(S_NS + "t"))
-                cells.append(_clean(value))
-            rows.append(cells)
-        width = max(map(len, rows), default=0)
-        yield from ((n, cells + [""] * (width - len(cells))) for cells in rows if any(cells))
-
-
-#: Readers by ending. PDF, XLS and OCR need libraries that are not here; a caller registers its own.
-READERS: dict[str, Callable[[bytes], Iterator[tuple[int, list[str]]]]] = {".docx": docx_rows, ".xlsx": xlsx_rows}
+#: Readers by ending: of a file's bytes, rows (page, cells), and Text, pieces of its text. Without Text, the rows are its text.
+#: Rows (page, cells, source), source being table or text, are of a page's two sources, of which one is taken; cells is None where a page has none.
+#: PDF, XLS and OCR need libraries that are not here; a caller registers its own.
+READERS: dict[str, Callable[[bytes], Iterator[tuple[int, list[str]] | Text]]] = {".docx": docx_rows, ".xlsx": xlsx_rows}
+
+
+def read_one(path: str, content: bytes, readers: dict) -> Iterator[tuple]:
+    """Rows (page, row_idx, cells, source, text, error) of a file: its table rows, and at the end one with its text (cut to TEXT) or its error and nothing else.
+
+    Rows that a reader gives before it fails don't count. So a file of over HELD rows is read once to its end
+    before its rows are put out from a second reading; no more are held.
+    """
+    read = readers.get(posixpath.splitext(path)[1].lower())
+    if not read:
+        yield None, None, None, None, None, "no reader for this ending"
+        return
+    rows, count, texts, room, told = [], 0, [], TEXT, False
+
+    def note(piece: str) -> None:
+        nonlocal room
+        if room > 0:
+            texts.append(piece[:room])
+            room -= len(piece) + 1
+
+    try:
+        for found in read(content):
+            if isinstance(found, Text):
+                if not told:
+                    told, room = True, TEXT
+                    texts.clear()
+                note(found)
+                continue
+            count += 1
+            if count <= HELD:
+                rows.append(found)
+            elif rows:
+                rows.clear()
+            if not told:
+                note(" ".join(found[1] or ()))
+    except (*BROKEN, KeyError, ValueError, IndexError, RuntimeError) as e:
+        yield None, None, None, None, None, str(e) or type(e).__name__
+        return
+    again = rows if count <= HELD else (x for x in read(content) if not isinstance(x, Text))
+    yield from ((page, n, cells, source[0] if source else None, None, None) for n, (page, cells, *source) in enumerate(again))
+    yield None, None, None, None, "\n".join(texts)[:TEXT], None
 
 
 def read_all(files: DataFrame, readers: dict | None = None) -> DataFrame:
-    """Rows (path, page, row_idx, cells, error) of rows (path, content), by the reader of each ending; a file that can't be read has one row, with an error."""
+    """Rows (path, page, row_idx, cells, source, text, error) of rows (path, content), by the reader of each ending.
+
+    A file has one row without cells, which has its text, or an error if it can't be read.
+    """
     readers = {**READERS, **(readers or {})}
 
     def grids(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"], strict=True):
-                read = readers.get(posixpath.splitext(path)[1].lower())
-                try:
-                    rows = [(path, page, n, cells, None) for n, (page, cells) in enumerate(read(content) if read else ())]
-                    if not read:
-                        rows = [(path, None, None, None, "no reader for this ending")]
-                except (*BROKEN, KeyError, ValueError, IndexError, ElementTree.ParseError) as e:
-                    rows = [(path, None, None, None, str(e) or type(e).__name__)]
-                if rows:
-                    yield pd.DataFrame(rows, columns=["path", "page", "row_idx", "cells", "error"]).astype({"page": "Int32", "row_idx": "Int32"})
+                rows = ((path, *row) for row in read_one(path, content, readers))
+                while some := list(islice(rows, PUT_OUT)):
+                    yield pd.DataFrame(some, columns=["path", "page", "row_idx", "cells", "source", "text", "error"]).astype({"page": "Int32", "row_idx": "Int32"})
 
-    return files.select("path", "content").mapInPandas(grids, f"{GRID}, error string")
+    return files.select("path", "content").mapInPandas(grids, f"{GRID}, source string, text string, error string")
 
 
 def read_grids(files: DataFrame, readers: dict | None = None) -> DataFrame:
     """Rows (path, page, row_idx, cells) of the files that can be read; see failures and unreadable for the others."""
-    return read_all(files, readers).where("error is null").drop("error")
+    return read_all(files, readers).where("cells is not null").drop("source", "text", "error")
 
 
 def failures(files: DataFrame, readers: dict | None = None) -> DataFrame:

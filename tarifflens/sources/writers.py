@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .files import R_NS, S_NS, W_NS
+from .office import R_NS, S_NS, W_NS
 
 
 def _zip(parts: dict[str, str | bytes]) -> bytes:
@@ -22,11 +22,13 @@ def _zip(parts: dict[str, str | bytes]) -> bytes:
     return out.getvalue()
 
 
-def docx(rows: list[list[str]]) -> bytes:
-    """One table."""
+def docx(rows: list[list[str]], paragraphs: tuple[str, ...] = ()) -> bytes:
+    """Paragraphs, and one table if there are rows."""
     cell = lambda c: f"<w:tc><w:p><w:r><w:t>{escape(c)}</w:t></w:r><w:del><w:r><w:t>gone</w:t></w:r></w:del></w:p></w:tc>"
-    body = "".join("<w:tr>" + "".join(map(cell, r)) + "</w:tr>" for r in rows)
-    return _zip({"word/document.xml": f'<w:document xmlns:w="{W_NS[1:-1]}"><w:body><w:tbl>{body}</w:tbl></w:body></w:document>'})
+    body = "".join(f"<w:p><w:r><w:t>{escape(p)}</w:t></w:r></w:p>" for p in paragraphs)
+    if rows:
+        body += "<w:tbl>" + "".join("<w:tr>" + "".join(map(cell, r)) + "</w:tr>" for r in rows) + "</w:tbl>"
+    return _zip({"word/document.xml": f'<w:document xmlns:w="{W_NS[1:-1]}"><w:body>{body}</w:body></w:document>'})
 
 
 def xlsx(rows: list[list[str]]) -> bytes:

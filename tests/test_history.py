@@ -3,6 +3,8 @@
 import random
 from datetime import date
 
+from pyspark.sql import functions as F
+
 from tarifflens.operators import history
 
 
@@ -29,7 +31,35 @@ def test_versions(spark):
     frame = spark.createDataFrame([tuple(i.values()) for i in items], "item_id long, partner_id long, service_id long, doc_seq long, effective_date date, price double")
     live, previous = simulate(items)
     assert {r["item_id"]: r["active"] for r in history.active_versions(frame).collect()} == live
-    assert {r["item_id"]: r["previous_id"] for r in history.previous_prices(frame).collect()} == previous
+    for block in (8_192, 16, 1):  # in the latter, keys are cut
+        found = history.previous_prices(frame, block).collect()
+        assert {r["item_id"]: r["previous_id"] for r in found} == previous
+        assert all(r["previous_price"] == float(r["previous_id"]) for r in found)
+    assert history.previous_prices(frame.limit(0)).count() == 0
+
+
+def test_versions_of_documents_at_one_place(spark):
+    draw = random.Random(3)
+    dates = [None, *(date(2024, m, 1) for m in range(1, 5))]
+    items = [{"item_id": n, "partner_id": draw.choice([None, 1]), "service_id": 1, "doc_seq": draw.randrange(12), "effective_date": draw.choice(dates), "price": n / 2} for n in range(80)]
+    frame = spark.createDataFrame([tuple(i.values()) for i in items], "item_id long, partner_id long, service_id long, doc_seq long, effective_date date, price double").repartition(3)
+    _, previous = simulate(items)
+    for block in (8_192, 4):
+        assert {r["item_id"]: r["previous_id"] for r in history.previous_prices(frame, block).collect()} == previous
+
+
+def test_many_versions_of_one_key(spark):
+    # Dates that fall, so that all stay live, then rise; 200,000 versions of one partner and service.
+    n = 200_000
+    day = F.when(F.col("id") < n // 2, n // 2 - F.col("id")).otherwise(F.col("id") - n // 2) % 5_000
+    rows = spark.range(n).select(F.col("id").alias("item_id"), (F.col("id") % 1).alias("partner_id"), (F.col("id") % 1).alias("service_id"), F.col("id").alias("doc_seq"), F.date_add(F.lit(date(2000, 1, 1)), day.cast("int")).alias("effective_date"), F.col("id").cast("double").alias("price"))
+    found = history.previous_prices(rows)
+    assert found.count() > n // 2 - 100
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+    sample = {r["item_id"]: r["previous_id"] for r in found.where("item_id >= 199000").collect()}
+    # After the turn, dates repeat every 5,000 documents: the one before this one is a day earlier and the only live one below it.
+    assert all(sample[i] == i - 1 for i in range(199_000, n) if (i - n // 2) % 5_000)
 
 
 def test_names_match(spark):

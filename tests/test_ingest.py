@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarifflens.functions import text as T
-from tarifflens.operators import history, ingest
+from tarifflens.operators import history, ingest, recognition
 from tarifflens.operators import pages as G
 from tarifflens.sources import files, writers
 
@@ -29,7 +29,7 @@ def found(spark):
     price = lambda *rows: writers.xlsx([HEAD, *([f"A{n}", name, value] for n, (name, value) in enumerate(rows))])
     archive = zipped([
         ("north/Клиника 7 2024-05-01.xlsx", price(("blood count", "2000"), ("liver panel test", "40 usd"))), ("north/Клиника 7 2023-05-01.xlsx", price(("blood count", "1000"))),
-        ("__MACOSX/x", b""), ("Клиника 8 прайс.docx", writers.docx([["only words in here"]])), ("south/broken.xlsx", b"no archive"), ("south/note.txt", b"text"), ("south/2999-01-01.xlsx", price(("blood cuont", "500"))),
+        ("__MACOSX/x", b""), ("Клиника 8 прайс.docx", writers.docx([["only words in here"]])), ("south/broken.xlsx", b"no archive"), ("south/note.txt", b"text"), ("south/2999-01-01.xlsx", price(("blood cuont", "500"))), ("south/prose.docx", writers.docx([], ("Price list", "on request"))), ("south/empty.xlsx", writers.xlsx([])),
     ])
     rows = [("in/list.zip", archive), ("in/bad.zip", b"PK broken"), ("in/2022-01-01/east.xlsx", price(("urine test", "700"))), ("in/scan.pdf", b"%PDF")]
     services = spark.createDataFrame([(1, "blood count", ["cbc"], True), (2, "Liver panel", ["Liver panel test"], True), (3, "Urine test", [], False)], "service_id long, service_name string, synonyms array<string>, is_active boolean")
@@ -50,15 +50,18 @@ def test_ingest_items(found):
     late = items["blood cuont", "2999-01-01"]
     assert late["service_id"] is None and late["verification_note"].startswith("service review suggested (90.9") and late["verification_note"].endswith("%); price date is in the future")
     assert items["only words in here", "None"]["verification_note"] == "service match required; price missing or invalid"
+    assert {n: items[n, "None"]["verification_note"] for n in ("prose", "empty")} == {"prose": "needs manual review", "empty": "needs manual review"}
 
 
 def test_ingest_documents(found):
     docs = {r["source_path"]: r for r in found.documents.collect()}
     assert {p: r["parse_status"] for p, r in docs.items()} == {
         "north/Клиника 7 2023-05-01.xlsx": "processed", "north/Клиника 7 2024-05-01.xlsx": "needs_review", "Клиника 8 прайс.docx": "needs_review", "south/broken.xlsx": "error", "south/2999-01-01.xlsx": "needs_review",
+        "south/prose.docx": "needs_review", "south/empty.xlsx": "needs_review",
         "in/2022-01-01/east.xlsx": "needs_review", "in/scan.pdf": "error",
     }
-    assert [docs[f"north/Клиника 7 {x}.xlsx"]["doc_seq"] for x in ("2023-05-01", "2024-05-01")] == [1, 2] and docs["north/Клиника 7 2023-05-01.xlsx"]["raw_content"].endswith("A0 blood count 1000")
+    assert [docs[f"north/Клиника 7 {x}.xlsx"]["doc_seq"] for x in ("2023-05-01", "2024-05-01")] == [1, 2] and docs["north/Клиника 7 2023-05-01.xlsx"]["raw_content"] == "A"
+    assert (docs["south/prose.docx"]["raw_content"], docs["south/empty.xlsx"]["raw_content"], docs["south/broken.xlsx"]["raw_content"]) == ("Price list\non request", "A", None)
     assert docs["south/broken.xlsx"]["parse_log"].endswith("Failed to read broken.xlsx: File is not a zip file") and docs["north/Клиника 7 2023-05-01.xlsx"]["parse_log"] in (None, "")
     warnings = sorted(r["warning"] for r in found.warnings.collect())
     assert warnings == [
@@ -66,13 +69,7 @@ def test_ingest_documents(found):
         "Price date is in the future: 2999-01-01.xlsx -> 2999-01-01", "Skipped unsupported file: note.txt",
     ]
     assert {r["name"] for r in found.partners.collect()} >= {"Клиника 8", "south", "east"}
-    assert [(r["archive"], r["n_documents"], r["status"]) for r in found.archives().collect()] == [("in/list.zip", 5, "error")] and found.stats().first()["documents"] == 7
-
-
-def test_ingest_appends(found, tmp_path, spark):
-    ingest.append(found, str(tmp_path))
-    ingest.append(found, str(tmp_path))
-    assert spark.read.parquet(f"{tmp_path}/documents").count() == 14
+    assert [(r["archive"], r["n_documents"], r["status"]) for r in found.archives().collect()] == [("in/list.zip", 7, "error")] and found.stats().first()["documents"] == 9
 
 
 def test_members_of_archives(spark):
@@ -141,3 +138,66 @@ def test_pages(spark):
     assert found == [(1, ["a", "5"], 0), (2, ["b"], 1)] and G.cascade(pages, rows).where("source is null").first()["cells"] == ["[page 3]"]
     assert [r["batch"] for r in G.batch_pages(pages, -1).orderBy("page").collect()] == [0, 0, 0]
     assert G.by_key(rows, "doc_id", 1).count() == 1 and G.by_key(rows, "doc_id", 2).count() == 0
+
+
+def test_pages_are_recognised_in_batches(spark):
+    def pdf(content):
+        """A provider's words: page 1 has a good table, page 2 a poor text, page 3 nothing."""
+        for n in range(20):
+            yield 1, [f"A{n}", f"blood count {n}", f"{1000 + n}"], "table"
+        yield 1, ["words of the text layer"], "text"
+        yield 2, ["urine test"], "text"
+        yield 3, None, "text"
+
+    services = spark.createDataFrame([(1, "blood count 3", None, True), (2, "knee scan", [], True)], "service_id long, service_name string, synonyms array<string>, is_active boolean")
+    partners = spark.createDataFrame([], "partner_id long, name string")
+    files_ = spark.createDataFrame([("in/list.pdf", b"%PDF")], "path string, content binary")
+    today = datetime.date(2026, 1, 1)
+
+    def run(answers):
+        frame = spark.createDataFrame(answers, recognition.ANSWERS)
+        return ingest.ingest(files_, services, partners, today=today, readers={".pdf": pdf}, answers=frame)
+
+    def result(found):
+        items = sorted((r["service_name_raw"], r["service_id"], r["price_resident"]) for r in found.items.collect())
+        (doc,) = found.documents.collect()
+        return items, doc["raw_content"], doc["parse_status"]
+
+    first = run([])
+    queue = sorted((r["page"], r["batch"], r["attempt"]) for r in first.queue.collect())
+    assert queue == [(2, 0, 1), (3, 0, 1)]
+    doc = first.queue.first()["doc_id"]
+    batches = recognition.work(first.queue, files_.select(F.lit(doc).alias("doc_id"), "content")).collect()
+    assert [(r["pages"], r["attempts"], bytes(r["content"])) for r in batches] == [([2, 3], [1, 1], b"%PDF")]
+    before, failed = result(first), [(doc, 3, n, None, f"busy {n}") for n in (1, 2)]
+    assert len(before[0]) >= 20 and "knee" not in before[1]
+
+    good = [(doc, 2, 1, "knee scan\n 500", None), (doc, 3, 3, "Foot scan 700", None)]
+    late, once = run([*failed, *good]), run([good[0], (doc, 3, 1, "Foot scan 700", None)])
+    assert result(late) == result(once) and late.queue.count() == 0 and late.warnings.count() == 0
+    assert result(late)[1].endswith("knee scan 500\nFoot scan 700") and result(late)[1].startswith("A0 blood count 0 1000")
+
+    rows = spark.createDataFrame([(doc, p, n, cells, source) for n, (p, cells, source) in enumerate(pdf(b""))], "doc_id long, page int, row_idx int, cells array<string>, source string")
+    told = lambda *answers: recognition.resolve(rows, spark.createDataFrame(list(answers), recognition.ANSWERS))
+    waiting = told(*failed, good[0])
+    assert [(r["page"], r["attempt"]) for r in waiting.queue.collect()] == [(3, 3)]
+    assert [r["warning"] for r in waiting.warnings.collect()] == ["OCR failed for PDF page 3: busy 2"]
+    given_up = told(*((doc, 3, n, None, "busy") for n in range(1, 6)), good[0])
+    assert given_up.queue.count() == 0 and given_up.warnings.count() == 1
+
+
+def test_ingest_of_folders_and_paths(spark, tmp_path):
+    services = spark.createDataFrame([(1, "blood count", ["cbc"], True)], "service_id long, service_name string, synonyms array<string>, is_active boolean")
+    partners = spark.createDataFrame([], "partner_id long, name string")
+    price = writers.docx([HEAD, ["A1", "blood count", "1000"]], ("list",))
+    (tmp_path / "one 2024-02-03.docx").write_bytes(price)
+    (tmp_path / "two.txt").write_bytes(b"x")
+    (tmp_path / "all.zip").write_bytes(zipped([("south/three.docx", price), ("broken.docx", b"x")]))
+    folder = ingest.ingest_directory(spark, str(tmp_path), services, partners)
+    assert [(r["file_name"], str(r["effective_date"])) for r in folder.documents.collect()] == [("one 2024-02-03.docx", "2024-02-03")]
+    assert [r["warning"] for r in folder.warnings.collect()] == ["Skipped unsupported file: two.txt"]
+    paths = ingest.ingest_paths(spark, str(tmp_path), services, partners)
+    found = sorted((r["file_name"], r["parse_status"]) for r in paths.documents.collect())
+    assert found == [("broken.docx", "error"), ("one 2024-02-03.docx", "processed"), ("three.docx", "processed")]
+    assert sorted((r["service_id"], r["price_resident"]) for r in paths.items.collect()) == [(1, 1000.0)] * 2
+    assert sorted(r["warning"].split(":")[0] for r in paths.warnings.collect()) == ["Failed to read broken.docx", "Skipped unsupported file"]
