@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,10 +65,29 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+#: Spark's own setting: what a query has shuffled is deleted once it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def cleaned_up(spark: SparkSession) -> Iterator[None]:
+    """Queries that run within leave no shuffle files."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+
+
 def written(frame: DataFrame) -> DataFrame:
-    """frame as a table written to the shared folder, its lineage cut."""
+    """frame as a table written to the shared folder, its lineage cut and its shuffle files deleted."""
     path = f"{shared_folder(frame.sparkSession)}/table-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
+    with cleaned_up(frame.sparkSession):
+        frame.write.parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
@@ -81,15 +100,6 @@ def delete(*tables: DataFrame) -> None:
             path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def release(spark: SparkSession, *tables: DataFrame) -> None:
-    """delete, and then the driver's collector, upon which Spark deletes the shuffle files of plans that are done."""
-    delete(*tables)
-    for _ in range(2):  # what the first pass finds still holds the last query's plan
-        gc.collect()
-        time.sleep(0.5)  # events of the last query hold its plan until they are handled
-        spark.sparkContext._jvm.System.gc()
-
-
 def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """Rows (node, component) for every node of an edge, component being the least node reachable.
 

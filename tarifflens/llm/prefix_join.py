@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import connected_components, fresh, release, written
+from .common import connected_components, delete, fresh, written
 
 PLACE_BITS = 16
 ANYWHERE = (1 << PLACE_BITS) - 1
@@ -75,20 +75,16 @@ def links(items: DataFrame, may: Callable[[Callable, Callable], Column], allowed
     by_rep = (F.col("h") != F.col("rep.h")) & may(lambda c: F.col(c), lambda c: F.col(f"rep.{c}"))
     shared = shared.select("e", "h", "n", F.col("size").cast("int").alias("size"), F.when(by_rep, F.col("rep.h")).alias("a"))
     shared = written(shared.where("size > 2 OR a IS NOT NULL"))
-    spark = items.sparkSession
-    del members, keyed
-    release(spark)
     bits = items.select("h", "n", "b0", "b1")
 
     def alike(pairs: DataFrame) -> DataFrame:
         """Those of the pairs whose parity bits differ little, verified."""
         of = lambda x: bits.select(F.col("h").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in ("n", "b0", "b1")))
         distinct = written(pairs.distinct())
-        release(spark)
         both = distinct.join(of("a"), "a").join(of("b"), "b")
         apart = F.bit_count(F.col("a_b0").bitwiseXOR(F.col("b_b0"))) + F.bit_count(F.col("a_b1").bitwiseXOR(F.col("b_b1")))
         left = written(both.where(apart <= allowed(F.col("a_n"), F.col("b_n"))).select("a", "b"))
-        release(spark, distinct)
+        delete(distinct)
         return verify(left)
 
     star = written(alike(shared.where("a IS NOT NULL").select("a", F.col("h").alias("b"))))
@@ -96,11 +92,16 @@ def links(items: DataFrame, may: Callable[[Callable, Callable], Column], allowed
     rows = shared.where("size > 2").join(parts, F.col("h") == F.col("node"), "left")
     band = F.when(F.col("size") > LARGE, _band(F.col("n"))).otherwise(0)
     rows = rows.select(_key("e").alias("k"), "e", "h", "n", "size", F.coalesce("component", "h").alias("part"), band.alias("band"))
+    # In large buckets, parity bits tell before a pair leaves the join.
+    none = (F.lit(None).cast("long").alias("b0"), F.lit(None).cast("long").alias("b1"))
+    rows = rows.where(F.col("size") <= LARGE).select("*", *none).union(rows.where(F.col("size") > LARGE).join(bits.drop("n"), "h").select(*rows.columns, "b0", "b1"))
     reach = F.when(F.col("size") > LARGE, F.array(F.col("band"), F.col("band") + 1)).otherwise(F.array(F.lit(0)))
     x, y = rows.alias("x"), rows.select("*", F.explode(reach).alias("meet")).alias("y")
     once = (F.col("x.band") != F.col("y.band")) | (F.col("x.h") < F.col("y.h"))
     on = (F.col("x.k") == F.col("y.k")) & (F.col("x.band") == F.col("y.meet")) & once & (F.col("x.part") != F.col("y.part"))
+    bits_apart = F.bit_count(F.col("x.b0").bitwiseXOR(F.col("y.b0"))) + F.bit_count(F.col("x.b1").bitwiseXOR(F.col("y.b1")))
+    on &= F.coalesce(bits_apart <= allowed(F.col("x.n"), F.col("y.n")), F.lit(True))
     pairs = x.join(y, on & may(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}")))
     found = written(star.union(alike(pairs.select(F.least("x.h", "y.h").alias("a"), F.greatest("x.h", "y.h").alias("b")))))
-    release(spark, shared, star)
+    delete(shared, star)
     return found

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, fresh, shuffle_partitions, text_of, written
+from .common import connected_components, shuffle_partitions, text_of, written
 
 MAX_BITS = 4
 SHINGLE = 4
@@ -166,17 +166,3 @@ def near_components(docs: DataFrame, text: str = "text", id_column: str = "doc_i
     roots = joined.groupBy("root").agg(F.min("least").alias("component"))
     of = joined.select("f", "root").join(roots, "root").select("f", "component")
     return prints.join(of, "f").select("id", "f", "component")
-
-
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs with one row of each component: that of the least doc_id, then of the least text hash; a null doc_id only where no other is there.
-
-    Null and empty texts are one component. Rows that repeat id and text come out once; an empty table gives
-    none. Other columns pass through under any name.
-    """
-    mark, of, its = fresh(docs, "mark", "of", "its")
-    marked = docs.withColumn(mark, F.xxhash64(text_of()))
-    rows = docs.select(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64(text_of()).alias("mark")).alias("at"), "text")
-    keep = near_components(rows, id_column="at").select("component.id", "component.mark").distinct().select(F.col("id").alias(of), F.col("mark").alias(its))
-    kept = marked.join(keep, marked["doc_id"].eqNullSafe(keep[of]) & (marked[mark] == keep[its]), "left_semi")
-    return kept.dropDuplicates(["doc_id", mark]).drop(mark)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 pytest.importorskip("public_tokenizers")
 import corpus_pipeline  # noqa: E402
-from tarifflens.llm import line_dedup, pseudonyms, queries  # noqa: E402
+from tarifflens.llm import line_dedup, prefix_join, pseudonyms, queries  # noqa: E402
 
 
 def shingles(text):
@@ -154,3 +154,20 @@ def test_buckets_of_like_and_unlike_lines(spark):
     want = [int(root != i) for i, root in enumerate(groups_of(len(lines), near))]
     docs = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(lines)], "doc_id long, text string").repartition(3)
     assert [r["n_dropped"] for r in line_dedup.drop_repeated_lines(docs).orderBy("doc_id").collect()] == want
+
+
+def test_short_lines_of_one_template_put_out_no_pairs(spark, monkeypatch):
+    sizes = []
+    written = prefix_join.written
+
+    def noted(frame):
+        out = written(frame)
+        if frame.columns == ["a", "b"]:
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(prefix_join, "written", noted)
+    lines = [f"written by user u{n}" for n in range(400)] + [f"seen in the hall of h{n} on day d{n}" for n in range(300)]
+    docs = spark.createDataFrame([(n, x) for n, x in enumerate(lines)], "doc_id long, text string")
+    assert line_dedup.drop_repeated_lines(docs, 1).where("n_dropped > 0").count() == 0
+    assert max(sizes) < 3 * len(lines)
