@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -17,8 +19,11 @@ from ..operators import ledger
 from ..operators import pages as G
 from ..operators import recognition
 from ..operators import rows as R
+from ..operators import substring
 from ..sources import files as S
 from ..sources import writers
+from ..sources.archives import read_files
+from ..sources.steps import shared_folder
 from . import domain as D
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -536,6 +541,18 @@ def documents_nested(spark, d):
     return docs.select("doc_id", F.col("partner_name").alias("partner"), "file_name", F.size("items").cast("long").alias("n_items"), F.when(F.size("items") > 0, F.to_json("items")).alias("items"))
 
 
+#: What is searched for: letters of a name, a part of a word, with a wildcard, too short for the index, and nothing that is there.
+_SOUGHT = ("RING", "an%vi", "b_lt", "ed", "nowhere")
+
+
+@query(" UNION ALL ".join(f" SELECT '{q}' AS query, service_id FROM services WHERE service_name ILIKE '%{q}%'" for q in _SOUGHT))
+def search_index(spark, d):
+    texts = D.services(spark, d).select("service_id", "service_name")
+    index = substring.postings(texts, "service_id", "service_name")
+    found = [substring.search(index, texts, "service_id", "service_name", q).select(F.lit(q).alias("query"), "service_id") for q in _SOUGHT]
+    return reduce(DataFrame.union, found)
+
+
 @query(" SELECT item_id, service_name_raw FROM items WHERE partner_id = 3 AND is_active ORDER BY service_name_raw, item_id LIMIT 200")
 def partner_items_top200(spark, d):
     return D.items(spark, d).where("partner_id = 3 AND is_active").orderBy("service_name_raw", "item_id").limit(200).select("item_id", "service_name_raw")
@@ -829,6 +846,15 @@ def src_zip_entries(spark, d):
     return found.select(F.regexp_extract("entry_path", "d(\\d+)", 1).cast("long").alias("doc_id"), "group_key", "entry_path")
 
 
+@query(_READ.removeprefix(CELLS), CELLS)
+def src_price_files(spark, d):
+    """An archive for each document, saved, and all read by the data source."""
+    folder = f"{shared_folder(spark)}/price-files-{uuid.uuid4().hex}"
+    writers.save(writers.archives(writers.office_files(_grid(spark, d), "xlsx")), folder)
+    rows = read_files(spark, folder).where("cells IS NOT NULL")
+    return rows.select(F.regexp_extract("entry_path", "d(\\d+)", 1).cast("long").alias("doc_id"), F.array_join("cells", "|").alias("row_text"))
+
+
 @query("SELECT name || '.parquet' AS file FROM (VALUES ('region'), ('nation'), ('customer'), ('supplier'), ('part'), ('orders'), ('lineitem'), ('events'), ('documents'), ('embeddings'), ('pages'), ('benchmark'), ('labels'), ('conversations')) AS v(name)", "")
 def src_directory(spark, d):
     found = S.read_directory(spark, d)

@@ -69,13 +69,20 @@ def members_of(path: str, archive: zipfile.ZipFile) -> list[Member]:
     ]
 
 
+def store_of(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI, and the path within it."""
+    if path.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + path[5:].lstrip("/")
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
 class Reader(DataSourceReader):
     def __init__(self, paths: list[str], what: str, most: int, partition_bytes: int):
         self.paths, self.what, self.most, self.partition_bytes = paths, what, most, partition_bytes
 
     def _files(self) -> Iterator[tuple[str, int]]:
         for path in self.paths:
-            store, inner = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+            store, inner = store_of(path)
             scheme = path.split("://")[0] + "://" if "://" in path else ""
             info = store.get_file_info(inner)
             if info.type == fs.FileType.Directory:
@@ -155,7 +162,7 @@ class Reader(DataSourceReader):
 
 
 def _open(path: str):
-    store, inner = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    store, inner = store_of(path)
     return store.open_input_file(inner)
 
 

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .archives import store_of
 from .office import R_NS, S_NS, W_NS
 
 
@@ -67,3 +68,18 @@ def archives(files: DataFrame) -> DataFrame:
             yield pd.DataFrame({"path": [f"{p}.zip" for p in batch["path"]], "content": content})
 
     return files.mapInPandas(zipped, "path string, content binary")
+
+
+def save(files: DataFrame, folder: str) -> int:
+    """Writes rows (path, content) as files of that name into a folder that the executors share; their number."""
+
+    def written(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, inner = store_of(folder)
+        store.create_dir(inner)
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                with store.open_output_stream(f"{inner}/{path}") as out:
+                    out.write(content)
+            yield batch[["path"]]
+
+    return files.mapInPandas(written, "path string").count()
