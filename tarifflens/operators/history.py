@@ -25,7 +25,7 @@ def match_names(names: DataFrame, services: DataFrame) -> DataFrame:
     """Rows (raw_name, service_id, score, status) for the distinct raw_name of names.
 
     Equal labels settle a name by an equality join. The rest meet the labels with which they share a rare q-gram
-    (qgrams); of these only pairs within as many edits as the score allows are scored, by the longest common
+    (qgrams) and differ by no more edits than the score allows; these pairs are scored, by the longest common
     subsequence. No match is lost.
     """
     wanted = names.select("raw_name").where("raw_name is not null").distinct()
@@ -36,12 +36,8 @@ def match_names(names: DataFrame, services: DataFrame) -> DataFrame:
     exact = exact.select("raw_name", "service_id", F.lit(100.0).alias("score"), F.when(F.col("source") == "synonym", "synonym").otherwise("exact").alias("status"))
     rest = wanted.where(~looks_uncertain(F.col("raw_name"))).join(exact, "raw_name", "left_anti").withColumn("x", token_sorted(F.col("raw_name")))
     labels = listed.withColumn("y", token_sorted(F.col("label"))).where("y <> ''")
-    # Pairs of texts within reach by their q-grams; then neither kinds of characters nor edits may differ by more than the score allows.
-    kinds = lambda c: F.aggregate(F.split(c, ""), F.lit(0).cast("bigint"), lambda b, ch: b.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.xxhash64(ch).bitwiseAND(F.lit(63).cast("bigint")).cast("int"))))
     rest = rest.where("x <> ''")
     met = candidates(rest.select("x").distinct(), labels.select("y").distinct(), REVIEW / 100)
-    most = F.floor((F.length("x") + F.length("y")) * (1 - REVIEW / 100) + 1e-9).cast("int")
-    met = met.where((F.bit_count(kinds(F.col("x")).bitwiseXOR(kinds(F.col("y")))) <= most) & (F.call_function("levenshtein", F.col("x"), F.col("y"), most) >= 0))
     near = met.withColumn("score", ratio(F.col("x"), F.col("y"))).where(F.col("score") >= REVIEW)
     pairs = rest.join(near, "x").join(labels, "y")
     scored = first_by(pairs, ["raw_name"], F.col("score").desc(), F.col("service_id"), F.col("ordinal"))

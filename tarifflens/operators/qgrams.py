@@ -26,17 +26,17 @@ def spread(least: float) -> float:
     return (2 - least) / least
 
 
-def lost(n: Column, q: int, least: float) -> Column:
+def lost(n: Column, q: Column, least: float) -> Column:
     """How many q-grams a text of n characters may not share with one of that similarity.
 
     Of its characters x may be missing in the other and y of the other's in it, with x + y <= (1 - least) (n + m) and m = n - x + y.
     """
     share = 1 - least
-    return F.floor(n * 2 * share * max(q / (1 + share), (q - 1) / (1 - share)) + 1e-9).cast("int")
+    return F.floor(n * 2 * share * F.greatest(q / (1 + share), (q - 1) / (1 - share)) + 1e-9).cast("int")
 
 
-def _grams(text: Column, q: int) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - q + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(q)))
+def _grams(text: Column, q: Column) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - q + 1, F.lit(1))), lambda i: F.substring(text, i, q))
 
 
 def _address(gram: Column) -> Column:
@@ -45,14 +45,14 @@ def _address(gram: Column) -> Column:
 
 def commonness(texts: DataFrame, column: str) -> bytes:
     """By address, how many grams of texts have it, as a power of two. It orders grams and leaves none out; 65,536 numbers come to the driver."""
-    grams = texts.select(F.explode(F.concat(*(_grams(F.col(column), q) for _, q in CLASSES))).alias("g"))
+    grams = texts.select(F.explode(F.concat(*(_grams(F.col(column), F.lit(q)) for _, q in CLASSES))).alias("g"))
     out = bytearray(1 << ADDRESS_BITS)
     for address, n in grams.groupBy(_address(F.col("g")).alias("a")).count().collect():
         out[address] = n.bit_length()
     return bytes(out)
 
 
-def _prefix(text: Column, q: int, least: float, common: bytes) -> Column:
+def _prefix(text: Column, q: Column, least: float, common: bytes) -> Column:
     """Structs (gram, at) of the text's first q-grams in the order; at is null for a gram that stands more than once, where it isn't known which is which."""
     rank = lambda g: F.hex(F.substring(F.lit(common), _address(g).cast("int") + 1, F.lit(1)))
 
@@ -66,23 +66,35 @@ def _prefix(text: Column, q: int, least: float, common: bytes) -> Column:
     return F.transform(first, lambda x: F.struct(x["gram"].alias("gram"), x["copy"].alias("copy"), place(x["gram"]).alias("at")))
 
 
+def _parity(text: Column, q: int) -> Column:
+    """A bit for each of 64 addresses: whether an odd number of q-grams is there. A character put in or left out changes 2 q - 1 of them at most."""
+    bit = lambda g: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.xxhash64(g).bitwiseAND(F.lit(63).cast("bigint")).cast("int"))
+    return F.aggregate(_grams(text, F.lit(q)), F.lit(0).cast("bigint"), lambda b, g: b.bitwiseXOR(bit(g)))
+
+
 def candidates(names: DataFrame, labels: DataFrame, least: float) -> DataFrame:
-    """Distinct pairs (x, y), among them all whose similarity is at least least; names: distinct texts x, labels: distinct texts y, none empty.
+    """Distinct pairs (x, y) within as many edits as that similarity allows, among them all that have it; names: distinct texts x, labels: distinct texts y, none empty.
 
-    Postings meet in an equality join on grams, which adaptive execution splits where a gram is hot. Names meet only
-    gram lengths of their class, so each is looked up once.
+    Postings meet in an equality join on grams, which adaptive execution splits where a gram is hot; lengths,
+    places, parity bits and a bounded edit distance decide within the join, so only near pairs leave it. Names meet
+    only gram lengths of their class, so each is looked up once.
     """
     common, wide = commonness(labels, "y"), spread(least)
-    n, m, out = F.length("x"), F.length("y"), None
-    longest = None
+    n, m = F.length("x"), F.length("y")
+    names, labels = (t.select(c, *(_parity(F.col(c), q).alias(f"{c}{q}") for q in (1, 2))) for t, c in ((names, "x"), (labels, "y")))
+    most = F.floor((n + m) * (1 - least) + 1e-9).cast("int")
+    own, reached, longest = F.lit(None).cast("int"), [], None
     for shortest, q in CLASSES:
-        some = (n >= shortest) if longest is None else (n >= shortest) & (n < longest)
-        reach = (m >= F.ceil(F.lit(shortest / wide - 1e-9))) if longest is None else (m >= F.ceil(F.lit(shortest / wide - 1e-9))) & (m <= longest * wide)
-        left = names.where(some).select("x", F.explode(_prefix(F.col("x"), q, least, common)).alias("p")).select("x", "p.gram", "p.copy", F.col("p.at").alias("at"))
-        right = labels.where(reach).select("y", F.explode(_prefix(F.col("y"), q, least, common)).alias("p")).select("y", "p.gram", "p.copy", F.col("p.at").alias("there"))
-        most = (n + m) * (1 - least) + 1e-9
-        moved = F.abs(F.col("at") - F.col("there")) + F.abs((n - F.col("at")) - (m - F.col("there")))
-        met = left.join(right, ["gram", "copy"]).where((F.abs(n - m) <= most) & (moved.isNull() | (moved <= most)))
-        met = met.select("x", "y")
-        out, longest = met if out is None else out.union(met), shortest
-    return out.distinct()
+        own = F.coalesce(own, F.when(n >= shortest, q))
+        within = m >= F.ceil(F.lit(shortest / wide - 1e-9))
+        reached.append(F.when(within if longest is None else within & (m <= longest * wide), q))
+        longest = shortest
+    # Outer, though none is empty: otherwise a filter by size computes the prefixes once more.
+    left = names.withColumn("q", own).select("x", "x1", "x2", F.explode_outer(_prefix(F.col("x"), F.col("q"), least, common)).alias("p"))
+    right = labels.withColumn("q", F.explode(F.array_compact(F.array(*reached)))).select("y", "y1", "y2", F.explode_outer(_prefix(F.col("y"), F.col("q"), least, common)).alias("p"))
+    left = left.select("x", "x1", "x2", "p.gram", "p.copy", F.col("p.at").alias("at"))
+    right = right.select("y", "y1", "y2", "p.gram", "p.copy", F.col("p.at").alias("there"))
+    moved = F.abs(F.col("at") - F.col("there")) + F.abs((n - F.col("at")) - (m - F.col("there")))
+    near = (F.abs(n - m) <= most) & (F.bit_count(F.col("x1").bitwiseXOR(F.col("y1"))) <= most) & (F.bit_count(F.col("x2").bitwiseXOR(F.col("y2"))) <= 3 * most)
+    near &= F.coalesce(moved <= most, F.lit(True)) & (F.call_function("levenshtein", F.col("x"), F.col("y"), most) >= 0)
+    return left.join(right, ["gram", "copy"]).where(near).select("x", "y").distinct()

@@ -37,7 +37,7 @@ def test_candidates_lose_no_pair(spark, least):
     assert want <= got and len(want) > 30
 
 
-def test_candidates_grow_slower_than_pairs(spark):
+def test_candidates_grow_as_names_do(spark):
     draw = random.Random(2)
     syllables = [a + b for a in "бвгдклмнпрст" for b in "аеиоу"]
     words = ["".join(draw.choices(syllables, k=draw.randint(2, 5))) for _ in range(3_000)]
@@ -47,8 +47,8 @@ def test_candidates_grow_slower_than_pairs(spark):
         names = sorted({edited(draw, draw.choice(labels), 3) for _ in range(n)})
         found = qgrams.candidates(spark.createDataFrame([(x,) for x in names], "x string"), spark.createDataFrame([(y,) for y in labels], "y string"), 0.85)
         counts.append((found.count(), len(names) * len(labels)))
-    (few, pairs), (many, all_pairs) = counts
-    assert few < pairs / 4 and many < all_pairs / 4, counts
+    (few, _), (many, pairs) = counts
+    assert many < 20 * few and many < pairs / 500, counts
 
 
 def test_substring_search_is_ilike(spark, tmp_path):
