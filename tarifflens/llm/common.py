@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -88,7 +88,25 @@ def written(frame: DataFrame) -> DataFrame:
     path = f"{shared_folder(frame.sparkSession)}/table-{uuid.uuid4().hex}"
     with cleaned_up(frame.sparkSession):
         frame.write.parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+    table = frame.sparkSession.read.schema(frame.schema).parquet(path)
+    for made in _made:
+        made.append(table)
+    return table
+
+
+#: Tables written so far, for each call of alone that isn't done.
+_made: list[list[DataFrame]] = []
+
+
+def alone(make: Callable[[], DataFrame]) -> DataFrame:
+    """What make returns as a written table; the tables that it has written on its way are deleted."""
+    _made.append([])
+    try:
+        out = written(make())
+    finally:
+        tables = _made.pop()
+    delete(*(t for t in tables if t is not out))
+    return out
 
 
 def delete(*tables: DataFrame) -> None:

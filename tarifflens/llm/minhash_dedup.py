@@ -44,8 +44,8 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_set(text: bytes) -> np.ndarray:
-    """Sorted hashes of the distinct shingles of two words; of one word, its own.
+def shingle_set(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """Sorted hashes of the distinct shingles of so many words; fewer words are one shingle, none make none.
 
     Words are runs without ASCII white space, A-Z lower-cased. Two shingles of a pair of documents share a hash
     with a probability of 5e-20.
@@ -54,9 +54,14 @@ def shingle_set(text: bytes) -> np.ndarray:
 
     words = text.lower().split()
     hashes = np.fromiter(map(xxh64_intdigest, words), dtype=np.uint64, count=len(words))
-    if len(words) < SHINGLE:
-        return _mixed(hashes + np.uint64(1))
-    return np.unique(_mixed(_mixed(hashes[:-1]) * np.uint64(0x9E3779B97F4A7C15) + hashes[1:]))
+    width = min(shingle, len(words))
+    if not width:
+        return hashes
+    runs = len(words) - width + 1
+    out = hashes[:runs]
+    for k in range(1, width):
+        out = _mixed(out) * np.uint64(0x9E3779B97F4A7C15) + hashes[k : k + runs]
+    return np.unique(_mixed(out + np.uint64(width < shingle)))
 
 
 #: For each register, all others in an order of its own: where it borrows when it is empty.
@@ -104,7 +109,7 @@ def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.n
     return np.clip((equal - by_chance) / (1 - by_chance), 0, 1)
 
 
-def _sketches(docs: DataFrame, id_column: str, text: str) -> DataFrame:
+def _sketches(docs: DataFrame, id_column: str, text: str, shingle: int) -> DataFrame:
     """Rows (id, mark, n, digest, registers); mark: a hash of the text, digest: of the set."""
     of = docs.select(F.col(id_column).alias("id"), F.xxhash64(text_of(text)).alias("mark"), text_of(text).cast("binary").alias("text"))
     schema = StructType([of.schema["id"], *StructType.fromDDL("mark long, n long, digest binary, registers binary")])
@@ -113,7 +118,7 @@ def _sketches(docs: DataFrame, id_column: str, text: str) -> DataFrame:
         for batch in batches:
             n, digests, found = [], [], []
             for value in batch.column(2):
-                hashes = shingle_set(value.as_py())
+                hashes = shingle_set(value.as_py(), shingle)
                 n.append(len(hashes))
                 digests.append(blake2b(hashes.tobytes(), digest_size=16).digest())
                 found.append(registers(hashes).astype("<u2").tobytes())
@@ -127,16 +132,22 @@ def _estimates(a: pd.Series, b: pd.Series, n: pd.Series, m: pd.Series) -> pd.Ser
     return pd.Series(estimate(of(a), of(b), n.to_numpy(), m.to_numpy()))
 
 
-def _near(a: pd.Series, b: pd.Series) -> pd.Series:
-    last, known = None, np.empty(0, np.uint64)
-    out = []
-    for x, y in zip(a, b, strict=True):
-        if x is not last and x != last:  # rows come by a
-            last, known = x, shingle_set(x)
-        other = shingle_set(y)
-        both = len(np.intersect1d(known, other, assume_unique=True))
-        out.append(100 * both >= NEAR * (len(known) + len(other) - both))
-    return pd.Series(out, dtype=bool)
+def _near(a: Column, b: Column, shingle: int) -> Column:
+    """Whether two texts are near, by their full sets."""
+
+    @F.pandas_udf("boolean")
+    def near(a: pd.Series, b: pd.Series) -> pd.Series:
+        last, known = None, np.empty(0, np.uint64)
+        out = []
+        for x, y in zip(a, b, strict=True):
+            if x is not last and x != last:  # rows come by a
+                last, known = x, shingle_set(x, shingle)
+            other = shingle_set(y, shingle)
+            both = len(np.intersect1d(known, other, assume_unique=True))
+            out.append(100 * both >= NEAR * (len(known) + len(other) - both))
+        return pd.Series(out, dtype=bool)
+
+    return near(a, b)
 
 
 def bands(column: str = "registers") -> Column:
@@ -144,7 +155,7 @@ def bands(column: str = "registers") -> Column:
     return F.array(*(F.xxhash64(F.lit(b), F.substring(F.col(column), 1 + 2 * ROWS * b, 2 * ROWS)) for b in range(BANDS)))
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text: str, shingle: int) -> DataFrame:
     """Those of the pairs (a, b) of nodes that are links: by the estimate first, then by the texts' full sets."""
     of = lambda x: classes.select(F.col("node").alias(x), F.col("n").alias(f"{x}_n"), F.col("registers").alias(f"{x}_r"), F.col("mark").alias(f"{x}_mark"))
     both = pairs.join(of("b"), "b").join(of("a"), "a").where(F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * NEAR)
@@ -154,7 +165,7 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text: str)
     texts = maybe_among(docs.select(F.xxhash64(text_of(text)).alias("mark"), text_of(text).cast("binary").alias("text")), ["mark"], wanted)
     texts = written(texts.join(wanted, "mark", "left_semi").dropDuplicates(["mark"]))
     of_text = lambda x: texts.select(F.col("mark").alias(f"{x}_mark"), F.col("text").alias(f"{x}_text"))
-    found = written(maybe.join(of_text("b"), "b_mark").join(of_text("a"), "a_mark").where(F.pandas_udf(_near, "boolean")("a_text", "b_text")).select("a", "b"))
+    found = written(maybe.join(of_text("b"), "b_mark").join(of_text("a"), "a_mark").where(_near(F.col("a_text"), F.col("b_text"), shingle)).select("a", "b"))
     delete(maybe, wanted, texts)
     return found
 
@@ -247,7 +258,7 @@ def block_links(nodes: np.ndarray, parts: np.ndarray, sets: list[np.ndarray], si
     return out
 
 
-def _in_blocks(members: DataFrame, classes: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+def _in_blocks(members: DataFrame, classes: DataFrame, docs: DataFrame, text: str, shingle: int) -> DataFrame:
     """Links (a, b) between parts within large bands (k, node, part), on the full sets.
 
     A band's members are dealt to blocks, and every two blocks meet in one task as a product of matrices; no pair
@@ -261,7 +272,7 @@ def _in_blocks(members: DataFrame, classes: DataFrame, docs: DataFrame, text: st
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingle_set(x.as_py()).tobytes() for x in batch.column(1)]
+            found = [shingle_set(x.as_py(), shingle).tobytes() for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["node", "hashes"])
 
     sets = written(texts.mapInArrow(hashes, "node long, hashes binary"))
@@ -286,7 +297,7 @@ def _in_blocks(members: DataFrame, classes: DataFrame, docs: DataFrame, text: st
     return links
 
 
-def link_classes(classes: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
+def link_classes(classes: DataFrame, docs: DataFrame, text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """A table of links (a, b) whose components are those of all links between classes (node, mark, n, registers).
 
     First each node is compared with two others, so a group of near copies costs what it has members. In bands whose
@@ -294,16 +305,27 @@ def link_classes(classes: DataFrame, docs: DataFrame, text: str = "text") -> Dat
     first, in large ones block by block.
     """
     members = _members(classes)
-    first = _confirmed(_few(members), classes, docs, text)
+    first = _confirmed(_few(members), classes, docs, text, shingle)
     now = written(_open(members, first))
     sizes = now.groupBy("k").agg(F.count("*").alias("size"))
-    few = _confirmed(_rest(now.join(sizes.where(F.col("size") <= LARGE), "k", "left_semi")), classes, docs, text)
-    many = _in_blocks(now.join(sizes.where(F.col("size") > LARGE), "k", "left_semi").select("k", "node", "part"), classes, docs, text)
+    few = _confirmed(_rest(now.join(sizes.where(F.col("size") <= LARGE), "k", "left_semi")), classes, docs, text, shingle)
+    many = _in_blocks(now.join(sizes.where(F.col("size") > LARGE), "k", "left_semi").select("k", "node", "part"), classes, docs, text, shingle)
     links = written(first.union(few).union(many))
     delete(members, now, first, few, many)
     return links
 
 
+def near_groups(docs: DataFrame, text: str = "text", id_column: str = "doc_id", shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, mark, n, root) of the rows of docs that have shingles, root being the same for those that links join and mark a hash of the text; and rows (id, mark) of the others."""
+    prints = written(_sketches(docs, id_column, text, shingle))
+    classes = prints.where("n > 0").groupBy("digest").agg(*(F.first(c).alias(c) for c in ("n", "registers")), F.min("mark").alias("mark"))
+    classes = written(classes.withColumn("node", F.monotonically_increasing_id()))
+    parts = connected_components(link_classes(classes, docs, text, shingle), "a", "b").withColumnsRenamed({"node": "of", "component": "part"})
+    roots = classes.join(parts, F.col("node") == F.col("of"), "left").select("digest", F.coalesce("part", "node").alias("root"))
+    rows = written(prints.where("n > 0").join(roots, "digest").select("id", "mark", "n", "root"))
+    return rows, prints.where("n = 0").select("id", "mark")
+
+
 def near_components(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:
     """Rows (id, n, component), one for each row of docs: its number of shingles, and the least id that links reach from it.
 
@@ -312,12 +334,7 @@ def near_components(docs: DataFrame, text: str = "text", id_column: str = "doc_i
     texts under one id are two documents. Ids may be of any type that compares; a null id is a component's only if
     all of it have none. An empty table gives none. Other columns are not read.
     """
-    prints = written(_sketches(docs, id_column, text))
-    classes = prints.where("n > 0").groupBy("digest").agg(*(F.first(c).alias(c) for c in ("n", "registers")), F.min("mark").alias("mark"))
-    classes = written(classes.withColumn("node", F.monotonically_increasing_id()))
-    parts = connected_components(link_classes(classes, docs, text), "a", "b").withColumnsRenamed({"node": "of", "component": "part"})
-    roots = classes.join(parts, F.col("node") == F.col("of"), "left").select("digest", F.coalesce("part", "node").alias("root"))
-    rows = written(prints.where("n > 0").join(roots, "digest").select("id", "n", "root"))
+    rows, others = near_groups(docs, text, id_column)
     least = rows.groupBy("root").agg(F.min("id").alias("component"))
-    none = prints.where("n = 0").select("id", "n", F.col("id").alias("component"))
+    none = others.select("id", F.lit(0).cast("long").alias("n"), F.col("id").alias("component"))
     return rows.join(least, "root").select("id", "n", "component").union(none)
