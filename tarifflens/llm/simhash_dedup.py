@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, shuffle_partitions, text_of, written
+from .common import connected_components, shuffle_partitions, written
 
 MAX_BITS = 4
 SHINGLE = 4
