@@ -111,6 +111,13 @@ def _resolved(matches: DataFrame, services: DataFrame, reviews: DataFrame, items
     return by_id.union(by_name), new
 
 
+def _deleted(documents: DataFrame, deletions: DataFrame) -> DataFrame:
+    """Rows (doc_id, seq) of the events that delete documents: one for each event about a document, and one for each document of a deleted archive, however many events delete that."""
+    archives = deletions.where("archive IS NOT NULL").groupBy("archive").agg(F.min("seq").alias("seq"))
+    by_archive = documents.select("doc_id", "archive").join(archives, "archive").select("doc_id", "seq")
+    return deletions.where("doc_id IS NOT NULL").select("doc_id", "seq").union(by_archive)
+
+
 def current(documents: DataFrame, items: DataFrame, services: DataFrame, reviews: DataFrame, matches: DataFrame, deletions: DataFrame) -> State:
     """documents (doc_id, archive, parse_status, ...), items and services (service_id, service_name, category, icd_code, synonyms, is_active) after all events.
 
@@ -119,8 +126,7 @@ def current(documents: DataFrame, items: DataFrame, services: DataFrame, reviews
     if no item of it waits for a person then. Deleting a document takes its items, deleting an archive its
     documents. Events about items, services, documents or archives that aren't there change nothing.
     """
-    by_archive = documents.select("doc_id", "archive").join(deletions.where("archive IS NOT NULL").select("archive", "seq"), "archive").select("doc_id", "seq")
-    gone = deletions.where("doc_id IS NOT NULL").select("doc_id", "seq").union(by_archive).groupBy("doc_id").agg(F.min("seq").alias("until"))
+    gone = _deleted(documents, deletions).groupBy("doc_id").agg(F.min("seq").alias("until"))
     settled, new = _resolved(matches, services, reviews, items.select("item_id", "doc_id", F.col("service_name_raw").alias("own")).join(gone, "doc_id", "left"))
     documents, items = documents.join(gone, "doc_id", "left_anti"), items.join(gone, "doc_id", "left_anti")
 
