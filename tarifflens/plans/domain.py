@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: The same tables in DuckDB, to stand in front of a query.
@@ -62,6 +63,13 @@ def items(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def items_apart(spark: SparkSession, d: str) -> DataFrame:
+    """items with item_id a pair (item_id, copy): large tables hold several items of one id, each of which has events of its own."""
+    rows = items(spark, d)
+    order = [c for c in rows.columns if c != "item_id"]
+    return rows.withColumn("item_id", F.struct("item_id", F.row_number().over(W.partitionBy("item_id").orderBy(*order)).alias("copy")))
+
+
 def documents(spark: SparkSession, d: str) -> DataFrame:
     year = (1990 + F.floor((F.col("doc_id") % 1000 - 1) / 12)).cast("string")
     ending = F.when(F.col("doc_id") % 3 == 0, ".docx").when(F.col("doc_id") % 3 == 1, ".XLSX").otherwise(".pdf")
