@@ -18,11 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 #: Versions of one key that one task takes at once.
 BLOCK = 8_192
 KEY = ("partner_id", "service_id")
+#: Before any day.
+NO_DAY = -(1 << 31)
 
 
 def active_versions(items: DataFrame) -> DataFrame:
@@ -32,10 +34,15 @@ def active_versions(items: DataFrame) -> DataFrame:
     return items.withColumn("later", later).withColumn("active", ~replaced).drop("later")
 
 
+def _greater(v: tuple, w: tuple) -> bool:
+    """Whether a version (day, item_id, price, place) stands above another of its day and place."""
+    return (v[1], v[2] is not None, v[2] or 0) > (w[1], w[2] is not None, w[2] or 0)
+
+
 class Live:
     """The live versions of one key: dated ones by falling date, and those without a date since the last dated document.
 
-    Of one date and document only the version of the greatest id can be an answer, so only that is kept.
+    Of one date and document only the version of the greatest id can be an answer, so only that is kept; of one id, that of the greatest price.
     """
 
     def __init__(self):
@@ -49,10 +56,10 @@ class Live:
         return self.dated[at] if at < len(self.dated) else self.undated
 
     def add(self, versions: list[tuple]) -> None:
-        """versions (day, item_id, price) of one place in the order of documents; they don't replace one another."""
+        """versions (day, item_id, price, place) of one place in the order of documents; they don't replace one another."""
         newest: dict[int | None, tuple] = {}
         for v in versions:
-            if v[0] not in newest or newest[v[0]][1] < v[1]:
+            if v[0] not in newest or _greater(v, newest[v[0]]):
                 newest[v[0]] = v
         undated = newest.pop(None, None)
         if newest:
@@ -80,7 +87,8 @@ def _carried(hot: DataFrame) -> DataFrame:
     # Of what one document leaves with one date the greatest id is enough, and of documents without a date the last.
     best = F.max(F.struct("doc_seq", "item_id", "price")).alias("b")
     left = left.groupBy(*KEY, "block", "day").agg(best).select(*KEY, "block", "b.doc_seq", "day", "b.item_id", "b.price")
-    schema = StructType([left.schema[c] for c in (*KEY, "block", "day", "item_id", "price")])
+    left = left.withColumn("own", F.col("doc_seq"))
+    schema = StructType([left.schema[c] for c in (*KEY, "block", "day", "item_id", "price", "own")])
 
     def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, live = None, Live()
@@ -95,15 +103,15 @@ def _carried(hot: DataFrame) -> DataFrame:
             live.add(versions)
 
     types = to_arrow_schema(schema).types
-    return left.repartition(*KEY).sortWithinPartitions(*KEY, "block", "doc_seq").select(*KEY, "block", "doc_seq", "day", "item_id", "price").mapInArrow(carry, schema)
+    return left.repartition(*KEY).sortWithinPartitions(*KEY, "block", "doc_seq").select(*KEY, "block", "doc_seq", "day", "item_id", "price", "own").mapInArrow(carry, schema)
 
 
 def previous_prices(items: DataFrame, block: int = BLOCK) -> DataFrame:
     """Rows (item_id, previous_id, previous_price): the version that was current when the item's document came in.
 
     An earlier item counts if it is dated before this one (or either has no date) and no document between
-    them replaced it; the latest date wins, then the later document, then the greater id. Items without a service or
-    a place have none. One pass in the order of documents; keys of over block versions are dealt to several tasks.
+    them replaced it; the latest date wins, then the later document, then the greater id. Rows of one item_id have
+    one answer, the best of theirs. Items without a service or a place have none. One pass in the order of documents; keys of over block versions are dealt to several tasks.
     """
     known = items.where("service_id IS NOT NULL AND doc_seq IS NOT NULL").select("item_id", *KEY, F.col("doc_seq").cast("long").alias("doc_seq"), F.unix_date("effective_date").alias("day"), "price")
     many = known.groupBy(*KEY).agg(F.count("*").alias("n"), F.min("doc_seq").alias("first"), F.max("doc_seq").alias("last")).where(F.col("n") > block)
@@ -113,32 +121,33 @@ def previous_prices(items: DataFrame, block: int = BLOCK) -> DataFrame:
     parts = F.ceil(F.col("n") / block)
     at = F.floor((F.col("doc_seq") - F.col("first")) / (F.col("last") - F.col("first") + 1) * parts).cast("int")
     rows = known.alias("k").join(many.alias("m"), same, "left").select(*(f"k.{c}" for c in known.columns), F.coalesce(at, F.lit(0)).alias("block"), F.col("n").isNotNull().alias("hot"))
-    carried = _carried(rows.where("hot").drop("hot")).select(*KEY, "block", F.lit(None).cast("long").alias("doc_seq"), "day", "item_id", "price")
-    both = rows.select(*KEY, "block", "doc_seq", "day", "item_id", "price").union(carried)
+    carried = _carried(rows.where("hot").drop("hot")).select(*KEY, "block", F.lit(None).cast("long").alias("doc_seq"), "day", "item_id", "price", "own")
+    both = rows.select(*KEY, "block", "doc_seq", "day", "item_id", "price", F.col("doc_seq").alias("own")).union(carried)
     dealt = both.repartition(*KEY, "block").sortWithinPartitions(*KEY, "block", F.col("doc_seq").asc_nulls_first())
     item, price = both.schema["item_id"].dataType, both.schema["price"].dataType
-    schema = StructType([StructField("item_id", item), StructField("previous_id", item), StructField("previous_price", price)])
+    schema = StructType([StructField("item_id", item), StructField("previous_id", item), StructField("previous_price", price), StructField("day", IntegerType()), StructField("own", LongType())])
     types = to_arrow_schema(schema).types
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, live, found = None, Live(), []
 
         def rows() -> pa.RecordBatch:
-            columns = zip(*found, strict=True) if found else ((), (), ())
+            columns = zip(*found, strict=True) if found else ((), (), (), (), ())
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=schema.names)
 
         for (*key, seq), versions in _runs(batches, 4):
             if key != last:
                 last, live = key, Live()
             if seq is not None:
-                for day, item, _ in versions:
+                for day, item, *_ in versions:
                     was = live.before(day)
                     if was is not None:
-                        found.append((item, was[1], was[2]))
+                        found.append((item, was[1], was[2], was[0], was[3]))
             live.add(versions)
             if len(found) >= 4_096:
                 yield rows()
                 found = []
         yield rows()
 
-    return dealt.mapInArrow(answer, schema)
+    best = F.max(F.struct(F.coalesce("day", F.lit(NO_DAY)).alias("day"), "own", "previous_id", "previous_price")).alias("b")
+    return dealt.mapInArrow(answer, schema).groupBy("item_id").agg(best).select("item_id", "b.previous_id", "b.previous_price")
