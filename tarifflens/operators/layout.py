@@ -82,15 +82,16 @@ def cluster_positions(points: DataFrame, by: list[str], value: str, most: float
     return found.select(*by, "position")
 
 
-def block_rows(blocks: DataFrame, most: float = 10) -> DataFrame:
-    """Rows (doc_id, page, row_idx, row_text): blocks in one row while each is at most so far below the one before."""
-    text = F.transform(F.array_sort(F.collect_list(F.struct("x0", "y0", "text"))), lambda b: b["text"])
-    found = islands(blocks, PAGE, "y0", most, "x0", "text")
+def block_rows(blocks: DataFrame, most: float = 10, ties: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (doc_id, page, row_idx, row_text): blocks in one row while each is at most so far below the one before. ties: columns that order blocks of one place before their text does."""
+    text = F.transform(F.array_sort(F.collect_list(F.struct("x0", "y0", *ties, "text"))), lambda b: b["text"])
+    found = islands(blocks, PAGE, "y0", most, "x0", *ties, "text")
     return found.groupBy(*PAGE, F.col("island").alias("row_idx")).agg(F.array_join(text, " | ").alias("row_text"))
 
 
-def line_rows(lines: DataFrame) -> DataFrame:
-    return lines.withColumn("row_idx", F.row_number().over(W.partitionBy(*PAGE).orderBy("y0", "x0", "text")) - 1)
+def line_rows(lines: DataFrame, ties: tuple[str, ...] = ()) -> DataFrame:
+    """lines with row_idx, from 0 in each page. ties: columns that order lines of one place and text."""
+    return lines.withColumn("row_idx", F.row_number().over(W.partitionBy(*PAGE).orderBy("y0", "x0", "text", *ties)) - 1)
 
 
 def words_in_grid(words: DataFrame, x_cuts: DataFrame, y_cuts: DataFrame) -> DataFrame:
