@@ -107,6 +107,12 @@ def extract_date(text: Column) -> Column:
     return F.coalesce(ymd, dmy, F.make_date(year.try_cast("int"), F.lit(1), F.lit(1)))
 
 
+def as_text(x: Column) -> Column:
+    """A double of under 10^20 as text in its shortest form, without an exponent also from 10^7 on."""
+    plain = F.regexp_replace(F.regexp_replace(x.cast("decimal(30,10)").cast("string"), "0+$", ""), "\\.$", ".0")
+    return F.when(F.abs(x) < 1e7, x.cast("string")).otherwise(plain)
+
+
 def parse_input(text: Column) -> Column:
     """A number as a person types it: no spaces, the first comma as point."""
     return F.regexp_replace(F.regexp_replace(text, "(?U)\\s", ""), "^([^,]*),", "$1.").try_cast("double")
