@@ -27,9 +27,9 @@ GRID = "path string, page int, row_idx int, cells array<string>"
 TEXT, HELD, PUT_OUT = 50_000, 20_000, 4_096
 
 
-def read_directory(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Rows (path, content) of the files of a folder other than archives, by path, without its sub-folders."""
-    found = spark.read.format("binaryFile").load(path)
+def read_directory(spark: SparkSession, path: str | list[str], nested: bool = False) -> DataFrame:
+    """Rows (path, content) of the files of a folder other than archives, by path, with or without its sub-folders."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", nested).load(path)
     return found.where(~F.lower("path").endswith(".zip")).orderBy("path").select("path", "content")
 
 
