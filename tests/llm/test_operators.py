@@ -100,6 +100,19 @@ def test_sketches_merge(spark):
     assert abs(n - 746) < 250 and abs(inside - 0.49) < 0.2
 
 
+def test_quality_learns_from_all_labels(spark):
+    """Every labelled document counts: the cut is between the bad and the good ones of all, and each is in a pair."""
+    rows = [(i, ("word " * (3 + i % 7)).strip() if i % 3 else "!!! ### " * (2 + i % 5)) for i in range(9_000)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.range(9_000).select(F.col("id").alias("doc_id"), (F.col("id") % 3 > 0).cast("int").alias("quality"))
+    wanted = {i for i, _ in rows if zlib.crc32(str(i).encode()) % 5}
+    seen = quality._labelled(docs, labels)
+    assert {r["doc_id"] for r in seen.select("doc_id").collect()} == wanted
+    ranker = quality.train(docs, labels)
+    assert docs.select("doc_id", ranker.score(F.col("text")).alias("s")).where("(s >= 0.3) <> (doc_id % 3 > 0)").count() == 0
+    values = spark.createDataFrame([(float(v),) for v in [5, 1, 3, 3, 3, 9]], "v double")
+    assert [quality._between(values, k) for k in (1, 2, 5)] == [2.0, 3.0, 7.0]
+
+
 def test_quality(spark, empty):
     draw = random.Random(3)
     good = [" ".join(draw.choices(["alpha", "beta", "gamma", "delta"], k=30)) + "." for _ in range(150)]
