@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from xml.sax.saxutils import escape
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +24,14 @@ def _zip(parts: dict[str, str | bytes]) -> bytes:
     return out.getvalue()
 
 
+#: Columns of files.
+FILE = "path string, content binary"
+
+
+def _file(path: str, content: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([content], pa.binary())], names=["path", "content"])
+
+
 def docx(rows: list[list[str]], paragraphs: tuple[str, ...] = ()) -> bytes:
     """Paragraphs, and one table if there are rows."""
     cell = lambda c: f"<w:tc><w:p><w:r><w:t>{escape(c)}</w:t></w:r><w:del><w:r><w:t>gone</w:t></w:r></w:del></w:p></w:tc>"
@@ -50,24 +59,26 @@ def office_files(grid: DataFrame, kind: str) -> DataFrame:
     """Rows (path, content), a file for each document of rows (doc_id, row_idx, cells)."""
     write = {"docx": docx, "xlsx": xlsx}[kind]
 
-    def files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pd.DataFrame({"path": [f"d{i}.{kind}" for i in batch["doc_id"]], "content": [write([list(c) for c in rows]) for rows in batch["rows"]]})
+            for doc_id, rows in zip(batch.column("doc_id"), batch.column("rows"), strict=True):
+                yield _file(f"d{doc_id.as_py()}.{kind}", write(rows.as_py()))  # one document's rows as Python objects at a time
 
     rows = grid.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("row_idx", "cells"))), lambda r: r["cells"]).alias("rows"))
-    return rows.mapInPandas(files, "path string, content binary")
+    return rows.mapInArrow(files, FILE)
 
 
 def archives(files: DataFrame) -> DataFrame:
     """Rows (path, content), an archive for each of rows (path, content), the file in a folder beside entries to leave out."""
 
-    def zipped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            folder = [f"g{int(''.join(filter(str.isdigit, p))) % 3}" for p in batch["path"]]
-            content = [_zip({f"{g}\\{p}": c, "__MACOSX/x": b"", f"{g}/.DS_Store": b"", f"{g}/": b""}) for g, p, c in zip(folder, batch["path"], batch["content"], strict=True)]
-            yield pd.DataFrame({"path": [f"{p}.zip" for p in batch["path"]], "content": content})
+            for path, content in zip(batch.column("path"), batch.column("content"), strict=True):
+                p = path.as_py()
+                g = f"g{int(''.join(filter(str.isdigit, p))) % 3}"
+                yield _file(f"{p}.zip", _zip({f"{g}\\{p}": content.as_py(), "__MACOSX/x": b"", f"{g}/.DS_Store": b"", f"{g}/": b""}))
 
-    return files.mapInPandas(zipped, "path string, content binary")
+    return files.select("path", "content").mapInArrow(zipped, FILE)
 
 
 def save(files: DataFrame, folder: str) -> int:
