@@ -170,3 +170,28 @@ def test_short_lines_of_one_template_put_out_no_pairs(spark, monkeypatch):
     docs = spark.createDataFrame([(n, x) for n, x in enumerate(lines)], "doc_id long, text string")
     assert line_dedup.drop_repeated_lines(docs, 1).where("n_dropped > 0").count() == 0
     assert max(sizes) < 3 * len(lines)
+
+
+def test_lines_without_python_and_few_links_in_a_large_group(spark, monkeypatch):
+    """Only DataFrame operations; and near copies of one line put out about as many links as they are, not one for each of the buckets that they share."""
+    plans, links = [], []
+    written, components = line_dedup.written, prefix_join.connected_components
+
+    def noted(frame):
+        plans.append(frame._jdf.queryExecution().executedPlan().toString())
+        return written(frame)
+
+    def counted(edges, a, b):
+        links.append(edges.count())
+        return components(edges, a, b)
+
+    for module in (line_dedup, prefix_join):
+        monkeypatch.setattr(module, "written", noted)
+    monkeypatch.setattr(prefix_join, "connected_components", counted)
+    draw = random.Random(31)
+    words = draw.choices([f"v{i}" for i in range(4000)], k=60)
+    lines = [" ".join(edited(draw, words, draw.randint(1, 3))) for _ in range(300)]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    assert line_dedup.drop_repeated_lines(docs, 1).where("n_dropped > 0").count() == 299
+    assert plans and not [p for p in plans if "Python" in p or "Arrow" in p]
+    assert sum(links) <= 2 * len(lines)
