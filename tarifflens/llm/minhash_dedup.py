@@ -187,6 +187,13 @@ def _open(members: DataFrame, links: DataFrame) -> DataFrame:
     return now.join(some, "k", "left_semi")
 
 
+def _distinct_bands(members: DataFrame) -> DataFrame:
+    """members without the bands that hold the same nodes as another one: what is compared in one needn't be in the other."""
+    hashes = (F.xxhash64("node"), F.xxhash64(F.lit(1), "node"))
+    sets = members.groupBy("k").agg(F.count("*").alias("size"), *(F.bit_xor(h).alias(f"h{i}") for i, h in enumerate(hashes)))
+    return members.join(sets.groupBy("size", "h0", "h1").agg(F.min("k").alias("k")).select("k"), "k", "left_semi")
+
+
 def _few(members: DataFrame) -> DataFrame:
     """Pairs (a, b): of each node, the least and the greatest one over all its bands. Linear in the members."""
     ends = members.groupBy("k").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
@@ -259,7 +266,7 @@ def block_links(nodes: np.ndarray, parts: np.ndarray, sets: list[np.ndarray], si
 
 
 def _in_blocks(members: DataFrame, classes: DataFrame, docs: DataFrame, text: str, shingle: int) -> DataFrame:
-    """Links (a, b) between parts within large bands (k, node, part), on the full sets.
+    """Links (a, b) between parts within large bands (k, node, n, part), on the full sets.
 
     A band's members are dealt to blocks, and every two blocks meet in one task as a product of matrices; no pair
     that isn't a link leaves it. Memory is bounded by the blocks, work grows with the product of a band's size and the
@@ -276,8 +283,7 @@ def _in_blocks(members: DataFrame, classes: DataFrame, docs: DataFrame, text: st
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["node", "hashes"])
 
     sets = written(texts.mapInArrow(hashes, "node long, hashes binary"))
-    sized = members.join(sets.select("node", F.length("hashes").alias("bytes")), "node")
-    blocks = sized.groupBy("k").agg(F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    blocks = members.groupBy("k").agg(F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, 8 * F.sum("n") / BLOCK_BYTES)).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     dealt = members.join(blocks, "k").withColumn("own", own).select("k", "node", "part", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     dealt = dealt.select("k", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("side"), "node", "part").join(sets, "node")
@@ -306,10 +312,10 @@ def link_classes(classes: DataFrame, docs: DataFrame, text: str = "text", shingl
     """
     members = _members(classes)
     first = _confirmed(_few(members), classes, docs, text, shingle)
-    now = written(_open(members, first))
+    now = written(_distinct_bands(_open(members, first)))
     sizes = now.groupBy("k").agg(F.count("*").alias("size"))
     few = _confirmed(_rest(now.join(sizes.where(F.col("size") <= LARGE), "k", "left_semi")), classes, docs, text, shingle)
-    many = _in_blocks(now.join(sizes.where(F.col("size") > LARGE), "k", "left_semi").select("k", "node", "part"), classes, docs, text, shingle)
+    many = _in_blocks(now.join(sizes.where(F.col("size") > LARGE), "k", "left_semi"), classes, docs, text, shingle)
     links = written(first.union(few).union(many))
     delete(members, now, first, few, many)
     return links

@@ -7,7 +7,7 @@ import pytest
 
 pytest.importorskip("public_tokenizers")
 import corpus_pipeline  # noqa: E402
-from tarifflens.llm import line_dedup, prefix_join, pseudonyms, queries  # noqa: E402
+from tarifflens.llm import line_dedup, minhash_dedup, prefix_join, pseudonyms, queries  # noqa: E402
 
 
 def shingles(text):
@@ -195,3 +195,9 @@ def test_lines_without_python_and_few_links_in_a_large_group(spark, monkeypatch)
     assert line_dedup.drop_repeated_lines(docs, 1).where("n_dropped > 0").count() == 299
     assert plans and not [p for p in plans if "Python" in p or "Arrow" in p]
     assert sum(links) <= 2 * len(lines)
+
+
+def test_bands_of_the_same_nodes_are_compared_once(spark):
+    rows = [(k, n) for k in (1, 2, 3) for n in (10, 20, 30)] + [(4, 10), (4, 20)]
+    members = spark.createDataFrame(rows, "k long, node long")
+    assert sorted(map(tuple, minhash_dedup._distinct_bands(members).collect())) == [(1, 10), (1, 20), (1, 30), (4, 10), (4, 20)]
