@@ -197,6 +197,40 @@ def test_lines_without_python_and_few_links_in_a_large_group(spark, monkeypatch)
     assert sum(links) <= 2 * len(lines)
 
 
+def test_keys_that_the_same_items_hold_become_one(spark):
+    at = lambda key, place: (key << prefix_join.PLACE_BITS) | place
+    rows = [(at(k, 5 + k + 3 * h), h, 40) for k in range(1, 11) for h in (0, 1, 2)]
+    rows += [(at(20, 9), 0, 40), (at(20, prefix_join.ANYWHERE), 1, 40), (at(21, 9), 0, 40)]
+    found = prefix_join.meeting(spark.createDataFrame(rows, "e long, h long, n int"), lambda x, y: x("n") == y("n")).collect()
+    groups = {}
+    for r in found:
+        groups.setdefault(r["e"] >> prefix_join.PLACE_BITS, []).append((r["h"], r["e"] & prefix_join.ANYWHERE))
+    assert sorted(map(sorted, groups.values())) == [[(0, 0), (1, 3), (2, 6)], [(0, 0), (1, prefix_join.ANYWHERE)]]
+
+
+def test_near_copies_without_a_common_copy_put_out_few_pairs(spark, monkeypatch):
+    """Copies about as far from each other as links reach: the least one isn't linked with all of them, yet most pairs are."""
+    sizes = []
+    written = prefix_join.written
+
+    def noted(frame):
+        out = written(frame)
+        if frame.columns == ["a", "b"]:
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(prefix_join, "written", noted)
+    draw = random.Random(41)
+    words = draw.choices([f"v{i}" for i in range(4000)], k=60)
+    copy = lambda n: [f"c{draw.random()}" if i in x else w for x in [set(draw.sample(range(60), n))] for i, w in enumerate(words)]
+    lines = [copy(12)] + [copy(draw.choice([5, 6, 7])) for _ in range(300)]
+    docs = spark.createDataFrame([(n, " ".join(x)) for n, x in enumerate(lines)], "doc_id long, text string")
+    near = lambda i, j: 5 * sum(x != y for x, y in zip(lines[i], lines[j], strict=True)) <= 60
+    want = [int(root != i) for i, root in enumerate(groups_of(len(lines), near))]
+    assert [r["n_dropped"] for r in line_dedup.drop_repeated_lines(docs, 1).orderBy("doc_id").collect()] == want
+    assert max(sizes) <= 4 * len(lines)
+
+
 def test_bands_of_the_same_nodes_are_compared_once(spark):
     rows = [(k, n) for k in (1, 2, 3) for n in (10, 20, 30)] + [(4, 10), (4, 20)]
     members = spark.createDataFrame(rows, "k long, node long")
