@@ -24,6 +24,7 @@ from pyspark.sql.types import StructType
 
 from .common import connected_components, delete, text_of, written
 from .prefix_join import maybe_among
+from .simhash_dedup import link_fingerprints, majority
 
 SHINGLE = 2
 #: Links have 100 x intersection >= NEAR x union.
@@ -109,20 +110,21 @@ def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.n
     return np.clip((equal - by_chance) / (1 - by_chance), 0, 1)
 
 
-def _sketches(docs: DataFrame, id_column: str, text: str, shingle: int) -> DataFrame:
-    """Rows (id, mark, n, digest, registers); mark: a hash of the text, digest: of the set."""
+def _sketches(docs: DataFrame, id_column: str, text: str, shingle: int, simhash: bool) -> DataFrame:
+    """Rows (id, mark, n, digest, registers, f); mark: a hash of the text, digest: of the set, f: its SimHash where asked for, else null."""
     of = docs.select(F.col(id_column).alias("id"), F.xxhash64(text_of(text)).alias("mark"), text_of(text).cast("binary").alias("text"))
-    schema = StructType([of.schema["id"], *StructType.fromDDL("mark long, n long, digest binary, registers binary")])
+    schema = StructType([of.schema["id"], *StructType.fromDDL("mark long, n long, digest binary, registers binary, f long")])
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, digests, found = [], [], []
+            n, digests, found, prints = [], [], [], []
             for value in batch.column(2):
                 hashes = shingle_set(value.as_py(), shingle)
                 n.append(len(hashes))
                 digests.append(blake2b(hashes.tobytes(), digest_size=16).digest())
                 found.append(registers(hashes).astype("<u2").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(found, pa.binary())], names=schema.names)
+                prints.append(np.uint64(majority(hashes)).view(np.int64) if simhash else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(found, pa.binary()), pa.array(prints, pa.int64())], names=schema.names)
 
     return of.mapInArrow(sketch, schema)
 
@@ -303,15 +305,31 @@ def _in_blocks(members: DataFrame, classes: DataFrame, docs: DataFrame, text: st
     return links
 
 
-def link_classes(classes: DataFrame, docs: DataFrame, text: str = "text", shingle: int = SHINGLE) -> DataFrame:
+def simhash_links(classes: DataFrame, docs: DataFrame, text: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """A table of links (a, b) between classes (node, mark, n, registers, f) found by SimHash.
+
+    Fingerprints that differ by few bits are linked by their deletion variants, as in simhash_dedup. Of each component
+    the least node is compared with the others, on the full sets.
+    """
+    parts = link_fingerprints(classes.select("f").distinct()).withColumnsRenamed({"node": "of", "component": "part"})
+    roots = written(classes.join(parts, F.col("f") == F.col("of"), "left").select("node", F.coalesce("part", "f").alias("root")))
+    least = roots.groupBy("root").agg(F.min("node").alias("a"))
+    links = _confirmed(roots.join(least, "root").where("a <> node").select("a", F.col("node").alias("b")), classes, docs, text, shingle)
+    delete(roots)
+    return links
+
+
+def link_classes(classes: DataFrame, docs: DataFrame, text: str = "text", shingle: int = SHINGLE, known: DataFrame | None = None) -> DataFrame:
     """A table of links (a, b) whose components are those of all links between classes (node, mark, n, registers).
 
     First each node is compared with two others, so a group of near copies costs what it has members. In bands whose
     members that doesn't join, all pairs of different parts are compared: in small bands by their registers
-    first, in large ones block by block.
+    first, in large ones block by block. known: links found already; what they join isn't compared.
     """
     members = _members(classes)
-    first = _confirmed(_few(members), classes, docs, text, shingle)
+    first = _confirmed(_few(members if known is None else _open(members, known)), classes, docs, text, shingle)
+    if known is not None:
+        first = written(known.union(first))
     now = written(_distinct_bands(_open(members, first)))
     sizes = now.groupBy("k").agg(F.count("*").alias("size"))
     few = _confirmed(_rest(now.join(sizes.where(F.col("size") <= LARGE), "k", "left_semi")), classes, docs, text, shingle)
@@ -321,12 +339,16 @@ def link_classes(classes: DataFrame, docs: DataFrame, text: str = "text", shingl
     return links
 
 
-def near_groups(docs: DataFrame, text: str = "text", id_column: str = "doc_id", shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
-    """Rows (id, mark, n, root) of the rows of docs that have shingles, root being the same for those that links join and mark a hash of the text; and rows (id, mark) of the others."""
-    prints = written(_sketches(docs, id_column, text, shingle))
-    classes = prints.where("n > 0").groupBy("digest").agg(*(F.first(c).alias(c) for c in ("n", "registers")), F.min("mark").alias("mark"))
+def near_groups(docs: DataFrame, text: str = "text", id_column: str = "doc_id", shingle: int = SHINGLE, simhash: bool = False) -> tuple[DataFrame, DataFrame]:
+    """simhash: whether links are looked for by SimHash first, and by registers where it joins nothing.
+
+    Rows (id, mark, n, root) of the rows of docs that have shingles, root being the same for those that links join and mark a hash of the text; and rows (id, mark) of the others.
+    """
+    prints = written(_sketches(docs, id_column, text, shingle, simhash))
+    classes = prints.where("n > 0").groupBy("digest").agg(*(F.first(c).alias(c) for c in ("n", "registers", "f")), F.min("mark").alias("mark"))
     classes = written(classes.withColumn("node", F.monotonically_increasing_id()))
-    parts = connected_components(link_classes(classes, docs, text, shingle), "a", "b").withColumnsRenamed({"node": "of", "component": "part"})
+    known = simhash_links(classes, docs, text, shingle) if simhash else None
+    parts = connected_components(link_classes(classes, docs, text, shingle, known), "a", "b").withColumnsRenamed({"node": "of", "component": "part"})
     roots = classes.join(parts, F.col("node") == F.col("of"), "left").select("digest", F.coalesce("part", "node").alias("root"))
     rows = written(prints.where("n > 0").join(roots, "digest").select("id", "mark", "n", "root"))
     return rows, prints.where("n = 0").select("id", "mark")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import fresh, text_of, written
+from .common import fresh, same, text_of, written
 
 REPEATS, WEIGHTS, SEED = 3, (1, 2, 3), 17
 #: Rows for each hash range of a source and each range of finish times, on average, and the least number of either; running sums are kept within one range and carried over between them.
@@ -91,6 +91,6 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     of, its, copies, place, copy = fresh(docs, "of", "its", "copies", "place", "copy")
     chosen = mix(docs, ["doc_id"]).groupBy("doc_id", "place").agg(F.sum("copies").cast("int").alias("n")).where("n > 0")
     chosen = chosen.select(F.col("doc_id").alias(of), F.col("place").alias(its), F.col("n").alias(copies))
-    rows = docs.withColumn(place, place_of()).dropDuplicates(["doc_id", place])
-    joined = rows.join(chosen, rows["doc_id"].eqNullSafe(chosen[of]) & (rows[place] == chosen[its]))
-    return joined.withColumn(copy, F.explode(F.array_repeat(F.lit(1), F.col(copies)))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    rows = docs.withColumn(place, place_of())
+    joined = rows.join(chosen, (rows[place] == chosen[its]) & same(rows["doc_id"], chosen[of]))  # dealt by place alone, so that texts are shuffled once
+    return joined.dropDuplicates(["doc_id", place]).withColumn(copy, F.explode(F.array_repeat(F.lit(1), F.col(copies)))).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -27,6 +27,15 @@ SEGMENTS = ((0, 21), (21, 21), (42, 22))
 PAIRWISE = 32
 
 
+def majority(hashes: list[int] | np.ndarray) -> int:
+    """The bits set in over half of the hashes, unsigned."""
+    ones = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(hashes), 65_536):
+        bits = np.unpackbits(np.array(hashes[at : at + 65_536], dtype="<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones += bits.sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def fingerprint_of(text: str | None, shingle: int = SHINGLE) -> int:
     """The fingerprint, unsigned. Words are runs without ASCII white space, A-Z lower-cased; no words: 0."""
     from xxhash import xxh64_intdigest
@@ -38,11 +47,7 @@ def fingerprint_of(text: str | None, shingle: int = SHINGLE) -> int:
     ends = [x - 1 for x in accumulate(len(w) + 1 for w in words)]
     starts = [0, *(x + 1 for x in ends[:-1])]
     hashes = [xxh64_intdigest(joined[s:e], 42) for s, e in zip(starts, ends[shingle - 1 :], strict=False)] or [xxh64_intdigest(joined, 42)]
-    ones = np.zeros(64, dtype=np.int64)
-    for at in range(0, len(hashes), 65_536):
-        bits = np.unpackbits(np.array(hashes[at : at + 65_536], dtype="<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
+    return majority(hashes)
 
 
 def _simhashes(texts: pd.Series) -> pd.Series:

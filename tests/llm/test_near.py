@@ -7,7 +7,8 @@ import pytest
 
 pytest.importorskip("public_tokenizers")
 import corpus_pipeline  # noqa: E402
-from tarifflens.llm import line_dedup, minhash_dedup, prefix_join, pseudonyms, queries  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
+from tarifflens.llm import line_dedup, minhash_dedup, mixing, near_documents, prefix_join, pseudonyms, queries  # noqa: E402
 
 
 def shingles(text):
@@ -231,6 +232,29 @@ def test_near_copies_without_a_common_copy_put_out_few_pairs(spark, monkeypatch)
     assert max(sizes) <= 4 * len(lines)
 
 
+def test_stage_links_by_simhash_and_shuffles_texts_once(spark, near_texts, monkeypatch):
+    found = []
+    links = minhash_dedup.simhash_links
+
+    def noted(*a):
+        found.append(links(*a))
+        return found[0]
+
+    monkeypatch.setattr(minhash_dedup, "simhash_links", noted)
+    docs = spark.createDataFrame(list(enumerate(near_texts)), "doc_id long, text string")
+    kept = near_documents.drop_similar(docs)
+    assert found[0].count() > 20
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        # The documents and the small side, which the mix has aggregated before.
+        for frame, shuffles in ((kept, 2), (mixing.mixed_documents(docs.withColumn("source", F.lit("s"))), 3)):
+            plan = frame._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+            assert len([x for x in plan.splitlines() if "Exchange" in x]) == shuffles
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_bands_of_the_same_nodes_are_compared_once(spark):
     rows = [(k, n) for k in (1, 2, 3) for n in (10, 20, 30)] + [(4, 10), (4, 20)]
     members = spark.createDataFrame(rows, "k long, node long")
