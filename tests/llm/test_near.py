@@ -209,6 +209,40 @@ def test_keys_that_the_same_items_hold_become_one(spark):
     assert sorted(map(sorted, groups.values())) == [[(0, 0), (1, 3), (2, 6)], [(0, 0), (1, prefix_join.ANYWHERE)]]
 
 
+def test_rows_that_meet_by_chance_go(spark):
+    """Of a small key's rows only those stay that can belong to a link; of the others not one, however many items share the key."""
+    at = lambda key, place: (key << prefix_join.PLACE_BITS) | place
+    rows = [(at(1, 3), 0, 10), (at(1, 5), 1, 40), (at(1, 7), 2, 90)] + [(at(2, 3), 3, 10), (at(2, 5), 4, 40), (at(2, 7), 5, 40), (at(2, 7), 5, 40)]
+    rows += [(at(k, 1), h, n) for k, h, n in ((3, 6, 20), (4, 8, 20))] * 2 + [(at(k, 1), h, n) for k, h, n in ((3, 7, 20), (4, 9, 20))] * 2
+    found = prefix_join.meeting(spark.createDataFrame(rows, "e long, h long, n int"), lambda x, y: x("n") == y("n")).collect()
+    keys = {}
+    for r in found:
+        keys.setdefault(r["e"] >> prefix_join.PLACE_BITS, set()).add(r["h"])
+    assert sorted(map(sorted, keys.values())) == [[4, 5], [6, 7], [8, 9]]
+
+
+def test_a_pair_is_put_out_at_few_of_the_keys_where_it_meets(spark, monkeypatch):
+    """Lines of the same words, most of them no links: each pair meets in many large buckets."""
+    draw, words, sizes = random.Random(51), [f"v{i}" for i in range(60)], []
+    lines = []
+    for _ in range(40):
+        swapped = set(draw.sample(range(30), 7))
+        lines.append([w for i in range(30) for w in words[2 * i : 2 * i + 2][:: -1 if i in swapped else 1]])
+    docs = spark.createDataFrame([(n, " ".join(x)) for n, x in enumerate(lines)], "doc_id long, text string")
+    near = lambda i, j: 5 * edits(lines[i], lines[j]) <= 60
+    want = [int(root != i) for i, root in enumerate(groups_of(len(lines), near))]
+    distinct = type(docs).distinct
+
+    def noted(frame):
+        if frame.columns == ["a", "b"]:
+            sizes.append(frame.count())
+        return distinct(frame)
+
+    monkeypatch.setattr(type(docs), "distinct", noted)
+    assert [r["n_dropped"] for r in line_dedup.drop_repeated_lines(docs, 1).orderBy("doc_id").collect()] == want
+    assert max(sizes) <= 3 * 780 // 2
+
+
 def test_near_copies_without_a_common_copy_put_out_few_pairs(spark, monkeypatch):
     """Copies about as far from each other as links reach: the least one isn't linked with all of them, yet most pairs are."""
     sizes = []
