@@ -54,3 +54,16 @@ def test_ties_by_a_column(spark):
         assert layout.block_rows(words, ties=("event_id",)).first()["row_text"] == "b | a | a"
         lines = layout.line_rows(words, ties=("event_id",)).collect()
         assert {r["event_id"]: r["row_idx"] for r in lines} == {0: 2, 1: 0, 2: 1}
+
+
+@pytest.mark.parametrize("name, keys", [("block_rows", "x0, y0"), ("line_rows", "y0, x0, text")])
+def test_words_that_tie_are_in_an_order_that_the_sql_allows(spark, tmp_path, name, keys):
+    """Every word stands at the place of three others. With event_id behind the SQL's keys, no tie is open and nothing differs."""
+    copies = f"SELECT e.* REPLACE (event_id + k * 3 * 499 * 211 AS event_id) FROM '{SF}/events.parquet' e, (SELECT unnest(range(4)) AS k)"
+    con = duckdb.connect()
+    con.sql(f"COPY ({copies}) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    found = registry.QUERIES[name](spark, str(tmp_path))
+    want = con.sql(registry.ORACLES[name].replace(f"ORDER BY {keys})", f"ORDER BY {keys}, event_id)"))
+    rows = found.select(*want.columns).collect()
+    assert rows and sorted(map(tuple, rows)) == sorted(want.fetchall())
