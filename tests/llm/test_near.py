@@ -198,6 +198,24 @@ def test_lines_without_python_and_few_links_in_a_large_group(spark, monkeypatch)
     assert sum(links) <= 2 * len(lines)
 
 
+def test_rarest_pairs_of_a_line_are_computed_once(spark):
+    """Enough pairs that edits within reach leave one of them, each with its place where it stands once; and no step of the plan computes them for a filter too."""
+    draw = random.Random(61)
+    lines = [draw.sample(range(1, 1 << 17), k=n) for n in (2, 3, 4, 5, 9, 40, 101)] + [draw.sample(range(1, 1 << 17), k=30) * 2]
+    rows = spark.createDataFrame([(i, [w << 45 for w in x]) for i, x in enumerate(lines)], "h long, w array<long>")
+    made = line_dedup._members(rows, F.array_repeat(F.lit(0).cast("bigint"), 1 << line_dedup.RANK_BITS))
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("zip_with(") == 1 and "sort_array(" in plan
+    found = {}
+    for r in made.collect():
+        found.setdefault(r["h"], []).append((r["e"] >> prefix_join.PLACE_BITS, r["e"] & prefix_join.ANYWHERE))
+    assert sorted(found) == [2, 3, 4, 5, 6, 7]
+    for h, own in found.items():
+        n, pairs = len(lines[h]), [(x + y << 45 - 64 + line_dedup.RANK) >> prefix_join.PLACE_BITS for x, y in zip(lines[h], lines[h][1:])]
+        last = sorted(pairs)[2 * (n // 5) + (n % 5 == 4)]
+        assert sorted(own) == sorted((x, i) for i, x in enumerate(pairs) if x <= last) if h < 7 else sorted(own) == sorted({(x, prefix_join.ANYWHERE) for x in pairs if x <= last})
+
+
 def test_keys_that_the_same_items_hold_become_one(spark):
     at = lambda key, place: (key << prefix_join.PLACE_BITS) | place
     rows = [(at(k, 5 + k + 3 * h), h, 40) for k in range(1, 11) for h in (0, 1, 2)]
